@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidemark.llm import bpe, chat, language_id, simhash, token_file
+from tidemark.llm import bpe, chat, decontaminate, language_id, quality, simhash, token_file
 from tidemark.llm.common import held_out, new_folder, table
 
 
@@ -30,6 +30,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, test = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~test)
+    return quality.score(docs, model).select("doc_id", test.alias("held_out"), "score", "predicted")
+
+
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations")
     marks = "</s>[INST] ok [/INST]"
@@ -37,5 +47,5 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(said.select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op4_token_file, op5_byte_bpe, op9_chat_windows)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op4_token_file, op5_byte_bpe, op6_decontamination, op7_quality, op9_chat_windows)}
 ORACLE_SQL = {"op9_chat_windows": chat.DIGEST_SQL}
