@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidemark.llm import bpe, chat, decontaminate, language_id, quality, simhash, token_file
+from tidemark.llm import bpe, chat, decontaminate, language_id, pii, quality, simhash, token_file
 from tidemark.llm.common import held_out, new_folder, table
 
 
@@ -40,6 +40,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", test.alias("held_out"), "score", "predicted")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations")
     marks = "</s>[INST] ok [/INST]"
@@ -47,5 +51,5 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(said.select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op4_token_file, op5_byte_bpe, op6_decontamination, op7_quality, op9_chat_windows)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op4_token_file, op5_byte_bpe, op6_decontamination, op7_quality, op8_pii, op9_chat_windows)}
 ORACLE_SQL = {"op9_chat_windows": chat.DIGEST_SQL}
