@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidemark.llm import bpe, chat, decontaminate, language_id, pii, quality, simhash, token_file
+from tidemark.llm import bpe, chat, decontaminate, language_id, pii, quality, repeats, simhash, token_file
 from tidemark.llm.common import held_out, new_folder, table
 
 
@@ -51,5 +51,9 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(said.select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op4_token_file, op5_byte_bpe, op6_decontamination, op7_quality, op8_pii, op9_chat_windows)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op4_token_file, op5_byte_bpe, op6_decontamination, op7_quality, op8_pii, op9_chat_windows, op10_repeats)}
 ORACLE_SQL = {"op9_chat_windows": chat.DIGEST_SQL}
