@@ -16,6 +16,7 @@ Defined cases: a text that is null or has no letter is ``und`` with score 0; wit
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,9 +152,7 @@ def verdicts(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with column _verdict: struct of lang_pred, score, ambiguous."""
 
     @F.pandas_udf("struct<lang_pred string, score double, ambiguous boolean>")
-    def judge(texts):
-        import pandas as pd
-
+    def judge(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
 
     return docs.withColumn("_verdict", judge("text"))

@@ -24,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,21 +126,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Entities are 64-bit digests of the matched string, patterns of the context.
     """
-    import xxhash
 
     def make():
-        def key(s):
-            h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
-            return h - (1 << 64) if h >> 63 else h
-
         def f(ids, texts):
             bases, founds, seeds = [], [], []
             for t in texts:
                 t = t or ""
                 base = base_spans(t)
                 bases.append([{"kind": k, "start": a, "stop": b} for k, a, b in base])
-                founds.append([{"start": a, "stop": b, "entity": key(t[a:b].lower()), "patterns": [key(c) for c in _contexts(t, a, b)]} for a, b in candidates(t, base)])
-                seeds.append([{"entity": key(t[a:b].lower()), "patterns": [key(c) for c in _contexts(t, a, b)]} for _, a, b in base])
+                founds.append([{"start": a, "stop": b, "entity": _key(t[a:b].lower()), "patterns": [_key(c) for c in _contexts(t, a, b)]} for a, b in candidates(t, base)])
+                seeds.append([{"entity": _key(t[a:b].lower()), "patterns": [_key(c) for c in _contexts(t, a, b)]} for _, a, b in base])
             return [ids, bases, founds, seeds]
 
         return f
@@ -204,5 +201,56 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _key(s: str) -> int:
+    h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def redacted(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
+    """``docs`` with its spans replaced in ``text``; ``n_chars`` (if there is one) follows a changed text.
+
+    Texts aren't shuffled or stored: with the accepted patterns known (BROADCAST_PATTERNS of them at most go to the
+    executors; with more the texts are joined with their spans) spans are found again while they are replaced.
+    """
+    scanned = common.materialize(scan(docs).select("base", "found", "seeds"), "pii-spans")
+    accepted = patterns(scanned, rounds, confidence, support)
+    if accepted.count() > BROADCAST_PATTERNS:
+        return _redacted_by_join(docs, rounds, confidence, support)
+    trusted = docs.sparkSession.sparkContext.broadcast({r["pattern"] for r in accepted.select("pattern").collect()})
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        known = trusted.value
+
+        def one(t):
+            if not t:
+                return t
+            base = base_spans(t)
+            added = [("id", a, b) for a, b in candidates(t, base) if known and any(_key(c) in known for c in _contexts(t, a, b))]
+            return redact(t, base + added) if base or added else t
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return _with_text(docs.withColumn("_new", cut("text")), docs)
+
+
+def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    columns = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col("_new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))
+    return changed.withColumns(columns).select(docs.columns)
+
+
+def _redacted_by_join(docs: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
+    kept = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
+    found = find(kept.select(F.col("_row").alias("doc_id"), "text"), rounds, confidence, support).select(F.col("doc_id").alias("_row"), F.concat("base", "added").alias("_spans"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None else redact(t, [(s["kind"], s["start"], s["stop"]) for s in ss]) for t, ss in zip(texts, spans)], dtype=object)
+
+    return _with_text(kept.join(found, "_row").withColumn("_new", cut("text", "_spans")), docs)
+
+
 def base_digest(text: str | None) -> str:
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(text or "")).encode()).hexdigest()

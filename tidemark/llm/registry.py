@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidemark.llm import bpe, chat, decontaminate, language_id, pii, quality, repeats, simhash, token_file
+from tidemark.llm import bpe, chat, decontaminate, language_id, media, pii, quality, repeats, simhash, token_file
 from tidemark.llm.common import held_out, new_folder, table
 
 
@@ -20,6 +20,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"), new_folder(spark, "media"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-files")
     manifest = token_file.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -55,5 +59,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op4_token_file, op5_byte_bpe, op6_decontamination, op7_quality, op8_pii, op9_chat_windows, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_media_chunks, op4_token_file, op5_byte_bpe, op6_decontamination, op7_quality, op8_pii, op9_chat_windows, op10_repeats)}
 ORACLE_SQL = {"op9_chat_windows": chat.DIGEST_SQL}
