@@ -15,6 +15,7 @@ from tidemark.plans import autodiff
 from tidemark.plans.graph import SignalGraph
 from tidemark.sources import derived
 from tidemark.sources.market import depth_messages, number_rows, trade_messages
+from tidemark.sources.scratch import materialize
 
 SECOND = 1_000_000
 GAP, IDLE, HORIZON, HALF_LIFE = 3600 * SECOND, 7200 * SECOND, 6 * 3600 * SECOND, DAY_US
@@ -279,8 +280,9 @@ runs as (select *, last_value(impulse ignore nulls) over (partition by sym, isla
 
 
 def _impulses(spark, sf_dir) -> DataFrame:
-    fair = _fair(spark, sf_dir).select("sym", "ts_us", "seq", "fair")
-    return trades.tick_impulse(events.as_of(_islands(spark, sf_dir), fair, ["sym"], ["fair"], block_us=BLOCK), ["sym"], SIZE_WEIGHT, DISTANCE_WEIGHT)
+    """A scan reads its input twice, so a chain of scans is cut by tables lest the plan double at each."""
+    fair = materialize(_fair(spark, sf_dir).select("sym", "ts_us", "seq", "fair"), "fair")
+    return trades.tick_impulse(events.as_of(materialize(_islands(spark, sf_dir), "islands"), fair, ["sym"], ["fair"], block_us=BLOCK), ["sym"], SIZE_WEIGHT, DISTANCE_WEIGHT)
 
 
 @query(_with("select seq, sym, cast(island as bigint) as island, round(running, 6) + 0 as running from runs", _UPDATES, _FAIR, _ISLANDS, _IMPULSE))
@@ -480,12 +482,15 @@ def market_pred(spark, sf_dir):
     """A market's prediction at every tenth trade: tick impulse, book fair, decayed ticks and returns, combined,
     with the price six hours on."""
     t = derived.trades(spark, sf_dir)
-    ticks = _impulses(spark, sf_dir)
-    sums = decay.running_sum(t, trades.tick_emit(ticks, ["sym"]), ["sym"], "tick", HALF_LIFE).withColumn("seq", F.col("k"))
-    average = _ewma(spark, sf_dir).withColumn("seq", F.col("k")).select("sym", "ts_us", "seq", "ewma")
-    chosen = trades.bucket_sample(ticks, ["sym"], block_us=BLOCK).where("should_sample")
-    seen = events.as_of(events.as_of(chosen.select("seq", "ts_us", "sym", "price", "fair", "running"), sums, ["sym"], ["running_sum"], block_us=BLOCK), average, ["sym"], ["ewma"], block_us=BLOCK)
+    ticks = materialize(_impulses(spark, sf_dir), "ticks")
+    sums = materialize(decay.running_sum(t, trades.tick_emit(ticks, ["sym"]), ["sym"], "tick", HALF_LIFE).withColumn("seq", F.col("k")), "sums")
+    average = materialize(_ewma(spark, sf_dir).withColumn("seq", F.col("k")).select("sym", "ts_us", "seq", "ewma"), "averages")
+    seen = trades.bucket_sample(ticks, ["sym"], block_us=BLOCK).where("should_sample").select("seq", "ts_us", "sym", "price", "fair", "running")
+    for series, column in ((sums, "running_sum"), (average, "ewma")):
+        seen = materialize(events.as_of(seen, series, ["sym"], [column], block_us=BLOCK), "seen")
     p = F.col("price")
     xs = [N.div(F.col("fair") - p, p), F.col("running") / 100, F.col("running_sum") / 100, decay.returns_against(p, F.col("ewma"), 0.01)]
-    predicted = seen.withColumn("pred", models.cascade(xs, _parameter, "market"))
+    names = [f"x{i}" for i in range(len(xs))]
+    inputs = materialize(seen.withColumns(dict(zip(names, xs))), "inputs")
+    predicted = inputs.withColumn("pred", models.cascade([F.col(n) for n in names], _parameter, "market"))
     return events.future_value(predicted, t, ["sym"], "price", HORIZON, "future", block_us=BLOCK).select("seq", "sym", "price", r6("pred").alias("pred"), "future")
