@@ -51,8 +51,8 @@ class Anchors:
         self.length, self.anchor, self.width, self.block = length, anchor, length - anchor + 1, block
         inverse = pow(_ODD, -1, 1 << 64)
         n = block + length + 1
-        self.down = np.multiply.accumulate(np.concatenate([[1], np.full(n, inverse, np.uint64)]).astype(np.uint64))
-        self.up = np.multiply.accumulate(np.concatenate([[1], np.full(n, _ODD, np.uint64)]).astype(np.uint64))
+        powers = lambda base: np.multiply.accumulate(np.array([1] + [base] * n, np.uint64))
+        self.down, self.up = powers(inverse), powers(_ODD)
 
     def _hashes(self, raw: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(raw) + 1, np.uint64)
