@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
+from tidemark.operators.models import let
 from tidemark.operators.scan import DAY_US, scan
 
 ORDER = ["ts_us", "seq"]
@@ -165,10 +166,16 @@ def static_fair(bids: list[tuple[Column, Column]], asks: list[tuple[Column, Colu
     derivation has it.
     """
     scale = F.abs(scale if isinstance(scale, Column) else F.lit(float(scale)))
-    distance = lambda p: N.div(F.lit(10000.0) * (p - mid), mid)
-    b = N.tree_sum([F.sqrt(s) * F.exp(distance(p) * scale) for p, s in bids])
-    a = N.tree_sum([F.sqrt(s) * F.exp(distance(p) * (-scale if corrected else scale)) for p, s in asks])
-    adjusted = N.div(N.log(N.div(b, a)), F.lit(2.0) * scale)
+    weight = lambda m, sign: lambda p, s: F.sqrt(s) * F.exp(F.lit(10000.0) * (p - m) / m * sign)
+
+    def sums(m: Column) -> Column:
+        b = N.tree_sum([weight(m, scale)(p, s) for p, s in bids])
+        a = N.tree_sum([weight(m, -scale if corrected else scale)(p, s) for p, s in asks])
+        return F.struct(b.alias("b"), a.alias("a"))
+
+    both = let([F.when(mid != 0, mid)], sums)
+    ratio = let([both["b"], both["a"]], N.div)
+    adjusted = let([ratio], N.log) / (F.lit(2.0) * scale)
     return (adjusted + 1.0) * mid / 10000.0 if not corrected else mid * (1.0 + adjusted / 10000.0)
 
 

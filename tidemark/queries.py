@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import market as M
 from tidemark.functions import numeric as N
-from tidemark.operators import book, decay, events, models, sampled, trades
+from tidemark.operators import book, decay, events, models, sampled, signals, trades
 from tidemark.operators.scan import DAY_US
 from tidemark.plans import autodiff
 from tidemark.plans.graph import SignalGraph
@@ -259,6 +259,17 @@ def static_fair(spark, sf_dir):
     return q.select("sym", "seq", r6(fair).alias("fair"))
 
 
+@query()
+def static_book_combo(spark, sf_dir):
+    """Static fair returns over aggregated books for two ratios and two scales, and their sum with weights."""
+    snaps = materialize(_books(spark, sf_dir).where("seq % 7 = 0 and size(bids) > 0 and size(asks) > 0"), "books")
+    mid = M.bbo_mid(book.bbo(F.col("bids"), F.col("asks")))
+    got = signals.static_book_returns(F.col("bids"), F.col("asks"), mid, [RATIO, 2 * RATIO], [1e-3, 1e-2])
+    names = [f"r{i}" for i in range(len(got))]
+    returns = materialize(snaps.select("sym", "seq", *[c.alias(n) for c, n in zip(got, names)]), "returns")
+    return returns.select("sym", "seq", *[r6(n).alias(n) for n in names], r6(models.linreg([F.col(n) for n in names], [_parameter(n) for n in names])).alias("combined"))
+
+
 # -- trades
 _ISLANDS = f"""was as (select *, lag(buy) over w as was_buy, ts_us - lag(ts_us) over w as gap from trades window w as (partition by sym order by ts_us, seq)),
 islands as (select *, sum(case when was_buy is null or buy <> was_buy or gap > {GAP} or gap >= {IDLE} then 1 else 0 end) over (partition by sym order by ts_us, seq rows unbounded preceding) as island from was)"""
