@@ -67,6 +67,16 @@ def test_library_encoder_behind_caches():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_documents_are_dealt_to_files_in_order(spark, monkeypatch):
+    monkeypatch.setattr(token_file, "DOCS_A_FILE", 10)
+    docs = spark.range(57).selectExpr("(id * 37) % 57 as doc_id", "repeat('word ', cast(id as int)) as text")
+    manifest = token_file.write(docs, JSON, new_folder(spark, "tokens"))
+    assert manifest.count() > 3
+    got = sorted(token_file.read(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == list(range(57))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 def test_token_files(spark, odd, none):
     manifest = token_file.write(odd, JSON, new_folder(spark, "tokens"))
     got = sorted((r for r in token_file.read(manifest).collect()), key=lambda r: r["start"])

@@ -137,8 +137,12 @@ def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def frames(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, n_tokens, length, checksum, frame: each text's ids with the end id, compressed on its own."""
+def frames(docs: DataFrame, path: str, end_id: int = 0, cuts: list[int] | None = None) -> DataFrame:
+    """doc_id, file, n_tokens, length, checksum, frame: each text's ids with the end id, compressed on its own.
+
+    ``file`` is the number of ``cuts`` that are at or below doc_id (0 for a null).
+    """
+    edges = np.array(cuts or [], np.int64)
 
     def make():
         encode, size = encoder(path)
@@ -148,12 +152,13 @@ def frames(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
         def f(ids, texts):
             raws = [np.frombuffer(t + end, "<u4").astype(f"<u{width}").tobytes() for t in encode([t or "" for t in texts])]
-            return [ids, [len(r) // width for r in raws], [width] * len(ids), [len(r) for r in raws], [xxhash.xxh64_intdigest(r) & 0xFFFFFFFF for r in raws], [pack(r) for r in raws]]
+            files = [0 if i is None else int(np.searchsorted(edges, i, "right")) for i in ids]
+            return [ids, files, [len(r) // width for r in raws], [width] * len(ids), [len(r) for r in raws], [xxhash.xxh64_intdigest(r) & 0xFFFFFFFF for r in raws], [pack(r) for r in raws]]
 
         return f
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_tokens long, width int, length long, checksum long, frame binary")
+    return common.arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, file int, n_tokens long, width int, length long, checksum long, frame binary")
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> DataFrame:
@@ -166,10 +171,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> DataFrame
     files = max(1, min(MOST_FILES, -(-count // DOCS_A_FILE)))
     cuts = docs.approxQuantile("doc_id", [i / files for i in range(1, files)], 1 / (8 * files)) if files > 1 and count else []
     cuts = sorted({int(c) for c in cuts})
-    which = F.lit(0)
-    if cuts:
-        which = F.coalesce(F.expr(f"width_bucket(doc_id, array({','.join(f'{c}D' for c in cuts)}))"), F.lit(0)).cast("int")
-    dealt = frames(docs, path, end_id).withColumn("file", which)
+    dealt = frames(docs, path, end_id, cuts)
     dealt = dealt.repartition(len(cuts) + 1, "file").sortWithinPartitions("file", F.asc_nulls_first("doc_id"), "checksum", "n_tokens", "frame")
 
     def run(batches):
