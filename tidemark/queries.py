@@ -342,16 +342,16 @@ def ewma_grid(spark, sf_dir):
     return _ewma(spark, sf_dir).select("sym", "k", "ts_us", "price", r6("ewma").alias("ewma"))
 
 
-@query(_with("select sym, k, round(least(0.01, greatest(-0.01, (price - ewma) / price)), 6) as ret, round(price - ewma, 6) as difference from averages", _GRID, _SIGNAL).replace("least(0.01, greatest(-0.01, (price - ewma) / price))", "case when ewma is not null then least(0.01, greatest(-0.01, (price - ewma) / price)) end"))
+@query(_with("select sym, k, round(least(0.01, greatest(-0.01, (price - ewma) / price)), 6) + 0 as ret, round(price - ewma, 6) + 0 as difference from averages", _GRID, _SIGNAL).replace("least(0.01, greatest(-0.01, (price - ewma) / price))", "case when ewma is not null then least(0.01, greatest(-0.01, (price - ewma) / price)) end"))
 def returns_vs_ewma(spark, sf_dir):
     p, e = F.col("price"), F.col("ewma")
-    return _ewma(spark, sf_dir).select("sym", "k", r6(decay.returns_against(p, e, 0.01)).alias("ret"), r6(decay.difference_to(p, e)).alias("difference"))
+    return _ewma(spark, sf_dir).select("sym", "k", (r6(decay.returns_against(p, e, 0.01)) + 0.0).alias("ret"), (r6(decay.difference_to(p, e)) + 0.0).alias("difference"))
 
 
-@query(_with("select sym, k, round(((price - 0.5) - greatest(ewma - 0.5, price - 0.5)) / (price - 0.5) + ((price + 0.5) - least(ewma + 0.5, price + 0.5)) / (price + 0.5), 6) as sided from averages where ewma is not null", _GRID, _SIGNAL))
+@query(_with("select sym, k, round(((price - 0.5) - greatest(ewma - 0.5, price - 0.5)) / (price - 0.5) + ((price + 0.5) - least(ewma + 0.5, price + 0.5)) / (price + 0.5), 6) + 0 as sided from averages where ewma is not null", _GRID, _SIGNAL))
 def sided_returns(spark, sf_dir):
     p, e, h = F.col("price"), F.col("ewma"), F.lit(0.5)
-    return _ewma(spark, sf_dir).where("ewma is not null").select("sym", "k", r6(decay.sided_returns(p - h, p + h, e - h, e + h)).alias("sided"))
+    return _ewma(spark, sf_dir).where("ewma is not null").select("sym", "k", (r6(decay.sided_returns(p - h, p + h, e - h, e + h)) + 0.0).alias("sided"))
 
 
 # -- sampling periods
