@@ -80,29 +80,6 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [2048, 2])
-def test_similar_documents(spark, odd, none, most):
-    r = random.Random(12)
-    texts = []
-    for _ in range(8):
-        base = [f"w{r.randrange(500)}" for _ in range(120)]
-        texts.append(" ".join(base))
-        for _ in range(3):
-            near = list(base)
-            near[r.randrange(120)] = "changed"
-            texts.append(" ".join(near))
-    texts += [texts[0], " ".join(reversed(texts[0].split())), "", None, "one", "one"]
-    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
-    got = {x["doc_id"]: x["component_id"] for x in simhash.similar(docs, most=most).collect()}
-    grams = lambda t: {tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))}
-    for i, t in enumerate(texts):
-        c = got[i]
-        assert c <= i and len(grams(t) & grams(texts[c])) >= 0.6 * len(grams(t) | grams(texts[c]))
-    assert sum(got[i] == i for i in range(32)) <= 12
-    assert got[32] == got[0] and got[33] == 33 and got[34] == got[35] == 34 and got[36] == got[37] == 36
-    assert simhash.similar(none).count() == 0 and simhash.similar(odd).count() == odd.where("doc_id is not null").count()
-
-
 def brute_mask(pieces, size):
     seen = Counter(p[i : i + size] for p in pieces for i in range(len(p) - size + 1))
     return [[i + size <= len(p) and seen[p[i : i + size]] > 1 for i in range(len(p))] for p in pieces]

@@ -187,139 +187,3 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 #: DuckDB has no XXH64; the query is tested against brute force.
-
-
-# Near copies by similarity: SimHash of single words finds candidates, five-word shingles decide.
-#: Words of a compared shingle, the similarity asked for, bins of a sketch, and what its estimate may fall short by
-#: (two standard errors at the threshold; short texts are compared almost exactly).
-COMPARED, SIMILAR, BINS, SLACK = 5, 0.8, 128, 0.06
-
-
-class Sketcher:
-    """(fingerprint over single words, one-permutation minhash of five-word shingles as bytes) of a text."""
-
-    MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-    def __init__(self, most: int = 150_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, text: str | None) -> tuple[int, bytes]:
-        words = common.utf8(text).lower().split()
-        bins = np.zeros(BINS, "<u2")
-        if not words:
-            return 0, bins.tobytes()
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, SEED)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        counts = np.zeros(BITS, np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        size = min(COMPARED, len(words))
-        n = len(words) - size + 1
-        mixed = np.zeros(n, np.uint64)
-        for j in range(size):
-            mixed = mixed * np.uint64(0x2545F4914F6CDD1D) + hashes[j : j + n] * self.MIX[j]
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(29)
-        order = np.sort(mixed >> np.uint64(7) << np.uint64(7) | mixed & np.uint64(BINS - 1))[::-1]  # the least of a bin is written last
-        bins[(order & np.uint64(BINS - 1)).astype(np.int64)] = (order >> np.uint64(7)) % np.uint64(65535) + np.uint64(1)
-        return sum(1 << i for i in np.flatnonzero(2 * counts > len(words)).tolist()), bins.tobytes()
-
-
-def _sketch_links(ids: np.ndarray, fps: np.ndarray, sketches: np.ndarray, least: float) -> tuple[list, list]:
-    """Links (first, member) among nodes near in fingerprint and alike in sketch, from the frontier on."""
-    left, a, b = np.arange(len(ids)), [], []
-    while len(left) > 1:
-        first, frontier, left = left[0], [left[0]], left[1:]
-        while frontier and len(left):
-            at = frontier.pop()
-            near = np.flatnonzero(np.bitwise_count(fps[left] ^ fps[at]) <= DISTANCE)
-            if not len(near):
-                continue
-            theirs, own = sketches[left[near]], sketches[at]
-            alike = ((theirs == own) & (own > 0)).sum(1) >= least * ((theirs > 0) | (own > 0)).sum(1)
-            found = left[near[alike]]
-            if len(found):
-                left = np.delete(left, near[alike])
-                frontier.extend(found.tolist())
-                a.extend([int(ids[first])] * len(found))
-                b.extend(ids[found].tolist())
-    return a, b
-
-
-def _compare_sketches(rows: DataFrame, least: float) -> DataFrame:
-    """rows: key, node, fp, sketch -> links (a, b)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        key, ids, fps, sketches = None, [], [], []
-
-        def done():
-            got = _sketch_links(np.array(ids, np.int64), np.array(fps, np.int64).view(np.uint64), np.frombuffer(b"".join(sketches), "<u2").reshape(-1, BINS), least)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], schema=schema)
-
-        for batch in batches:
-            for part in common.slices(batch):
-                for k, i, f, s in zip(*[c.to_pylist() for c in part.columns]):
-                    if k != key:
-                        if len(ids) > 1:
-                            yield done()
-                        key, ids, fps, sketches = k, [], [], []
-                    ids.append(i)
-                    fps.append(f)
-                    sketches.append(s)
-        if len(ids) > 1:
-            yield done()
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("key", "node", "fp", "sketch").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-
-
-def similar(docs: DataFrame, least: float = SIMILAR, most: int = MOST_COMPARED) -> DataFrame:
-    """doc_id, component_id of every row with an id: the least doc_id reachable over pairs of texts whose word
-    fingerprints differ in at most DISTANCE bits and whose five-word shingles' similarity is ``least`` or more.
-
-    A class of rows with equal fingerprint and sketch is one node, so copies are compared once. Keys with over
-    ``most`` rows are indexed anew as in :func:`links`.
-    """
-
-    def make():
-        sketch = Sketcher()
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-
-        def f(ids, texts):
-            made = [sketch(t) for t in texts]
-            return [ids, [signed(x) for x, _ in made], [s for _, s in made]]
-
-        return f
-
-    made = common.materialize(common.arrow_map(docs.where("doc_id is not null").select("doc_id", "text"), make, "doc_id long, fp long, sketch binary"), "sketches")
-    classes = common.materialize(made.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")), "sketch-classes")
-    rows = classes.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).alias("off"))
-    edges, width = None, BITS
-    while True:
-        index = _index(rows, width)
-        live = common.materialize(_live(index), "sketch-keys")
-        stats = live.agg(F.count("*").alias("keys"), F.max("n").alias("most")).first()
-        if not stats["keys"]:
-            break
-        found = index.join(F.broadcast(live) if stats["keys"] <= 100_000 else live, "key")
-        split = stats["most"] > most and width // 2 + BITS.bit_length() > 16
-        kept = (found.where(F.col("n") <= most) if split else found).select("key", "fp").distinct()
-        part = _compare_sketches(kept.join(classes, "fp"), least - SLACK)
-        edges = part if edges is None else edges.unionByName(part)
-        if not split:
-            break
-        rows = common.materialize(found.where(F.col("n") > most).select("fp", "key", "off"), "sketch-hot")
-        width //= 2
-    if edges is None:
-        edges = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    member = components(edges)
-    named = classes.join(member, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("component_id"))
-    return made.join(named, ["fp", "sketch"]).select("doc_id", "component_id")
