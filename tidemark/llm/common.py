@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,38 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.sources.scratch import materialize, new_folder  # noqa: F401
+
 #: Rows and payload bytes handed to a Python function at once.
-SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
-
-    Where the setting is absent (local tests) a folder is made and stored in the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no piece holds over SLICE_ROWS rows or (one row aside) SLICE_BYTES bytes."""
     n = batch.num_rows
@@ -71,9 +47,31 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: T.StructType
                 out = f(*[c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow)], schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, spark_schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of SLICE_ROWS: its default of 10,000 rows costs each task several
+    copies of tens of MB on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > SLICE_ROWS:
+        spark.conf.set(key, SLICE_ROWS)
+
+
+def batch_map(df: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """``df`` with each small RecordBatch replaced by what ``make()`` returns for it; the columns stay the same."""
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            for part in slices(batch):
+                yield f(part)
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

@@ -16,7 +16,7 @@ Defined cases: a text that is null or has no letter is ``und`` with score 0; wit
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,11 +148,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return common.arrow_map(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
-def verdicts(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with column _verdict: struct of lang_pred, score, ambiguous."""
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text has a language that isn't ambiguous."""
 
-    @F.pandas_udf("struct<lang_pred string, score double, ambiguous boolean>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
+    def make():
+        def f(batch):
+            seen = [model.predict(t) for t in batch.column("text").to_pylist()]
+            return batch.filter(pa.array([k != UNKNOWN and not ambiguous for k, _, ambiguous in seen]))
+
+        return f
 
-    return docs.withColumn("_verdict", judge("text"))
+    return common.batch_map(docs, make)

@@ -25,6 +25,7 @@ import hashlib
 import re
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,8 +219,9 @@ def redacted(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDEN
         return _redacted_by_join(docs, rounds, confidence, support)
     trusted = docs.sparkSession.sparkContext.broadcast({r["pattern"] for r in accepted.select("pattern").collect()})
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
+    counted = "n_chars" in docs.columns
+
+    def make():
         known = trusted.value
 
         def one(t):
@@ -229,9 +231,20 @@ def redacted(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDEN
             added = [("id", a, b) for a, b in candidates(t, base) if known and any(_key(c) in known for c in _contexts(t, a, b))]
             return redact(t, base + added) if base or added else t
 
-        return pd.Series([one(t) for t in texts], dtype=object)
+        def f(batch):
+            old = batch.column("text").to_pylist()
+            new = list(map(one, old))
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            if counted:
+                at = batch.schema.get_field_index("n_chars")
+                sizes = [n if a == b else len(b) for n, a, b in zip(batch.column(at).to_pylist(), old, new)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
+            return batch
+
+        return f
 
-    return _with_text(docs.withColumn("_new", cut("text")), docs)
+    return common.batch_map(docs, make)
 
 
 def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:

@@ -35,8 +35,7 @@ class CachedEncoder:
     pieces come first; it starts anew when most of a slice's pieces are missing from it.
     """
 
-    def __init__(self, pattern: str, encode_words: Callable, encode_odd: Callable | None = None, most: tuple[int, int] = (300_000, 300_000)):
-        gc.disable()  # the caches hold no cycles, and full collections would walk over them again and again
+    def __init__(self, pattern: str, encode_words: Callable, encode_odd: Callable | None = None, most: tuple[int, int] = (150_000, 200_000)):
         self.find = regex.compile(pattern).findall
         self.plain_find = PLAIN_FIND if pattern == PATTERN else self.find
         self.encode_words, self.encode_odd = encode_words, encode_odd
@@ -77,6 +76,16 @@ class CachedEncoder:
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. No cycles arise in here, so the collector rests meanwhile."""
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if resting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         given = pa.array(texts, pa.large_string())
         crossing = pc.match_substring_regex(given, CROSSING).to_numpy(zero_copy_only=False)
         cut = pc.split_pattern(pc.if_else(pa.array(crossing), pa.scalar("", pa.large_string()), given), " ")
