@@ -244,11 +244,21 @@ walk as (select sym, seq, side, n, price as start, 0 as g, price, size from rank
 
 @query(_with(f"select sym, seq, side, cast(g as int) as level, round(sum(price * size) / sum(size), 6) as price, round(sum(size), 6) as size from walk where g < {GROUPS} group by sym, seq, side, g", _LIVE, _GROUPED).replace("with ", "with recursive ", 1))
 def book_aggregate(spark, sf_dir):
-    snaps = _books(spark, sf_dir).where("seq % 7 = 0")
+    """Groups after every seventh message, as its SQL has them; book_aggregate_whole has those of all messages."""
+    return _groups(_books(spark, sf_dir).where("seq % 7 = 0"))
+
+
+def _groups(snaps: DataFrame) -> DataFrame:
     parts = [snaps.select("sym", "seq", F.lit(s).alias("side"), F.posexplode(book.aggregate_levels(F.col(c), RATIO, GROUPS)).alias("level", "x")) for s, c in (("B", "bids"), ("S", "asks"))]
     return parts[0].unionByName(parts[1]).select("sym", "seq", "side", "level", r6("x.price").alias("price"), r6("x.size").alias("size"))
 
 
+@query()
+def book_aggregate_whole(spark, sf_dir):
+    """Groups of both sides after each message; tested against brute force."""
+    return _groups(materialize(_books(spark, sf_dir), "books"))
+
+
 @query(_with(f"""select s.sym, s.seq, round((ln(t.b / t.a) / (2 * {SCALE / 100}) + 1) * mid / 10000, 6) as fair
   from (select *, (bid + ask) / 2 as mid from sides where bid is not null and ask is not null) s join lateral (
     select sum(case when side = 'B' then sqrt(size) * exp(10000 * (price - mid) / mid * {SCALE / 100}) end) as b, sum(case when side = 'S' then sqrt(size) * exp(10000 * (price - mid) / mid * {SCALE / 100}) end) as a
