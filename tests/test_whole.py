@@ -1,5 +1,6 @@
 """Queries without SQL against brute force over whole tables."""
 
+import math
 import os
 
 import pytest
@@ -43,3 +44,53 @@ def test_book_aggregate_of_all_messages(spark, books):
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
     part = queries.QUERIES["book_aggregate"](spark, FOLDER).collect()
     assert {(r["sym"], r["seq"], r["side"], r["level"]): (r["price"], r["size"]) for r in part} == {k: v for k, v in got.items() if k[1] % 7 == 0}
+
+
+def number(name):
+    return ((sum(map(ord, name)) * 37) % 100) / 200.0 + 0.05
+
+
+def test_static_book_combo_of_all_books(spark, books):
+    got = {(r["sym"], r["seq"]): r for r in queries.QUERIES["static_book_combo"](spark, FOLDER).collect()}
+    assert got.keys() == {k for k, (bids, asks) in books.items() if bids and asks} and len({k[1] % 7 for k in got}) == 7
+    for k, r in got.items():
+        bids, asks = books[k]
+        mid, want = (bids[0][0] + asks[0][0]) / 2, []
+        for ratio in (queries.RATIO, 2 * queries.RATIO):
+            for scale in (1e-3, 1e-2):
+                b, a = (sum(math.sqrt(s) * math.exp(sign * scale * 1e4 * (p - mid) / mid) for p, s in groups(ls, ratio, 4)) for ls, sign in ((bids, 1), (asks, -1)))
+                want.append(math.log(b / a) / (2 * scale) / 1e4)
+        want.append(sum(x * number(f"r{i}") for i, x in enumerate(want)))
+        assert [*r[2:6], r["combined"]] == pytest.approx(want, abs=2e-6)
+
+
+def soft(vs, fs, scale, post):
+    ws = [math.exp(f * scale * abs(v)) for v, f in zip(vs, fs)]
+    return sum(w * v * p for w, v, p in zip(ws, vs, post)) / sum(ws)
+
+
+def discounted(a, b):
+    return a - max(a, min(b, 0)) if a <= 0 else a - min(a, max(b, 0))
+
+
+def cascaded(xs, name):
+    n, p = len(xs), lambda k: number(f"{name}_{k}")
+    total = soft(xs, [p(f"soft_f_{i}") for i in range(n)], p("soft_scale"), [p(f"soft_p_{i}") for i in range(n)]) + sum(x * p(f"lin_{i}") for i, x in enumerate(xs))
+    f, q, moved = (lambda i, j: p(f"move_f_{i}_{j}")), (lambda i, j: p(f"move_p_{i}_{j}")), []
+    for i in range(n):
+        rest = [j for j in range(n) if j != i]
+        moved.append(discounted(xs[i], soft([xs[j] for j in rest], [f(i, j) for j in rest], p("move_scale"), [q(i, j) for j in rest])))
+    return total + soft(moved, [f(i, i) for i in range(n)], p("move_scale"), [q(i, i) for i in range(n)])
+
+
+def test_cascade_combo(spark):
+    want = []
+    for k, n, a, b, c in queries._items(spark, FOLDER).collect():
+        y = cascaded([(x - 0.1) / 2 for x in (a / 25, b / 5, c * 10)], "cascade") * 2 + 0.1
+        m = [a / 25, b / 5]
+        for layer, (size, act) in enumerate([(4, lambda x: math.tanh(x / 2)), (4, lambda x: max(0.0, x)), (2, lambda x: math.tanh(x / 2))]):
+            m = [act(sum(v * number(f"mlp_{layer}_w_{i}_{j}") for j, v in enumerate(m)) + number(f"mlp_{layer}_b_{i}")) for i in range(size)]
+        want.append((k, n, y, *m))
+    got = sorted(tuple(r) for r in queries.QUERIES["cascade_combo"](spark, FOLDER).collect())
+    assert len(got) == len(want)
+    assert all(g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=2e-6) for g, w in zip(got, sorted(want)))

@@ -272,7 +272,7 @@ def static_fair(spark, sf_dir):
 @query()
 def static_book_combo(spark, sf_dir):
     """Static fair returns over aggregated books for two ratios and two scales, and their sum with weights."""
-    snaps = materialize(_books(spark, sf_dir).where("seq % 7 = 0 and size(bids) > 0 and size(asks) > 0"), "books")
+    snaps = materialize(_books(spark, sf_dir).where("size(bids) > 0 and size(asks) > 0"), "books")
     mid = M.bbo_mid(book.bbo(F.col("bids"), F.col("asks")))
     got = signals.static_book_returns(F.col("bids"), F.col("asks"), mid, [RATIO, 2 * RATIO], [1e-3, 1e-2])
     names = [f"r{i}" for i in range(len(got))]
