@@ -2,11 +2,13 @@
 
 import math
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import queries
-from tidemark.operators import book
+from tidemark.operators import book, decay
 from tidemark.sources import derived
 
 FOLDER = "/root/testdata/sf0.001"
@@ -94,3 +96,16 @@ def test_cascade_combo(spark):
     got = sorted(tuple(r) for r in queries.QUERIES["cascade_combo"](spark, FOLDER).collect())
     assert len(got) == len(want)
     assert all(g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=2e-6) for g, w in zip(got, sorted(want)))
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_mixed_decay_carries_over_all_blocks(spark, block):
+    r = random.Random(11)
+    rows = [(k, n, 1.0 if k == "plain" else r.choice([1.0, 1.0, 0.9999]), 1.0 if k == "plain" else r.random()) for k in ("plain", "mixed") for n in range(20_001)]
+    df = spark.createDataFrame(rows, "sym string, n long, f double, c double")
+    got = {(x["sym"], x["n"]): x["y"] for x in decay.running_sum_mixed(df, ["sym"], ["n"], F.col("f"), F.col("c"), "y", block=block).collect()}
+    assert len(got) == len(rows) and got["plain", 20_000] == 20_001
+    y = 0.0
+    for k, n, f, c in rows:
+        y = (y if n else 0.0) * f + c
+        assert got[k, n] == pytest.approx(y, rel=1e-9)

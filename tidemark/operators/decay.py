@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
 from tidemark.operators import events
-from tidemark.operators.scan import DAY_US, scan
+from tidemark.operators.scan import DAY_US, _equal, scan
+from tidemark.sources.scratch import materialize
 
 STEPS_A_HALF_LIFE, BLOCK, HALF_LIVES, LEAST_HALF_LIFE_US = 20, 512, 60, 10
+#: Blocks of a mixed running sum that are combined into one of the next level.
+FAN = 64
 
 
 def step_us(half_life_us: int) -> int:
@@ -79,23 +82,44 @@ def running_sum_mixed(rows: DataFrame, keys: list[str], order: list[str], decay:
     """y = y * decay + tick on every row, each row with its own decay over 0 (1 for none).
 
     Rows need a dense number ``n`` within the keys in ``order``. Blocks of ``block`` rows are summed with cumulative
-    logarithms of the decays; the ends of the blocks are few and scanned with a fold over their array.
+    logarithms of the decays; the carry into a block is exact over all blocks before it.
     """
     rows = rows.withColumns({"_d": F.coalesce(decay, F.lit(1.0)), "_c": F.coalesce(tick, F.lit(0.0)), "_b": F.floor(F.col("n") / block)})
     upto = Window.partitionBy(*keys, "_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_log", F.sum(F.ln("_d")).over(upto)).withColumn("_local", F.exp("_log") * F.sum(F.col("_c") * F.exp(-F.col("_log"))).over(upto))
-    ends = rows.groupBy(*keys, "_b").agg(F.max_by(F.struct("_log", "_local"), "n").alias("_e"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(-64, -1)
-    carry = F.aggregate(F.collect_list("_e").over(w), F.lit(0.0), lambda y, e: y * F.exp(e["_log"]) + e["_local"])
-    ends = ends.select(*keys, "_b", carry.alias("_carry"))
+    ends = rows.groupBy(*keys, "_b").agg(F.max_by(F.struct(F.col("_log").alias("log"), F.col("_local").alias("sum")), "n").alias("_e"))
+    ends = materialize(ends, "decay-ends")
+    span = ends.agg(F.min("_b").alias("low"), F.max("_b").alias("high")).first()
+    ends = _carries(ends, keys, span["low"] or 0, span["high"] or 0)
     a, b = rows.alias("a"), ends.alias("b")
-    same = F.col("a._b") == F.col("b._b")
-    for k in keys:
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    same = _equal("a", "b", [*keys, "_b"])
     keep = [c for c in rows.columns if not c.startswith("_")]
     return a.join(b, same).select(*[F.col(f"a.{c}") for c in keep], (F.col("a._local") + F.exp("a._log") * F.col("b._carry")).alias(name))
 
 
+def _carries(ends: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
+    """keys, _b, _carry: the running sum before each block, of blocks ``low`` to ``high`` with ends ``_e`` (log, sum).
+
+    A block maps y to y exp(log) + sum. FAN blocks in a row are one block of the next level, whose carries are found
+    in the same way, so no window or fold is over more than FAN rows.
+    """
+    nothing = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
+
+    def fold(es: Column) -> Column:
+        return F.aggregate(es, nothing, lambda y, e: F.struct((y["log"] + e["log"]).alias("log"), (y["sum"] * F.exp(e["log"]) + e["sum"]).alias("sum")))
+
+    rows = ends.withColumn("_g", F.floor((F.col("_b") - low) / FAN))
+    before = Window.partitionBy(*keys, "_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_in", fold(F.collect_list("_e").over(before)))
+    last = (high - low) // FAN
+    if not last:
+        return inside.select(*keys, "_b", F.col("_in.sum").alias("_carry"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_b", "_e"))), lambda x: x["_e"])
+    groups = rows.groupBy(*keys, F.col("_g").alias("_b")).agg(fold(ordered).alias("_e"))
+    a, b = inside.alias("a"), _carries(materialize(groups, "decay-ends"), keys, 0, last).withColumnRenamed("_b", "_g").alias("b")
+    return a.join(b, _equal("a", "b", [*keys, "_g"])).select(*[F.col(f"a.{k}") for k in [*keys, "_b"]], (F.col("a._in.sum") + F.exp("a._in.log") * F.col("b._carry")).alias("_carry"))
+
+
 def ewma(log: DataFrame, keys: list[str], signal: str, half_life_us: int, name: str = "ewma", block_us: int = DAY_US) -> DataFrame:
     """Average of a latched signal on its grid: keys, k, ts_us, signal, ewma.
 
