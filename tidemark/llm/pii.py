@@ -5,7 +5,8 @@ sum, number of digits) and dropped where the check fails. They are the seed enti
 
 * every seed and every other identifier-like token (one with a digit, of MIN_ID characters or more) is an
   instance; the words before and after it make its lexical patterns: the two words before, the word before with
-  the word after, and a label directly before (a word that ends in ``:``, ``=`` or ``#``);
+  the word after, and a label directly before (a word followed by ``:``, ``=`` or ``#``); white space, quotes,
+  brackets and other punctuation next to the instance are skipped;
 * Spark scores the pattern-instance graph for ROUNDS rounds. A pattern's score is the share of its distinct
   instances that are trusted, each by its own score, times log2(1 + trusted instances) / log2(1 + MIN_SUPPORT)
   up to 1; an instance's score is that of its best pattern, seeds have 1;
@@ -46,6 +47,8 @@ _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _digit = re.compile(r"[0-9]").search
 _id = re.compile(r"[^\s]*[0-9][^\s]*").finditer
 _EDGE = ".,;:!?()[]{}<>\"'|*&%$#"
+#: What may stand between an entity and its context words, besides white space.
+_SKIP = frozenset(_EDGE + "=`“”„‘’«»")
 
 
 def luhn(digits: str) -> bool:
@@ -91,17 +94,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    before = text[max(0, start - 120) : start].split()[-2:]
-    after = text[end : end + 60].split()[:1]
-    if start >= 120 and len(before) == 2 and len(text[max(0, start - 120) : start].split()) == 2:
-        before = before[-1:]  # the word before may be cut
-    plain = [w.strip(_EDGE).lower() for w in before]
+    at, stop = start, end
+    while at and (text[at - 1] in _SKIP or text[at - 1].isspace()):
+        at -= 1
+    while stop < len(text) and (text[stop] in _SKIP or text[stop].isspace()):
+        stop += 1
+    head = text[max(0, at - 120) : at].split()
+    if at >= 120 and len(head) == 2:
+        head = head[-1:]  # the word before may be cut
+    plain = [p for w in head if (p := w.strip(_EDGE).lower())][-2:]
+    after = "".join(text[stop : stop + 60].split()[:1]).strip(_EDGE).lower()
     out = []
-    if len(plain) == 2 and all(plain):
+    if len(plain) == 2:
         out.append(f"b2 {plain[0]} {plain[1]}")
-    if plain and plain[-1] and after and after[0].strip(_EDGE):
-        out.append(f"ba {plain[-1]} | {after[0].strip(_EDGE).lower()}")
-    if before and before[-1][-1:] in ":=#" and plain[-1]:
+    if plain and after:
+        out.append(f"ba {plain[-1]} | {after}")
+    if plain and any(c in ":=#" for c in text[at:start]):
         out.append(f"lb {plain[-1]}")
     return out
 
