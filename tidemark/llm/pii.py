@@ -7,11 +7,11 @@ sum, number of digits) and dropped where the check fails. They are the seed enti
   instance; the words before and after it make its lexical patterns: the two words before, the word before with
   the word after, and a label directly before (a word followed by ``:``, ``=`` or ``#``); white space, quotes,
   brackets and other punctuation next to the instance are skipped;
-* Spark scores the pattern-instance graph for ROUNDS rounds. A pattern's score is the share of its distinct
+* Spark scores the pattern-instance graph in rounds until one adds no pattern. A pattern's score is the share of its distinct
   instances that are trusted, each by its own score, times log2(1 + trusted instances) / log2(1 + MIN_SUPPORT)
   up to 1; an instance's score is that of its best pattern, seeds have 1;
-* instances with a pattern of at least CONFIDENCE that trusts at least MIN_SUPPORT distinct seeds become spans of
-  kind ``id``. Base spans always stay; an added span never overlaps one.
+* a pattern of at least CONFIDENCE with at least MIN_SUPPORT distinct trusted instances (seeds, and those with a
+  pattern accepted in an earlier round) is accepted, and its instances become spans of kind ``id``. Base spans always stay; an added span never overlaps one.
 
 Counts are taken over all documents. Repeated texts count once for each distinct entity string, so a group of
 copies can't make a pattern.
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-#: The bootstrap: rounds, least confidence, distinct trusted seeds, least length of an identifier.
-ROUNDS, CONFIDENCE, MIN_SUPPORT, MIN_ID = 2, 0.8, 5, 6
+#: The bootstrap: rounds (None: until no pattern is added), least confidence, distinct trusted instances, least length
+#: of an identifier.
+ROUNDS, CONFIDENCE, MIN_SUPPORT, MIN_ID = None, 0.8, 5, 6
 #: Accepted patterns up to this number go to every executor; beyond it the join is shuffled.
 BROADCAST_PATTERNS = 100_000
 
@@ -154,26 +155,30 @@ def scan(docs: DataFrame) -> DataFrame:
     return common.arrow_map(docs.select("doc_id", "text"), make, schema)
 
 
-def patterns(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
+def patterns(scanned: DataFrame, rounds: int | None = ROUNDS, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
     """pattern, score of the accepted patterns."""
     edge = lambda column, seed: scanned.select(F.explode(column).alias("x")).select("x.entity", F.explode("x.patterns").alias("pattern"), F.lit(seed).alias("seed"))
     # A hot pattern or entity collapses in the partial aggregate before it is shuffled.
     graph = common.materialize(edge("seeds", 1).unionByName(edge("found", 0)).groupBy("pattern", "entity").agg(F.max("seed").alias("seed")), "pii-graph")
-    trust = F.col("seed").cast("double")
-    scores = None
-    for _ in range(rounds):
-        weighed = graph
-        if scores is not None:
-            instance = graph.join(scores, "pattern").groupBy("entity").agg(F.max("score").alias("own"))
+    accepted, known, done = None, 0, 0
+    while rounds is None or done < rounds:
+        weighed, trust = graph, F.col("seed").cast("double")
+        if known:
+            near = F.broadcast if known <= BROADCAST_PATTERNS else (lambda d: d)
+            instance = graph.join(near(accepted), "pattern").groupBy("entity").agg(F.max("score").alias("own"))
             weighed = graph.join(instance, "entity", "left")
-            trust = F.greatest(F.col("seed").cast("double"), F.when(F.col("own") >= confidence, F.col("own")).otherwise(0.0))
-        sums = weighed.groupBy("pattern").agg(F.sum(trust).alias("trusted"), F.count("*").alias("n"), F.sum("seed").alias("seeds"))
+            trust = F.greatest(trust, F.coalesce("own", F.lit(0.0)))
+        sums = weighed.groupBy("pattern").agg(F.sum(trust).alias("trusted"), F.count("*").alias("n"), F.sum((trust > 0).cast("long")).alias("instances"))
         enough = F.least(F.lit(1.0), F.log2(1 + F.col("trusted")) / F.log2(F.lit(1.0 + support)))
-        scores = common.materialize(sums.where(f"seeds >= {int(support)}").select("pattern", (F.col("trusted") / F.col("n") * enough).alias("score")), "pii-scores")
-    return scores.where(F.col("score") >= confidence)
+        scores = sums.where(f"instances >= {int(support)}").select("pattern", (F.col("trusted") / F.col("n") * enough).alias("score"))
+        accepted = common.materialize(scores.where(F.col("score") >= confidence), "pii-scores")
+        before, known, done = known, accepted.count(), done + 1
+        if known <= before:
+            break
+    return accepted
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
+def find(docs: DataFrame, rounds: int | None = ROUNDS, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
     """doc_id, base, added: for each row of ``docs`` its base spans and the added ones (arrays of kind, start, stop)."""
     scanned = common.materialize(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
     accepted = patterns(scanned, rounds, confidence, support)
@@ -215,7 +220,7 @@ def _key(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def redacted(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
+def redacted(docs: DataFrame, rounds: int | None = ROUNDS, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
     """``docs`` with its spans replaced in ``text``; ``n_chars`` (if there is one) follows a changed text.
 
     Texts aren't shuffled or stored: with the accepted patterns known (BROADCAST_PATTERNS of them at most go to the
@@ -262,7 +267,7 @@ def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
     return changed.withColumns(columns).select(docs.columns)
 
 
-def _redacted_by_join(docs: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
+def _redacted_by_join(docs: DataFrame, rounds: int | None, confidence: float, support: int) -> DataFrame:
     kept = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
     found = find(kept.select(F.col("_row").alias("doc_id"), "text"), rounds, confidence, support).select(F.col("doc_id").alias("_row"), F.concat("base", "added").alias("_spans"))
 
