@@ -1,29 +1,34 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped context patterns.
 
 Base spans are the leftmost non-overlapping matches of four fixed patterns, checked (parts of an address, Luhn
-sum, number of digits) and dropped where the check fails. They are the seed entities of a bootstrap:
-
-* every seed and every other identifier-like token (one with a digit, of MIN_ID characters or more) is an
-  instance; the words before and after it make its lexical patterns: the two words before, the word before with
-  the word after, and a label directly before (a word followed by ``:``, ``=`` or ``#``); white space, quotes,
-  brackets and other punctuation next to the instance are skipped;
-* Spark scores the pattern-instance graph in rounds until one adds no pattern. A pattern's score is the share of its distinct
-  instances that are trusted, each by its own score, times log2(1 + trusted instances) / log2(1 + MIN_SUPPORT)
-  up to 1; an instance's score is that of its best pattern, seeds have 1;
+sum, number of digits) and dropped where the check fails. A bootstrap adds to them:
+
+* its seed entities are the base spans and tokens that only a secret looks like (``secret_shape``: long
+  hexadecimal strings, UUIDs, long mixes of capitals, small letters and digits); every other token with a digit,
+  of MIN_ID characters or more, is an unlabelled instance;
+* the words before and after an entity make its lexical patterns: the two words before, the word before with the
+  word after, and a label directly before (a word followed by ``:``, ``=`` or ``#``). White space, quotes,
+  brackets and other punctuation next to the entity are skipped; words are taken whole, however long;
+* Spark scores the pattern-instance graph in rounds until one adds no pattern. A pattern's score is the share of
+  its distinct instances that are trusted, each by its own score, times log2(1 + trusted instances) /
+  log2(1 + MIN_SUPPORT) up to 1; an instance's score is that of its best pattern, seeds have 1;
 * a pattern of at least CONFIDENCE with at least MIN_SUPPORT distinct trusted instances (seeds, and those with a
-  pattern accepted in an earlier round) is accepted, and its instances become spans of kind ``id``. Base spans always stay; an added span never overlaps one.
+  pattern accepted in an earlier round) is accepted, and its instances become spans of kind ``id``. A secret's
+  shape alone makes no span. Base spans always stay; an added span never overlaps one.
 
 Counts are taken over all documents. Repeated texts count once for each distinct entity string, so a group of
-copies can't make a pattern.
+copies can't make a pattern. Edges are aggregated before they are shuffled, so a hot pattern or entity arrives as
+its distinct partners only.
 
 Defined cases: null text counts as empty; rows may repeat, each is judged by itself; other columns are ignored;
-an empty table gives no rows.
+an empty table gives no rows. All scans of a text take time in proportion to its length, whatever it holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pandas as pd
 import pyarrow as pa
@@ -42,11 +47,15 @@ BROADCAST_PATTERNS = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
-_ip = re.compile(r"[0-9]+(?:\.[0-9]+){3}").finditer
+# No match can begin inside a run of digits if none begins with the run, so only its start is tried.
+_ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _digit = re.compile(r"[0-9]").search
-_id = re.compile(r"[^\s]*[0-9][^\s]*").finditer
+_digit_on = re.compile(r"[0-9]\S*").finditer
+_word = re.compile(r"\S+").finditer
+_hex = re.compile(r"[0-9a-fA-F]{32,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}").fullmatch
+_mixed = re.compile(r"[A-Za-z0-9_+/=-]{24,}").fullmatch
 _EDGE = ".,;:!?()[]{}<>\"'|*&%$#"
 #: What may stand between an entity and its context words, besides white space.
 _SKIP = frozenset(_EDGE + "=`“”„‘’«»")
@@ -81,7 +90,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in emails(text)]
     if _digit(text):
         for m in _ip(text):
-            if all(int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
                 found.append(("ip", *m.span()))
         for m in _card(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -94,34 +103,61 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def secret_shape(token: str) -> bool:
+    """Whether a token looks like a key or digest and like nothing else."""
+    digits = sum("0" <= c <= "9" for c in token)
+    if _hex(token):
+        return digits >= 4 and len(token) - digits >= 4
+    return bool(_mixed(token)) and digits >= 3 and any("a" <= c <= "z" for c in token) and any("A" <= c <= "Z" for c in token)
+
+
+class Contexts:
+    """Lexical patterns of entities of one text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.words = [m.span() for m in _word(text)]
+        self.starts = [a for a, _ in self.words]
+
+    def __call__(self, start: int, end: int) -> list[str]:
+        text, at, stop = self.text, start, end
+        while at and (text[at - 1] in _SKIP or text[at - 1].isspace()):
+            at -= 1
+        while stop < len(text) and (text[stop] in _SKIP or text[stop].isspace()):
+            stop += 1
+        before, k, cut = [], bisect_right(self.starts, at - 1) - 1, at
+        while k >= 0 and len(before) < 2:
+            word = text[self.starts[k] : min(cut, self.words[k][1])].strip(_EDGE).lower()
+            if word:
+                before.append(word)
+            k -= 1
+        out = []
+        if len(before) == 2:
+            out.append(f"b2 {before[1]} {before[0]}")
+        if before and stop < len(text):
+            after = text[stop : self.words[bisect_right(self.starts, stop) - 1][1]].strip(_EDGE).lower()
+            if after:
+                out.append(f"ba {before[0]} | {after}")
+        if before and any(c in ":=#" for c in text[at:start]):
+            out.append(f"lb {before[0]}")
+        return out
+
+
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    at, stop = start, end
-    while at and (text[at - 1] in _SKIP or text[at - 1].isspace()):
-        at -= 1
-    while stop < len(text) and (text[stop] in _SKIP or text[stop].isspace()):
-        stop += 1
-    head = text[max(0, at - 120) : at].split()
-    if at >= 120 and len(head) == 2:
-        head = head[-1:]  # the word before may be cut
-    plain = [p for w in head if (p := w.strip(_EDGE).lower())][-2:]
-    after = "".join(text[stop : stop + 60].split()[:1]).strip(_EDGE).lower()
-    out = []
-    if len(plain) == 2:
-        out.append(f"b2 {plain[0]} {plain[1]}")
-    if plain and after:
-        out.append(f"ba {plain[-1]} | {after}")
-    if plain and any(c in ":=#" for c in text[at:start]):
-        out.append(f"lb {plain[-1]}")
-    return out
+    return Contexts(text)(start, end)
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Identifier-like tokens that overlap no base span."""
     if not _digit(text):
         return []
-    out, taken, k = [], sorted((a, b) for _, a, b in base), 0
-    for m in _id(text):
-        word, start = m[0], m.start()
+    out, taken, k, free = [], sorted((a, b) for _, a, b in base), 0, 0
+    for m in _digit_on(text):
+        start = m.start()
+        while start > free and not text[start - 1].isspace():
+            start -= 1
+        free = m.end()
+        word = text[start:free]
         a = start + len(word) - len(word.lstrip(_EDGE))
         b = start + len(word.rstrip(_EDGE))
         while k < len(taken) and taken[k][1] <= a:
@@ -132,7 +168,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind, start, end), found (candidates' start, end, entity, patterns), seeds (entity, patterns).
+    """doc_id, base (kind, start, end), found (candidates' start, end, entity, seed, patterns), seeds (entity, patterns).
 
     Entities are 64-bit digests of the matched string, patterns of the context.
     """
@@ -143,23 +179,25 @@ def scan(docs: DataFrame) -> DataFrame:
             for t in texts:
                 t = t or ""
                 base = base_spans(t)
+                found = candidates(t, base)
+                contexts = Contexts(t) if base or found else None
                 bases.append([{"kind": k, "start": a, "stop": b} for k, a, b in base])
-                founds.append([{"start": a, "stop": b, "entity": _key(t[a:b].lower()), "patterns": [_key(c) for c in _contexts(t, a, b)]} for a, b in candidates(t, base)])
-                seeds.append([{"entity": _key(t[a:b].lower()), "patterns": [_key(c) for c in _contexts(t, a, b)]} for _, a, b in base])
+                founds.append([{"start": a, "stop": b, "entity": _key(t[a:b].lower()), "seed": int(secret_shape(t[a:b])), "patterns": [_key(c) for c in contexts(a, b)]} for a, b in found])
+                seeds.append([{"entity": _key(t[a:b].lower()), "patterns": [_key(c) for c in contexts(a, b)]} for _, a, b in base])
             return [ids, bases, founds, seeds]
 
         return f
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, base array<struct<kind:string,start:int,stop:int>>, found array<struct<start:int,stop:int,entity:bigint,patterns:array<bigint>>>, seeds array<struct<entity:bigint,patterns:array<bigint>>>"
+    schema = f"doc_id {kind}, base array<struct<kind:string,start:int,stop:int>>, found array<struct<start:int,stop:int,entity:bigint,seed:int,patterns:array<bigint>>>, seeds array<struct<entity:bigint,patterns:array<bigint>>>"
     return common.arrow_map(docs.select("doc_id", "text"), make, schema)
 
 
 def patterns(scanned: DataFrame, rounds: int | None = ROUNDS, confidence: float = CONFIDENCE, support: int = MIN_SUPPORT) -> DataFrame:
     """pattern, score of the accepted patterns."""
-    edge = lambda column, seed: scanned.select(F.explode(column).alias("x")).select("x.entity", F.explode("x.patterns").alias("pattern"), F.lit(seed).alias("seed"))
+    edge = lambda column, seed: scanned.select(F.explode(column).alias("x")).select("x.entity", F.explode("x.patterns").alias("pattern"), seed.alias("seed"))
     # A hot pattern or entity collapses in the partial aggregate before it is shuffled.
-    graph = common.materialize(edge("seeds", 1).unionByName(edge("found", 0)).groupBy("pattern", "entity").agg(F.max("seed").alias("seed")), "pii-graph")
+    graph = common.materialize(edge("seeds", F.lit(1)).unionByName(edge("found", F.col("x.seed"))).groupBy("pattern", "entity").agg(F.max("seed").alias("seed")), "pii-graph")
     accepted, known, done = None, 0, 0
     while rounds is None or done < rounds:
         weighed, trust = graph, F.col("seed").cast("double")
@@ -190,10 +228,10 @@ def find(docs: DataFrame, rounds: int | None = ROUNDS, confidence: float = CONFI
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added, n_spans (all)."""
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     counts = [F.size(F.filter("base", _of(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def _of(kind: str):
@@ -241,7 +279,9 @@ def redacted(docs: DataFrame, rounds: int | None = ROUNDS, confidence: float = C
             if not t:
                 return t
             base = base_spans(t)
-            added = [("id", a, b) for a, b in candidates(t, base) if known and any(_key(c) in known for c in _contexts(t, a, b))]
+            found = candidates(t, base) if known else []
+            contexts = Contexts(t) if found else None
+            added = [("id", a, b) for a, b in found if any(_key(c) in known for c in contexts(a, b))]
             return redact(t, base + added) if base or added else t
 
         def f(batch):
