@@ -1,12 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts are sequences of lower-cased words. Seeds are shingles of MATCH words that a document shares with a
-benchmark item: the benchmark's seed hashes form a bitmap of fixed size that every executor holds, a document
-keeps the stretches of its words whose seeds are in it, and an equality join with the benchmark's seeds gives the
-(document, item) pairs. On each pair tiles are set greedily: a Karp-Rabin table of all windows of the current
-length finds matches, each is extended, the longest that overlap no tile are marked first, and the length falls
-until it is MATCH. A document is contaminated by an item if tiles cover at least COVERAGE of the item's words;
-since tiles may lie in any order, reordered passages count.
+benchmark item: the benchmark's seed hashes form a bitmap that every executor holds, a document keeps the
+stretches of its words whose seeds are in it, and an equality join with the benchmark's seeds gives the
+(document, item) pairs. On each pair tiles are set greedily by running Karp-Rabin: hashes of all windows of the
+current length roll over both texts, equal ones are extended to maximal matches, and these are marked strictly
+from the longest on (ties by the place in the document, then in the item). A match that a longer tile has cut
+into goes back into the queue with what is left of it. The length halves when no match as long is left, until it
+is MATCH. A document is contaminated by an item if tiles cover at least COVERAGE of the item's words; since tiles
+may lie in any order, reordered passages count.
+
+Two exact bounds keep hopeless pairs from being tiled. Every MATCH words in a row of a tile are a shared seed, so
+tiles can only cover those words of the item that lie in some seed which the document has too. Hence
+
+* an item is joined by its rarest seeds only: its seeds most frequent among documents are left out as long as
+  they cover less than COVERAGE of it together, as a document that shares none but those can't be contaminated by
+  it. A phrase that many documents and items have in common thus makes no pairs;
+* a pair is tiled only if its shared seeds cover COVERAGE of the item's words.
 
 An item of fewer than MATCH words is matched as a whole, as one seed of its own length.
 
@@ -19,6 +29,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +45,9 @@ MATCH, COVERAGE = 5, 0.8
 #: An item's rows go to every executor up to this many bytes of benchmark text; beyond it they are shuffled.
 BROADCAST_BYTES = 8 << 20
 
+#: Base and modulus of the rolling hash; matches are compared word by word.
+BASE, PRIME = 1_000_003, (1 << 61) - 1
+
 _words = re.compile(r"\w+").findall
 
 
@@ -51,68 +66,88 @@ def seed_hashes(ws: list[str], match: int = MATCH) -> list[int]:
     return [_hash(ws[i : i + match]) for i in range(max(1, len(ws) - match + 1))]
 
 
-def tile(doc: list[str], item: list[str], match: int = MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiles (position in doc, position in item, length), longest first.
+def _runs(free: list[bool]) -> Iterator[tuple[int, int]]:
+    start = None
+    for k, ok in enumerate([*free, False]):
+        if ok and start is None:
+            start = k
+        elif not ok and start is not None:
+            yield start, k
+            start = None
 
-    A search length starts at the item's length and halves while nothing that long matches. Matches found at a
-    search length are kept by length and marked from the longest on; one that a longer tile has cut into is
-    dropped, and its rest is found by the next scan. The length halves when a scan marks nothing.
-    """
-    match = min(match, len(item))
-    free_d, free_i, tiles = [True] * len(doc), [True] * len(item), []
 
-    def runs(free):
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                yield start, k
-                start = None
+def _rolling(numbers: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
+    """(place, hash) of each window of ``size`` numbers that are all free."""
+    top = pow(BASE, size - 1, PRIME)
+    for a, b in _runs(free):
+        if b - a < size:
+            continue
+        h = 0
+        for x in numbers[a : a + size]:
+            h = (h * BASE + x) % PRIME
+        yield a, h
+        for k in range(a + 1, b - size + 1):
+            h = ((h - numbers[k - 1] * top) * BASE + numbers[k + size - 1]) % PRIME
+            yield k, h
+
+
+def tile(doc: list[str], item: list[str], match: int = MATCH) -> list[tuple[int, int, int]]:
+    """Greedy tiles (position in doc, position in item, length), longest first."""
+    match, number = min(match, len(item)), {}
+    d_words = [number.setdefault(w, len(number) + 1) for w in doc]
+    i_words = [number.setdefault(w, len(number) + 1) for w in item]
+    free_d, free_i, tiles = [True] * len(doc), [True] * len(item), []
 
     def scan(size):
-        """Maximal matches of at least ``size`` words: by length."""
-        table = defaultdict(list)
-        for a, b in runs(free_d):
-            for k in range(a, b - size + 1):
-                table[hash(tuple(doc[k : k + size]))].append(k)
-        found, longest = defaultdict(list), 0
-        for a, b in runs(free_i):
-            k = a
-            while k + size <= b:
-                for d in table.get(hash(tuple(item[k : k + size])), ()):
-                    if k > a and d > 0 and free_d[d - 1] and doc[d - 1] == item[k - 1]:
-                        continue  # part of the match one word before
-                    n = 0
-                    while k + n < b and d + n < len(doc) and free_d[d + n] and doc[d + n] == item[k + n]:
-                        n += 1
-                    if n >= size:
-                        longest = max(longest, n)
-                        found[n].append((d, k))
-                k += 1
-        return found, longest
+        """Maximal free matches of at least ``size`` words, as (-length, place in doc, place in item)."""
+        table, found = defaultdict(list), []
+        for k, h in _rolling(i_words, free_i, size):
+            table[h].append(k)
+        for d, h in _rolling(d_words, free_d, size) if table else ():
+            for k in table.get(h, ()):
+                if k and d and free_i[k - 1] and free_d[d - 1] and d_words[d - 1] == i_words[k - 1]:
+                    continue  # part of the match one word before
+                n = 0
+                while k + n < len(item) and d + n < len(doc) and free_i[k + n] and free_d[d + n] and d_words[d + n] == i_words[k + n]:
+                    n += 1
+                if n >= size:
+                    found.append((-n, d, k))
+        return found
 
     size = len(item)
-    while size >= match:
-        found, longest = scan(size)
+    while size >= match > 0:
+        queue = scan(size)
+        longest = -min(queue)[0] if queue else 0
         if longest > 2 * size:
             size = longest
             continue
-        marked = False
-        for n in sorted(found, reverse=True):
-            for d, k in found[n]:
-                if all(free_d[d : d + n]) and all(free_i[k : k + n]):
-                    free_d[d : d + n] = [False] * n
-                    free_i[k : k + n] = [False] * n
-                    tiles.append((d, k, n))
-                    marked = True
-        if not marked:
-            if size == match:
-                break
-            size = max(match, size // 2)
+        heapify(queue)
+        while queue:
+            n, d, k = heappop(queue)
+            left = [a and b for a, b in zip(free_d[d : d - n], free_i[k : k - n])]
+            if all(left):
+                free_d[d : d - n] = free_i[k : k - n] = [False] * -n
+                tiles.append((d, k, -n))
+                continue
+            for a, b in _runs(left):
+                if b - a >= size:
+                    heappush(queue, (a - b, d + a, k + a))
+        if size == match:
+            break
+        size = max(match, size // 2)
     return tiles
 
 
+def covered(places: list[int], match: int, length: int) -> int:
+    """Words of an item of ``length`` words that lie in the seeds at these places (in ascending order)."""
+    total, stop = 0, 0
+    for p in places:
+        end = min(p + match, length)
+        total += end - max(p, stop)
+        stop = end
+    return total
+
+
 def _bench(benchmark: DataFrame, match: int) -> DataFrame:
     """item_id, words, seeds of every benchmark row with words."""
 
@@ -184,15 +219,17 @@ def _stretches(docs: DataFrame, bits: np.ndarray, vocabulary_bits: np.ndarray, m
 def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, tiles, matched_words, item_words of each document and item that contaminates it."""
     bench = common.materialize(_bench(benchmark, match).withColumn("item", F.monotonically_increasing_id()), "benchmark")
-    seeds = bench.select("item", F.explode("seeds").alias("seed"))
+    seeds = bench.select(F.explode("seeds").alias("seed"))
     sizes = [r["n"] for r in bench.where(f"size(words) < {int(match)}").select(F.size("words").alias("n")).distinct().collect()]  # fewer than MATCH numbers
     vocabulary = _word_hashes(bench)
     bits, known = common.hash_bitmap(seeds, "seed"), common.hash_bitmap(vocabulary, "h")
     hit = common.materialize(_stretches(docs, bits, known, match, sizes).withColumn("row", F.monotonically_increasing_id()), "stretches")
     total = bench.agg(F.sum(F.expr("aggregate(words, 0L, (a, w) -> a + length(w) + 9)")).alias("n")).first()["n"] or 0
     near = F.broadcast if total <= BROADCAST_BYTES else (lambda d: d)
-    pairs = hit.select("row", F.explode("seeds").alias("seed")).join(near(seeds.distinct()), "seed").select("row", "item").distinct()
-    both = pairs.join(near(bench.select("item", "item_id", "words")), "item").join(hit.select("row", "doc_id", "part"), "row")
+    held = hit.select("row", F.explode("seeds").alias("seed"))
+    index = _rare_seeds(bench, held.groupBy("seed").agg(F.count("*").alias("docs")), match, coverage)
+    pairs = held.join(near(index), "seed").select("row", "item").distinct()
+    both = pairs.join(near(bench.select("item", "item_id", "words", F.col("seeds").alias("item_seeds"))), "item").join(hit.select("row", "doc_id", "part", "seeds"), "row")
 
     def run(batches):
         names = ["doc_id", "item_id", "coverage", "tiles", "matched_words", "item_words"]
@@ -200,16 +237,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
             for piece in common.slices(batch):
                 out = []
                 for r in piece.to_pylist():
+                    shared, n = set(r["seeds"]), len(r["words"])
+                    if covered([p for p, seed in enumerate(r["item_seeds"]) if seed in shared], match, n) < coverage * n:
+                        continue
                     tiles = tile(r["part"], r["words"], match)
-                    covered = sum(n for _, _, n in tiles)
-                    if covered >= coverage * len(r["words"]):
-                        out.append((r["doc_id"], r["item_id"], covered / len(r["words"]), len(tiles), covered, len(r["words"])))
+                    words_in = sum(size for _, _, size in tiles)
+                    if words_in >= coverage * n:
+                        out.append((r["doc_id"], r["item_id"], words_in / n, len(tiles), words_in, n))
                 columns = list(zip(*out)) if out else [[]] * 6
                 types = [piece.schema.field("doc_id").type, piece.schema.field("item_id").type, pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id"))]
-    return both.select("doc_id", "item_id", "words", "part").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double, tiles int, matched_words int, item_words int")
+    return both.select("doc_id", "item_id", "words", "item_seeds", "part", "seeds").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double, tiles int, matched_words int, item_words int")
+
+
+def _rare_seeds(bench: DataFrame, frequency: DataFrame, match: int, coverage: float) -> DataFrame:
+    """seed, item: of each item the seeds left when the most frequent ones that together cover less than
+    ``coverage`` of it are taken away; seeds that no document has are left out."""
+    placed = bench.select("item", F.size("words").alias("n"), F.posexplode("seeds").alias("pos", "seed")).join(frequency, "seed")
+    listed = placed.groupBy("item", "n").agg(F.collect_list(F.struct("docs", "seed", "pos")).alias("held"))
+
+    def make():
+        def f(items, sizes, helds):
+            out = []
+            for n, held in zip(sizes, helds):
+                places, taken, gone = defaultdict(list), [False] * n, 0
+                for x in held:
+                    places[-x["docs"], x["seed"]].append(x["pos"])
+                order, left = sorted(places), 0
+                while left < len(order):
+                    new = {p for at in places[order[left]] for p in range(at, min(at + match, n)) if not taken[p]}
+                    gone += len(new)
+                    if gone >= coverage * n:
+                        break
+                    for p in new:
+                        taken[p] = True
+                    left += 1
+                out.append([seed for _, seed in order[left:]])
+            return [items, out]
+
+        return f
+
+    return common.arrow_map(listed.select("item", "n", "held"), make, "item long, seeds array<bigint>").select(F.explode("seeds").alias("seed"), "item")
 
 
 def _word_hashes(bench: DataFrame) -> DataFrame:
