@@ -8,20 +8,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that new_folder has named.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Where the setting is absent (local tests) a folder is made and stored in the session.
+    A session on a local master may lack the setting (tests): a folder is made once and stored in the session. On a
+    cluster a folder of one machine would lose or split data, so there the setting is required.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables that this process has written; frames that still read them can't be used any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _made:
+        path = hadoop.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
