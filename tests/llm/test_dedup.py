@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats, simhash
+from tidemark.llm import bwt
 from tidemark.llm.bwt import repeated
 from tidemark.llm.components import components
 
@@ -99,6 +100,20 @@ def test_transform_finds_repeated_windows():
         assert [m.tolist() for m in repeated(pieces, size)] == brute_mask(pieces, size)
 
 
+def test_thresholds_with_own_starts(monkeypatch):
+    """Several thresholds in one expansion; starts that aren't a piece's own neither count nor are found; both sorts."""
+    r = random.Random(6)
+    for turn in range(80):
+        monkeypatch.setattr(bwt, "WORD", r.choice([1 << 21, 4]))
+        base = bytes(r.choice(b"ab" if turn % 2 else b"abcdefgh") for _ in range(60))
+        pieces = [base[r.randint(0, 20) :][: r.randint(1, 60)] for _ in range(r.randint(1, 8))]
+        own = [r.randint(0, len(p)) for p in pieces]
+        for size, masks in zip((3, 9, 20), bwt.repeated_at(pieces, [3, 9, 20], own)):
+            seen = Counter(p[i : i + size] for p, n in zip(pieces, own) for i in range(min(n, len(p) - size + 1)))
+            want = [[i < n and i + size <= len(p) and seen[p[i : i + size]] > 1 for i in range(len(p))] for p, n in zip(pieces, own)]
+            assert [m.tolist() for m in masks] == want
+
+
 def brute_removal(texts, size):
     raws = [(t or "").encode() for t in texts]
     out = []
@@ -112,6 +127,22 @@ def brute_removal(texts, size):
     return out
 
 
+def brute_passages(texts, size, words):
+    raws = [(t or "").encode() for t in texts]
+    out = []
+    for raw, mask in zip(raws, brute_mask(raws, size)):
+        gone = bytearray(len(raw))
+        for i, m in enumerate(mask):
+            if m:
+                gone[i : i + size] = b"\1" * size
+        runs, at = [], 0
+        while (a := gone.find(1, at)) >= 0:
+            at = b if (b := gone.find(0, a)) >= 0 else len(gone)
+            runs.append(raw[a:at])
+        out.append(sum(len(r.split()) >= words for r in runs))
+    return out
+
+
 @pytest.mark.parametrize("most", [4000, 1])
 def test_removal_equals_brute_force(spark, most):
     """``most`` = 1 sends every contested anchor to counting."""
@@ -121,8 +152,11 @@ def test_removal_equals_brute_force(spark, most):
     texts = [" ".join(r.choice([r.choice(passages), word(), word()]) for _ in range(r.randint(0, 12))) for _ in range(60)]
     texts += [texts[0], None, "", "a" * 300, "a" * 41, "xyz" * 60]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x["doc_id"]: tuple(x)[1:] for x in repeats.digest(repeats.remove(docs, length=40, anchor=12, most=most)).collect()}
+    found = repeats.digest(repeats.remove(docs, length=40, passage=25, anchor=12, most=most, words=5)).collect()
+    got = {x["doc_id"]: tuple(x)[1:5] for x in found}
     assert [got[i] for i in range(len(texts))] == brute_removal(texts, 40)
+    passages = {x["doc_id"]: x["n_passages"] for x in found}
+    assert [passages[i] for i in range(len(texts))] == brute_passages(texts, 25, 5) and max(passages.values()) > 1
 
 
 def test_anchors_do_not_depend_on_blocks():
@@ -136,14 +170,14 @@ def test_anchors_do_not_depend_on_blocks():
 def test_anchors_are_sparse():
     r = random.Random(11)
     raw = bytes(r.choice(b"etaoin shrdlu") for _ in range(50_000))
-    first, n, _ = repeats.Anchors()(raw)
+    first, n, _ = repeats.Anchors(400, 128)(raw)
     assert int(n.sum()) == len(raw) - 399 and len(first) < 3 * len(raw) / 273
-    moved = repeats.Anchors()(b"x" * 7 + raw)[2].tolist()
-    assert len(set(moved) & set(repeats.Anchors()(raw)[2].tolist())) >= len(first) - 4
+    moved = repeats.Anchors(400, 128)(b"x" * 7 + raw)[2].tolist()
+    assert len(set(moved) & set(repeats.Anchors(400, 128)(raw)[2].tolist())) >= len(first) - 4
 
 
 def test_removal_of_odd_rows(odd, none):
     rows = odd.collect()
-    got = sorted(tuple(r)[1:] for r in repeats.digest(repeats.remove(odd)).collect())
+    got = sorted(tuple(r)[1:5] for r in repeats.digest(repeats.remove(odd)).collect())
     assert got == sorted(brute_removal([r["text"] for r in rows], 400))
     assert repeats.remove(none).count() == 0

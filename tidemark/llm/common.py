@@ -76,20 +76,23 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-#: log2 of the bits in a hash bitmap. It fixes what is sent to the driver and to the executors: 2^25 bits, 4 MiB.
-BITMAP_LOG2 = 25
+#: A hash bitmap has BITS_A_KEY bits for each key up to 2^MOST_LOG2 bits (32 MiB), which bounds what is sent to the
+#: driver (twice that) and to the executors. With more keys it fills and rules out less.
+BITS_A_KEY, LEAST_LOG2, MOST_LOG2 = 16, 16, 28
 
 
-def hash_bitmap(keys: DataFrame, column: str, log2: int = BITMAP_LOG2) -> np.ndarray:
-    """One-hash Bloom filter of a LONG column, as packed bytes.
+def hash_bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bloom filter of a LONG column of hashes (null ones left out), as words of 64 bits.
 
-    At most 2^(log2-6) 64-bit words reach the driver, however many keys there are. A set bit may be a
-    false positive, a clear bit never a false negative, so users confirm hits with an equality join.
+    A key sets two bits, named by its low and by its high digits. Both set may be a false positive, one clear never a
+    false negative, so users confirm hits with an equality join.
     """
-    slot = F.col(column).bitwiseAND((1 << log2) - 1)
+    known = keys.select(F.col(column).alias("key")).where("key is not null")
+    log2 = min(MOST_LOG2, max(LEAST_LOG2, (known.count() * BITS_A_KEY).bit_length()))
+    slots = F.array(F.col("key").bitwiseAND((1 << log2) - 1), F.shiftrightunsigned("key", 64 - log2))
     words = (
-        keys.where(F.col(column).isNotNull())
-        .select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b"))
+        known.select(F.explode(slots).alias("slot"))
+        .select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
     )
@@ -103,8 +106,12 @@ def hash_bitmap(keys: DataFrame, column: str, log2: int = BITMAP_LOG2) -> np.nda
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the int64/uint64 keys may be in the bitmap."""
     keys = keys.astype(np.uint64, copy=False)
-    slot = keys & np.uint64(len(bits) * 64 - 1)
-    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    size = len(bits) * 64
+
+    def is_set(slot):
+        return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+    return is_set(keys & np.uint64(size - 1)) & is_set(keys >> np.uint64(65 - size.bit_length()))
 
 
 def held_out(doc_id) -> F.Column:

@@ -140,7 +140,7 @@ def recipes(docs: DataFrame) -> DataFrame:
 def store(docs: DataFrame, known: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Write the store below ``folder``; returns what is read back: packs (media, parts) and shared chunks (digest, data)."""
     spark = docs.sparkSession
-    again = known.select(F.explode("chunks").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    again = common.materialize(known.select(F.explode("chunks").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "chunks-again")
     bits = common.hash_bitmap(_signed_key(again), "key")
     shared = spark.sparkContext.broadcast(bits)
 

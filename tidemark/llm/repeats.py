@@ -1,20 +1,28 @@
 """Exact removal of long repeated byte strings over a whole corpus.
 
-A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. Every window of LENGTH bytes is
-assigned to its anchor, the leftmost least hash among its ANCHOR-byte strings; equal windows have equal anchors
-at the same place, so windows need comparing only within an anchor's hash. The windows of one text that share an
-anchor are consecutive and make a fragment.
+A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. On the way, shorter passages are
+found too: a passage is a maximal run of bytes covered by strings of PASSAGE bytes that start elsewhere as well,
+of WORDS words or more; a passage of few letters a word falls short of LENGTH bytes, is reported and not removed.
+
+Every window of PASSAGE bytes is assigned to its anchor, the leftmost least hash among its ANCHOR-byte strings;
+equal windows have equal anchors at the same place, so windows need comparing only within an anchor's hash, and
+so do the longer windows that begin with them. The windows of one text that share an anchor are consecutive and
+make a fragment: their starts are its own, and its bytes reach to the end of the last one's LENGTH bytes.
 
 1. Texts give (anchor, fragment digest, place) rows. Aggregates count them: a fragment that occurs twice is
    repeated as a whole; an anchor with one fragment that occurs once has nothing to compare.
-2. For the other, contested anchors, a second pass over the texts (a bitmap of fixed size tells candidates) deals
-   the distinct fragments' bytes by anchor. Groups are put together up to BATCH_BYTES and their repeated windows
-   found by threshold-bounded interval expansion on a Burrows-Wheeler transform (:mod:`tidemark.llm.bwt`).
+2. For the other, contested anchors, a second pass over the texts (a bitmap tells candidates) deals the distinct
+   fragments' bytes by anchor. Groups are put together up to BATCH_BYTES and their repeated windows found by
+   threshold-bounded interval expansion on a Burrows-Wheeler transform (:mod:`tidemark.llm.bwt`), which passes
+   PASSAGE and stops at LENGTH; only own starts count, so a place counts once though several fragments show it.
 3. An anchor with over MOST_FRAGMENTS distinct fragments isn't gathered in a task: the 128-bit digests of its
    fragments' windows are counted by an aggregate instead, which has the same result.
 
 Texts are keyed by their MD5, so copies share their spans. Within a task the third and later copies of a text or
-fragment add nothing to "occurs twice" and are left out before the shuffle.
+fragment add nothing to "occurs twice" and are left out before the shuffle. Only texts that lose bytes or hold a
+passage (a bitmap of their keys tells them, false positives included) are shuffled to meet their spans.
+
+Fragments are told apart by a 64-bit digest within an anchor's 64-bit hash.
 
 Defined cases: null text counts as empty; texts under LENGTH bytes and empty ones lose nothing; rows may repeat (a
 repeated row is a copy); other columns are ignored; an empty table gives no rows.
@@ -31,23 +39,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.bwt import repeated
+from tidemark.llm.bwt import repeated_at
 
-LENGTH, ANCHOR = 400, 128
+LENGTH = 400
+#: Bytes of the windows that passages are made of, and words of a passage; bytes of an anchor.
+PASSAGE, WORDS, ANCHOR = 256, 50, 96
 #: Distinct fragments of an anchor that are compared in one task, and bytes put into one transform.
 MOST_FRAGMENTS, BATCH_BYTES = 4000, 1 << 20
-#: Bytes of a text hashed at once (positions must fit beside 44 bits of hash).
+#: Bytes hashed at once (places must fit beside 43 bits of hash).
 BLOCK = 1 << 19
 #: Texts and fragments a task remembers in order to leave out repeated ones.
 REMEMBER = 200_000
 
 _ODD = 0x9E3779B97F4A7C15 | 1
+_TOP = np.uint64(2**64 - 1)
 
 
 class Anchors:
-    """Fragments of a text: arrays of first window, number of windows and anchor hash."""
+    """Fragments of texts: arrays of the text's number, first window, number of windows and anchor hash."""
 
-    def __init__(self, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK):
+    def __init__(self, length: int = PASSAGE, anchor: int = ANCHOR, block: int = BLOCK):
         self.length, self.anchor, self.width, self.block = length, anchor, length - anchor + 1, block
         inverse = pow(_ODD, -1, 1 << 64)
         n = block + length + 1
@@ -68,33 +79,62 @@ class Anchors:
         """Minimum of each run of ``width`` keys, by block prefix and suffix minima."""
         w, n = self.width, len(key) - self.width + 1
         blocks = -(-len(key) // w)
-        padded = np.full(blocks * w, np.uint64(2**64 - 1))
+        padded = np.full(blocks * w, _TOP)
         padded[: len(key)] = key
         grid = padded.reshape(blocks, w)
         ahead = np.minimum.accumulate(grid, 1).ravel()
         behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
         return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
+    def _of_buffer(self, array: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Fragments of the texts that lie in ``array`` one after the other."""
+        h = self._hashes(array)
+        key = (h >> np.uint64(21) << np.uint64(21)) | np.arange(len(h), dtype=np.uint64)
+        stops = np.cumsum(sizes)
+        stop_of = np.repeat(stops, sizes)
+        if len(sizes) > 1:
+            key[stop_of[: len(h)] < np.arange(len(h)) + self.anchor] = _TOP
+        place = (self._least(key) & np.uint64((1 << 21) - 1)).astype(np.int64)
+        starts = np.flatnonzero(stop_of[: len(place)] >= np.arange(len(place)) + self.length)
+        place = place[starts]
+        cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+        first = starts[cut]
+        owner = np.searchsorted(stops, first, "right")
+        return owner, first - (stops - sizes)[owner], np.diff(np.concatenate([cut, [len(starts)]])), h[place[cut]].view(np.int64)
+
+    def many(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        """owner, first, n, anchor of the fragments of texts of ``length`` bytes or more, by text and place."""
+        found, held, total, base = [], [], 0, 0
+
+        def flush():
+            nonlocal held, total, base
+            if held:
+                owner, first, n, anchor = self._of_buffer(np.frombuffer(b"".join(held), np.uint8), np.array([len(x) for x in held]))
+                found.append((owner + base, first, n, anchor))
+                base += len(held)
+            held, total = [], 0
+
+        for raw in raws:
+            if total + len(raw) > self.block:
+                flush()
+            if len(raw) <= self.block:
+                held.append(raw)
+                total += len(raw)
+                continue
+            array, windows = np.frombuffer(raw, np.uint8), len(raw) - self.length + 1
+            for at in range(0, windows, self.block):
+                part = array[at : at + min(self.block, windows - at) + self.length - 1]
+                _, first, n, anchor = self._of_buffer(part, np.array([len(part)]))
+                found.append((np.full(len(first), base), first + at, n, anchor))
+            base += 1
+        flush()
+        return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 4
+
     def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        array = np.frombuffer(raw, np.uint8)
-        windows = len(array) - self.length + 1
-        firsts, counts, anchors = [], [], []
-        for at in range(0, max(0, windows), self.block):
-            n = min(self.block, windows - at)
-            h = self._hashes(array[at : at + n + self.length - 1])
-            key = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)
-            place = (self._least(key) & np.uint64((1 << 20) - 1)).astype(np.int64)
-            start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            firsts.append(start + at)
-            counts.append(np.diff(np.concatenate([start, [n]])))
-            anchors.append(h[place[start]].view(np.int64))
-        if not firsts:
-            empty = np.zeros(0, np.int64)
-            return empty, empty, empty
-        return np.concatenate(firsts), np.concatenate(counts), np.concatenate(anchors)
-
-
-def _digest(part: bytes) -> int:
+        return self.many([raw] if len(raw) >= self.length else [])[1:]
+
+
+def _digest(part) -> int:
     h = xxhash.xxh3_64_intdigest(part)
     return h - (1 << 64) if h >> 63 else h
 
@@ -110,140 +150,158 @@ def _seen(memory: dict, key, limit: int) -> bool:
     return False
 
 
-def _fragments(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """tkey, places (first, n, anchor, frag) of the texts, at most two of each text from a task."""
+def _of_texts(batches, lengths: tuple[int, int], anchor: int, copies: int):
+    """For each slice of texts: MD5s, texts and their fragments, at most ``copies`` of each text from a task."""
+    short, long = lengths
+    find, memory = Anchors(short, anchor), {}
+    for batch in batches:
+        for part in common.slices(batch):
+            raws = [raw for raw in map(common.utf8, part.column(0).to_pylist()) if len(raw) >= short]
+            keys = [hashlib.md5(raw).digest() for raw in raws]
+            kept = [k for k, key in enumerate(keys) if not _seen(memory, key, copies)]
+            raws, keys = [raws[k] for k in kept], [keys[k] for k in kept]
+            owner, first, n, anchors = find.many(raws)
+            sizes = np.array([len(raw) for raw in raws], np.int64)[owner] if len(raws) else np.zeros(0, np.int64)
+            full = np.clip(sizes - long + 1 - first, 0, n)
+            yield keys, [memoryview(raw) for raw in raws], owner, first, n, full, anchors, np.minimum(sizes, first + n - 1 + long)
 
-    def make():
-        find, memory = Anchors(length, anchor), {}
-
-        def f(texts):
-            keys, places = [], []
-            for text in texts:
-                raw = common.utf8(text)
-                if len(raw) < length:
-                    continue
-                key = hashlib.md5(raw).digest()
-                if _seen(memory, key, 2):
-                    continue
-                first, n, a = find(raw)
-                keys.append(key)
-                places.append([{"first": x, "n": y, "anchor": z, "frag": _digest(raw[x : x + y + length - 1])} for x, y, z in zip(first.tolist(), n.tolist(), a.tolist())])
-            return [keys, places]
 
-        return f
+_PLACE = [("first", pa.int64()), ("n", pa.int32()), ("full", pa.int32()), ("anchor", pa.int64()), ("frag", pa.int64())]
+
 
-    return common.arrow_map(docs.select("text"), make, "tkey binary, places array<struct<first:bigint,n:int,anchor:bigint,frag:bigint>>")
+def _fragments(docs: DataFrame, lengths: tuple[int, int], anchor: int) -> DataFrame:
+    """tkey, places (first, n, full, anchor, frag) of the texts, at most two of each text from a task; ``n`` windows of
+    PASSAGE bytes start in a fragment, and at the first ``full`` of them one of LENGTH bytes too."""
 
+    def run(batches):
+        for keys, raws, owner, first, n, full, anchors, stop in _of_texts(batches, lengths, anchor, 2):
+            frags = [_digest(raws[o][a:b]) for o, a, b in zip(owner.tolist(), first.tolist(), stop.tolist())]
+            values = [pa.array(first), pa.array(n.astype(np.int32)), pa.array(full.astype(np.int32)), pa.array(anchors), pa.array(frags, pa.int64())]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(keys)))]).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, fields=[pa.field(*x) for x in _PLACE]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), places], names=["tkey", "places"])
+
+    common.small_batches(docs.sparkSession)
+    return docs.select("text").mapInArrow(run, "tkey binary, places array<struct<first:bigint,n:int,full:int,anchor:bigint,frag:bigint>>")
+
+
+_PART = pa.schema([("anchor", pa.int64()), ("frag", pa.int64()), ("n", pa.int32()), ("full", pa.int32()), ("hot", pa.bool_()), ("part", pa.binary())])
 
-def _contested_bytes(docs: DataFrame, contested: np.ndarray, hot: np.ndarray, length: int, anchor: int) -> DataFrame:
-    """anchor, frag, hot, part (the fragment's bytes) of fragments whose anchor may be contested."""
+
+def _contested_bytes(docs: DataFrame, contested: np.ndarray, hot: np.ndarray, lengths: tuple[int, int], anchor: int) -> DataFrame:
+    """anchor, frag, n, full, hot, part (the fragment's bytes) of fragments whose anchor may be contested."""
     shared = docs.sparkSession.sparkContext.broadcast((contested, hot))
 
-    def make():
+    def run(batches):
         maybe, hots = shared.value
-        find, texts_met, met = Anchors(length, anchor), {}, {}
-
-        def f(texts):
-            out = [[], [], [], []]
-            for text in texts:
-                raw = common.utf8(text)
-                if len(raw) < length or _seen(texts_met, hashlib.md5(raw).digest(), 1):
-                    continue
-                first, n, a = find(raw)
-                keep = common.in_bitmap(maybe, a.view(np.uint64))
-                if not keep.any():
-                    continue
-                is_hot = common.in_bitmap(hots, a[keep].view(np.uint64))
-                for x, y, z, h in zip(first[keep].tolist(), n[keep].tolist(), a[keep].tolist(), is_hot.tolist()):
-                    part = raw[x : x + y + length - 1]
-                    frag = _digest(part)
-                    if not _seen(met, (z, frag), 1):
-                        for column, value in zip(out, (z, frag, h, part)):
-                            column.append(value)
-            return out
-
-        return f
+        met = {}
+        for _, raws, owner, first, n, full, anchors, stop in _of_texts(batches, lengths, anchor, 1):
+            keep = common.in_bitmap(maybe, anchors.view(np.uint64))
+            is_hot = common.in_bitmap(hots, anchors[keep].view(np.uint64))
+            out = [[] for _ in _PART]
+            for o, x, y, m, z, end, h in zip(*[c[keep].tolist() for c in (owner, first, n, full, anchors, stop)], is_hot.tolist()):
+                part = raws[o][x:end]
+                frag = _digest(part)
+                if not _seen(met, (z, frag), 1):
+                    for column, value in zip(out, (z, frag, y, m, h, bytes(part))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _PART)], schema=_PART)
 
-    return common.arrow_map(docs.select("text"), make, "anchor long, frag long, hot boolean, part binary")
+    return docs.select("text").mapInArrow(run, "anchor long, frag long, n int, full int, hot boolean, part binary")
 
 
-_RANGES = pa.schema([("anchor", pa.int64()), ("frag", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+_RANGES = pa.schema([("anchor", pa.int64()), ("frag", pa.int64()), ("removed", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())])
+_RANGES_SQL = "anchor long, frag long, removed boolean, start int, stop int"
 
 
-def _by_transform(parts: DataFrame, length: int) -> DataFrame:
-    """anchor, frag, start, stop: runs of repeated windows of each fragment, relative to its first."""
+def _by_transform(parts: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """anchor, frag, removed, start, stop: runs of repeated windows of each fragment, relative to its first; of LENGTH
+    bytes where ``removed``, else of PASSAGE bytes."""
 
     def run(batches):
-        anchors, frags, pieces, size = [], [], [], 0
+        names, owns, pieces, size = [], [], [], 0
         last, members = None, set()
 
         def done():
-            out = [[], [], [], []]
-            for a, f, mask in zip(anchors, frags, repeated(pieces, length)):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask[: len(mask) - length + 1].astype(np.int8), [0]])))
-                for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    for column, value in zip(out, (a, f, x, y)):
-                        column.append(value)
+            out = [[] for _ in _RANGES]
+            for removed, masks in zip((False, True), repeated_at(pieces, list(lengths), owns)):
+                for (a, f), n, mask in zip(names, owns, masks):
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask[:n].astype(np.int8), [0]])))
+                    for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                        for column, value in zip(out, (a, f, removed, x, y)):
+                            column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _RANGES)], schema=_RANGES)
 
         for batch in batches:
             for piece in common.slices(batch):
-                for a, f, part in zip(*[c.to_pylist() for c in piece.columns]):
+                for a, f, n, part in zip(*[c.to_pylist() for c in piece.columns]):
                     if a != last:
                         if len(members) == 1:  # nothing to compare with
                             size -= len(pieces.pop())
-                            anchors.pop()
-                            frags.pop()
+                            names.pop()
+                            owns.pop()
                         if size > BATCH_BYTES:
                             yield done()
-                            anchors, frags, pieces, size = [], [], [], 0
+                            names, owns, pieces, size = [], [], [], 0
                         last, members = a, set()
                     if f not in members:
                         members.add(f)
-                        anchors.append(a)
-                        frags.append(f)
+                        names.append((a, f))
+                        owns.append(n)
                         pieces.append(part)
                         size += len(part)
         if pieces:
             yield done()
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = parts.where("not hot").select("anchor", "frag", "part").repartition(n, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "anchor long, frag long, start int, stop int")
+    dealt = parts.where("not hot").select("anchor", "frag", "n", "part").repartition(n, "anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, _RANGES_SQL)
 
 
-def _by_counting(parts: DataFrame, length: int) -> DataFrame:
+def _by_counting(parts: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     """The same for hot anchors, by counting window digests."""
 
     def make():
-        def f(anchors, frags, datas):
+        def f(anchors, frags, ns, fulls, datas):
             digest = xxhash.xxh3_128_digest
-            return [anchors, frags, [[digest(d[k : k + length]) for k in range(len(d) - length + 1)] for d in datas]]
+            out = []
+            for n, full, d in zip(ns, fulls, datas):
+                d = memoryview(d)
+                out.append([{"removed": removed, "start": k, "w": digest(d[k : k + size])} for removed, size, count in ((False, lengths[0], n), (True, lengths[1], full)) for k in range(count)])
+            return [anchors, frags, out]
 
         return f
 
-    listed = common.arrow_map(parts.where("hot").select("anchor", "frag", "part"), make, "anchor long, frag long, windows array<binary>").dropDuplicates(["anchor", "frag"])
-    windows = listed.select("anchor", "frag", F.posexplode("windows").alias("start", "w"))
-    twice = windows.groupBy("anchor", "w").agg(F.count("*").alias("n")).where("n > 1")
-    return windows.join(twice, ["anchor", "w"]).select("anchor", "frag", "start", (F.col("start") + 1).alias("stop"))
-
-
-def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST_FRAGMENTS) -> DataFrame:
-    """tkey (MD5 of the text), spans (array of start, stop of repeated windows' starts) of texts that lose bytes."""
-    places = common.materialize(_fragments(docs, length, anchor), "places")
-    each = places.select("tkey", F.explode("places").alias("p")).select("tkey", "p.first", "p.n", "p.anchor", "p.frag")
-    counted = common.materialize(each.groupBy("anchor", "frag").agg(F.count("*").alias("c"), F.first("n").alias("n")), "fragments")
+    listed = common.arrow_map(parts.where("hot").select("anchor", "frag", "n", "full", "part"), make, "anchor long, frag long, windows array<struct<removed:boolean,start:int,w:binary>>").dropDuplicates(["anchor", "frag"])
+    windows = listed.select("anchor", "frag", F.explode("windows").alias("x")).select("anchor", "frag", "x.removed", "x.start", "x.w")
+    twice = windows.groupBy("anchor", "removed", "w").agg(F.count("*").alias("n")).where("n > 1")
+    return windows.join(twice, ["anchor", "removed", "w"]).select("anchor", "frag", "removed", "start", (F.col("start") + 1).alias("stop"))
+
+
+def spans(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor: int = ANCHOR, most: int = MOST_FRAGMENTS) -> DataFrame:
+    """tkey (MD5 of the text), spans (array of removed, start, stop): ranges of the starts of repeated windows, of
+    ``length`` bytes where ``removed`` and of ``passage`` bytes else."""
+    lengths = (passage, length)
+    if not anchor <= passage <= length:
+        raise ValueError("an anchor can't be longer than a passage's window, nor that than what is removed")
+    places = common.materialize(_fragments(docs, lengths, anchor), "places")
+    each = places.select("tkey", F.explode("places").alias("p")).select("tkey", "p.*")
+    counted = common.materialize(each.groupBy("anchor", "frag").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("full").alias("full")), "fragments")
     groups = common.materialize(counted.groupBy("anchor").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("anchor", "k"), "contested")
     contested, hot = common.hash_bitmap(groups, "anchor"), common.hash_bitmap(groups.where(F.col("k") > most), "anchor")
-    found = counted.where("c > 1").select("anchor", "frag", F.lit(0).alias("start"), F.col("n").alias("stop"))
+    whole = F.explode(F.array(F.struct(F.lit(False).alias("removed"), F.col("n").alias("stop")), F.struct(F.lit(True).alias("removed"), F.col("full").alias("stop"))))
+    found = counted.where("c > 1").select("anchor", "frag", whole.alias("x")).select("anchor", "frag", "x.removed", F.lit(0).alias("start"), "x.stop").where("stop > 0")
     if contested.any():
-        parts = _contested_bytes(docs, contested, hot, length, anchor)
+        parts = _contested_bytes(docs, contested, hot, lengths, anchor)
         if hot.any():
             parts = common.materialize(parts, "contested-bytes")
-            found = found.unionByName(_by_counting(parts, length))
-        found = found.unionByName(_by_transform(parts, length))
-    hits = each.join(found, ["anchor", "frag"]).select("tkey", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
-    return hits.groupBy("tkey", "start").agg(F.max("stop").alias("stop")).groupBy("tkey").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+            found = found.unionByName(_by_counting(parts, lengths))
+        found = found.unionByName(_by_transform(parts, lengths))
+    ranges = found.groupBy("anchor", "frag").agg(F.collect_list(F.struct("removed", "start", "stop")).alias("ranges"))
+    moved = F.transform("ranges", lambda r: F.struct(r["removed"].alias("removed"), (F.col("first") + r["start"]).alias("start"), (F.col("first") + r["stop"]).alias("stop")))
+    hits = each.select("tkey", "first", "anchor", "frag").join(ranges, ["anchor", "frag"]).select("tkey", "first", moved.alias("r"))
+    # Copies of a text come from many tasks: one of each fragment is kept before a text's fragments are put together.
+    return hits.groupBy("tkey", "first").agg(F.first("r").alias("r")).groupBy("tkey").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
 
 def removed(starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -258,33 +316,57 @@ def removed(starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[i
     return [(a, b) for a, b in out]
 
 
-def remove(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST_FRAGMENTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of ``docs``."""
+def remove(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor: int = ANCHOR, most: int = MOST_FRAGMENTS, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary), n_passages of every row of ``docs``."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long"
+    found = common.materialize(spans(docs, length, passage, anchor, most), "spans")
+    bits = common.hash_bitmap(found.select(F.xxhash64("tkey").alias("key")), "key")
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def has_spans(raws: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        keys = [hashlib.md5(raw).digest() if len(raw) >= passage else b"" for raw in raws]
+        may = common.in_bitmap(shared.value, np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64))
+        return may & np.array([bool(k) for k in keys], bool), keys
+
+    def untouched():
+        def f(ids, texts):
+            raws = list(map(common.utf8, texts))
+            rows = [(i, len(raw), 0, 0, raw, 0) for i, raw, may in zip(ids, raws, has_spans(raws)[0].tolist()) if not may]
+            return list(map(list, zip(*rows))) if rows else [[]] * 6
 
-    def make():
-        def f(ids, texts, spans):
-            sizes, gone, runs, kept = [], [], [], []
-            for text, given in zip(texts, spans):
-                raw = common.utf8(text)
-                cut = removed([(s["start"], s["stop"]) for s in given or []], length)
+        return f
+
+    def touched():
+        def f(ids, texts):
+            raws = list(map(common.utf8, texts))
+            rows = [(i, raw, key) for i, raw, may, key in zip(ids, raws, *(x if isinstance(x, list) else x.tolist() for x in has_spans(raws))) if may]
+            return list(map(list, zip(*rows))) if rows else [[]] * 3
+
+        return f
+
+    def cut():
+        def f(ids, raws, given):
+            out = [[] for _ in range(5)]
+            for raw, spans_ in zip(raws, given):
+                gone = removed([(s["start"], s["stop"]) for s in spans_ or [] if s["removed"]], length)
+                runs = removed([(s["start"], s["stop"]) for s in spans_ or [] if not s["removed"]], passage)
                 left, at = [], 0
-                for a, b in cut:
+                for a, b in gone:
                     left.append(raw[at:a])
                     at = b
                 left.append(raw[at:])
-                sizes.append(len(raw))
-                gone.append(sum(b - a for a, b in cut))
-                runs.append(len(cut))
-                kept.append(b"".join(left))
-            return [ids, sizes, gone, runs, kept]
+                row = len(raw), sum(b - a for a, b in gone), len(gone), b"".join(left), sum(len(raw[a:b].split()) >= words for a, b in runs)
+                for column, value in zip(out, row):
+                    column.append(value)
+            return [ids, *out]
 
         return f
 
-    found = spans(docs, length, anchor, most)
-    keyed = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("tkey"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.arrow_map(keyed.join(found, "tkey", "left").select("doc_id", "text", "spans"), make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    both = docs.select("doc_id", "text")
+    held = common.arrow_map(both, touched, f"doc_id {kind}, raw binary, tkey binary").join(found, "tkey", "left").select("doc_id", "raw", "spans")
+    return common.arrow_map(both, untouched, schema).unionByName(common.arrow_map(held, cut, schema))
 
 
 def digest(kept: DataFrame) -> DataFrame:
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
