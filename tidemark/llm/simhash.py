@@ -13,6 +13,13 @@ whatever the data, and no link is lost, as the argument above holds for every pa
 Within a key, members are visited from the frontier of what is already connected, and each found member is
 linked to the first of its component: at most one link a member, never all pairs.
 
+:func:`similar` finds texts that have SIMILAR or more of their five-word shingles in common. Fingerprints of such
+shingles are too far apart for that (one changed word changes five), so candidates come from VIEWS fingerprints of
+the texts' single words, each weighted by the root of its count, and every candidate is verified inside its key by
+a sketch: the least hash of the shingles in each of 256 ranges, by which the common share is estimated (standard
+error 0.025 at 0.8, none for texts of few shingles). Texts of equal fingerprints are compared with the least of
+them first, and those like it are represented by it.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any other; rows may repeat and doc_id may
 be null (a null is never the least of a component unless all are); other columns are ignored; an empty table
 gives no rows.
@@ -20,6 +27,8 @@ gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +39,8 @@ from tidemark.llm import common
 from tidemark.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
+#: Least common share of shingles of this many words, word fingerprints of a text, ranges of its sketch.
+SIMILAR, SIMILAR_SHINGLE, VIEWS, RANGES = 0.8, 5, 3, 256
 #: Fingerprints of a key that are compared in one task; a key with more is indexed anew.
 MOST_COMPARED = 2048
 
@@ -67,9 +78,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _index(rows: DataFrame, width: int) -> DataFrame:
-    """key, side, fp, off: the variants of the ``width`` bits from bit ``off`` on, under the rows' ``key``.
+    """key, side, fp, member, off: the variants of the ``width`` bits from bit ``off`` on, under the rows' ``key``.
 
-    ``side`` tells on which side of a wildcard the fingerprint is; exact keys have side null. ``rest`` is where
+    ``side`` tells on which side of a wildcard the fingerprint is; exact keys have side null. ``off`` is then where
     the half that the new key doesn't fix begins.
     """
     half = width // 2
@@ -90,7 +101,9 @@ def _index(rows: DataFrame, width: int) -> DataFrame:
         value = F.call_function("shiftrightunsigned", F.col("fp"), at).bitwiseAND(F.lit(mask))
         free.append(F.array(F.struct(F.xxhash64("key", F.lit(width), F.lit(k), F.lit(-1), value).alias("key"), F.lit(None).cast("int").alias("side"), (F.col("off") + (1 - k) * half).alias("off"))))
         free.append(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), wildcard(k, value)))
-    return rows.select("fp", F.explode(F.concat(*free)).alias("v")).select("v.key", "v.side", "fp", "v.off")
+    # A row becomes width + 2 rows: spread them first, or few tasks of a small table make them all.
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "member")
+    return spread.select("fp", "member", F.explode(F.concat(*free)).alias("v")).select("v.key", "v.side", "fp", "member", "v.off")
 
 
 def _live(index: DataFrame) -> DataFrame:
@@ -98,13 +111,17 @@ def _live(index: DataFrame) -> DataFrame:
     return index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("n > 1 and (lo is null or lo <> hi)").select("key", "n")
 
 
-def _link_bucket(values: np.ndarray) -> tuple[list, list]:
-    """Links (first, member) of the components among distinct uint64 fingerprints."""
-    left, a, b = values, [], []
+def _link_bucket(values: np.ndarray, sketches: np.ndarray | None = None, similar: float = SIMILAR) -> tuple[list, list]:
+    """Links (place of the first, place of the member) of the components among uint64 fingerprints, and sketches."""
+    left, a, b = np.arange(len(values)), [], []
     while len(left) > 1:
         first, frontier, left = left[0], [left[0]], left[1:]
         while frontier and len(left):
-            near = np.bitwise_count(left ^ frontier.pop()) <= DISTANCE
+            at = frontier.pop()
+            near = np.bitwise_count(values[left] ^ values[at]) <= DISTANCE
+            if sketches is not None and near.any():
+                spots = np.flatnonzero(near)
+                near[spots] = common_share(sketches[left[spots]], sketches[at]) >= similar
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -115,40 +132,46 @@ def _link_bucket(values: np.ndarray) -> tuple[list, list]:
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """Links among the fingerprints of each key; a key's rows come together in one sorted partition."""
+    """(a, b) links among the members of each key; a key's rows come together in one sorted partition.
+
+    Columns key, fp, member and, where candidates need verifying, sketch.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    verified = "sketch" in rows.columns
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held = None
 
-        def links(keys, fps):
+        def links(keys, fps, members, sketches):
             a, b = [], []
             cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             for x, y in zip(cuts[:-1], cuts[1:]):
-                got = _link_bucket(np.unique(fps[x:y]).view(np.uint64))
-                a += got[0]
-                b += got[1]
-            pack = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            return pa.RecordBatch.from_arrays([pack(a), pack(b)], schema=schema)
+                _, once = np.unique(members[x:y], return_index=True)
+                marks = None if sketches is None else np.array([np.frombuffer(sketches[x + k], np.uint8) for k in once.tolist()])
+                first, found = _link_bucket(fps[x:y][once].view(np.uint64), marks)
+                a += members[x:y][once][first].tolist()
+                b += members[x:y][once][found].tolist()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
         for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if held:
-                keys, fps = np.concatenate([held[0][0], keys]), np.concatenate([held[0][1], fps])
-            last = np.searchsorted(keys, keys[-1]) if len(keys) else 0
+            now = [batch.column(k).to_numpy() for k in range(3)] + [batch.column(3).to_pylist() if verified else None]
+            if held is not None:
+                now = [np.concatenate(pair) for pair in zip(held[:3], now[:3])] + [held[3] + now[3] if verified else None]
+            last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
             if last:
-                yield links(keys[:last], fps[:last])
-            held = [(keys[last:], fps[last:])]
-        if held and len(held[0][0]):
-            yield links(*held[0])
+                yield links(*[c[:last] for c in now[:3]], now[3][:last] if verified else None)
+            held = [c[last:] for c in now[:3]] + [now[3][last:] if verified else None]
+        if held is not None and len(held[0]):
+            yield links(*held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("key", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    columns = ["key", "fp", "member", *(["sketch"] if verified else [])]
+    return rows.select(*columns).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def links(distinct: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
-    """(a, b): enough of the pairs of distinct ``fp`` within DISTANCE to connect all that are connected."""
-    rows = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).alias("off"))
+def _search(rows: DataFrame, compare, most: int) -> DataFrame | None:
+    """What ``compare`` makes of the rows (fp, member), by key of those that may lie within DISTANCE; None if no two do."""
+    rows = rows.select("fp", "member", F.lit(0).cast("long").alias("key"), F.lit(0).alias("off"))
     out, width = None, BITS
     while True:
         index = _index(rows, width)
@@ -161,17 +184,136 @@ def links(distinct: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
         found = index.join(small, "key")
         bounded = width // 2 + BITS.bit_length() <= 16  # 8 free bits and 3 wildcards: 2048 fingerprints at most
         split = stats["most"] > most and not bounded
-        part = _compare(found.where(F.col("n") <= most) if split else found)
+        part = compare(found.where(F.col("n") <= most) if split else found)
         out = part if out is None else out.unionByName(part)
         if not split:
             break
-        rows = common.materialize(found.where(F.col("n") > most).select("fp", "key", "off").distinct(), "simhash-hot")
+        rows = common.materialize(found.where(F.col("n") > most).select("fp", "member", "key", "off").distinct(), "simhash-hot")
         width //= 2
-    if out is None:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     return out
 
 
+def links(distinct: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
+    """(a, b): enough of the pairs of distinct ``fp`` within DISTANCE to connect all that are connected."""
+    out = _search(distinct.select("fp", F.col("fp").alias("member")), _compare, most)
+    return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if out is None else out
+
+
+def common_share(sketches: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimated common share of shingles of each row of ``sketches`` with ``other``; 1 between texts without words."""
+    either = ((sketches != 0) | (other != 0)).sum(-1)
+    both = ((sketches == other) & (sketches != 0)).sum(-1)
+    return np.where(either == 0, 1.0, both / np.maximum(either, 1))
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Views:
+    """Word fingerprints and the sketch of a text, with a bounded cache of word hashes."""
+
+    def __init__(self, most: int = 300_000):
+        self.known, self.most = {}, most
+        self.salts = np.arange(VIEWS, dtype=np.uint64) * _MIX
+
+    def _hashes(self, words: list[bytes]) -> list[int]:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        for w in set(words) - known.keys():
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+        return [known[w] for w in words]
+
+    def __call__(self, text: str | None) -> tuple[list[int], bytes]:
+        words = common.utf8(text).lower().split()
+        if not words:
+            return [0] * VIEWS, bytes(RANGES)
+        hashes = np.array(self._hashes(words), np.uint64)
+        each, counts = np.unique(hashes, return_counts=True)
+        weights = np.sqrt(counts).astype(np.float32)
+        sums = np.zeros((VIEWS, BITS), np.float64)
+        for at in range(0, len(each), 1 << 13):
+            bits = np.unpackbits(_mixed(each[at : at + (1 << 13)] + self.salts[:, None]).astype("<u8").view(np.uint8).reshape(VIEWS, -1, 8), axis=2, bitorder="little")
+            part = weights[at : at + (1 << 13)]
+            sums += 2 * (part @ bits.astype(np.float32)) - part.sum()
+        fps = np.packbits(sums > 0, axis=1, bitorder="little").view("<i8")[:, 0]
+        n = max(1, len(hashes) - SIMILAR_SHINGLE + 1)
+        shingles = np.zeros(n, np.uint64)
+        for j in range(min(SIMILAR_SHINGLE, len(hashes))):
+            shingles = shingles * _MIX + hashes[j : j + n]
+        shingles = np.sort(_mixed(shingles))
+        first = np.searchsorted(shingles, np.arange(RANGES, dtype=np.uint64) << np.uint64(56))
+        least = shingles[np.minimum(first, n - 1)]
+        filled = (first < n) & (least >> np.uint64(56) == np.arange(RANGES, dtype=np.uint64))
+        return fps.tolist(), np.where(filled, 1 + (least & np.uint64(0xFFFFFF)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+
+
+def _views(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), fps, sketch."""
+
+    def make():
+        view = Views()
+
+        def f(ids, texts):
+            seen = [view(t) for t in texts]
+            return [ids, [hashlib.md5(common.utf8(t)).digest() for t in texts], [fps for fps, _ in seen], [sketch for _, sketch in seen]]
+
+        return f
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return common.arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, digest binary, fps array<bigint>, sketch binary")
+
+
+def _same_fingerprint(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of members to the least member of their fingerprint, if they are like it, and the members so represented."""
+    first = rows.groupBy("fp").agg(F.min("member").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
+    pairs = rows.join(first, "fp").where("member <> first").select("first", "member")
+    mark = lambda name: sketches.select(F.col("member").alias(name), F.col("sketch").alias(f"{name}_sketch"))
+    both = pairs.join(mark("first"), "first").join(mark("member"), "member")
+
+    def make():
+        def f(a, b, x, y):
+            if not a:
+                return [[], []]
+            like = common_share(np.array([np.frombuffer(v, np.uint8) for v in x]), np.array([np.frombuffer(v, np.uint8) for v in y])) >= SIMILAR
+            return [[v for v, k in zip(a, like) if k], [v for v, k in zip(b, like) if k]]
+
+        return f
+
+    found = common.materialize(common.arrow_map(both.select("first", "member", "first_sketch", "member_sketch"), make, "a long, b long"), "simhash-same")
+    return found, found.select(F.col("b").alias("member"))
+
+
+def similar(docs: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
+    """doc_id, component_id (least doc_id reachable over links) of every row of ``docs``: links join equal texts and
+    texts that share SIMILAR of their five-word shingles, as far as a view brings them within DISTANCE."""
+    seen = common.materialize(_views(docs), "simhash-views")
+    texts = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
+    texts = common.materialize(texts.withColumn("member", F.monotonically_increasing_id()), "simhash-texts")
+    sketches = texts.select("member", "sketch")
+    edges = None
+    for view in range(VIEWS):
+        rows = texts.select(F.col("fps")[view].alias("fp"), "member")
+        same, represented = _same_fingerprint(rows, sketches)
+        rows = rows.join(represented, "member", "left_anti")
+        near = _search(rows, lambda found: _compare(found.join(sketches, "member")), most)
+        for part in (same, near):
+            if part is not None:
+                edges = part if edges is None else edges.unionByName(part)
+    member = components(edges)
+    named = texts.join(member, texts["member"] == member["node"], "left").select("digest", "least", F.coalesce("component", "member").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return seen.select("doc_id", "digest").join(named.join(least, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_COMPARED) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable over links) of every row of ``docs``."""
     fps = common.materialize(fingerprints(docs, shingle), "simhash")
