@@ -44,24 +44,25 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     order, key = _sorted(key, np.arange(n), n)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([starts, [n]]))
-    rank = np.empty(n, np.int64)
-    rank[order] = group = np.repeat(starts, sizes)
+    rank, group = np.empty(n, np.int32), np.repeat(starts, sizes)
     # Equal keys with a separator have it at the same distance, so their places, in order already, decide.
-    closed = np.flatnonzero(left[order] < PACKED)
-    rank[order[closed]] = closed
-    slots = np.flatnonzero(np.repeat(sizes > 1, sizes) & (left[order] >= PACKED))
+    closed = left[order] < PACKED
+    rank[order] = np.where(closed, np.arange(n), group)
+    slots = np.flatnonzero(np.repeat(sizes > 1, sizes) & ~closed)
     at, group = order[slots], group[slots]
     width = 1 << 21 if n <= WORD else n
     h = PACKED
     while len(slots):
         at, high = _sorted(group * width + rank[at + h], at, n)
-        order[slots] = at
-        starts = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
+        new = high[1:] != high[:-1]
+        starts = np.flatnonzero(np.concatenate([[True], new]))
         sizes = np.diff(np.concatenate([starts, [len(at)]]))
-        rank[at] = group = np.repeat(slots[starts], sizes)
+        group = np.repeat(slots[starts], sizes)
+        rank[at] = group
         more = np.repeat(sizes > 1, sizes)
         at, group, slots = at[more], group[more], slots[more]
         h *= 2
+    order[rank] = np.arange(n)
     return order
 
 

@@ -19,7 +19,8 @@ make a fragment: their starts are its own, and its bytes reach to the end of the
    fragments' windows are counted by an aggregate instead, which has the same result.
 
 Texts are keyed by their MD5, so copies share their spans. Within a task the third and later copies of a text or
-fragment add nothing to "occurs twice" and are left out before the shuffle. Only texts that lose bytes or hold a
+fragment add nothing to "occurs twice" and are left out before the shuffle; fragments that very many texts share
+meet their spans in SALTS parts. Only texts that lose bytes or hold a
 passage (a bitmap of their keys tells them, false positives included) are shuffled to meet their spans.
 
 Fragments are told apart by a 64-bit digest within an anchor's 64-bit hash.
@@ -43,9 +44,11 @@ from tidemark.llm.bwt import repeated_at
 
 LENGTH = 400
 #: Bytes of the windows that passages are made of, and words of a passage; bytes of an anchor.
-PASSAGE, WORDS, ANCHOR = 256, 50, 96
+PASSAGE, WORDS, ANCHOR = 288, 50, 40
 #: Distinct fragments of an anchor that are compared in one task, and bytes put into one transform.
-MOST_FRAGMENTS, BATCH_BYTES = 4000, 1 << 20
+MOST_FRAGMENTS, BATCH_BYTES = 4000, 3 << 19
+#: A fragment that occurs this often, and in more than one of MOST_HOT rows, is joined in SALTS parts.
+HOT, MOST_HOT, SALTS = 5000, 100_000, 64
 #: Bytes hashed at once (places must fit beside 43 bits of hash).
 BLOCK = 1 << 19
 #: Texts and fragments a task remembers in order to leave out repeated ones.
@@ -299,7 +302,15 @@ def spans(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor:
         found = found.unionByName(_by_transform(parts, lengths))
     ranges = found.groupBy("anchor", "frag").agg(F.collect_list(F.struct("removed", "start", "stop")).alias("ranges"))
     moved = F.transform("ranges", lambda r: F.struct(r["removed"].alias("removed"), (F.col("first") + r["start"]).alias("start"), (F.col("first") + r["stop"]).alias("stop")))
-    hits = each.select("tkey", "first", "anchor", "frag").join(ranges, ["anchor", "frag"]).select("tkey", "first", moved.alias("r"))
+    # MOST_HOT rows at most, which every executor gets.
+    total = counted.agg(F.sum("c").alias("n")).first()["n"] or 0
+    hot_frags = F.broadcast(counted.where(F.col("c") > max(HOT, total // MOST_HOT)).select("anchor", "frag", F.lit(True).alias("is_hot")))
+    key = ["anchor", "frag"]
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("tkey", "first"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = each.select("tkey", "first", *key).join(hot_frags, key, "left").select("tkey", "first", *key, salt.alias("salt"))
+    ranges = ranges.join(hot_frags, key, "left").select(*key, "ranges", F.explode(salts).alias("salt"))
+    hits = dealt.join(ranges, [*key, "salt"]).select("tkey", "first", moved.alias("r"))
     # Copies of a text come from many tasks: one of each fragment is kept before a text's fragments are put together.
     return hits.groupBy("tkey", "first").agg(F.first("r").alias("r")).groupBy("tkey").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
@@ -324,31 +335,29 @@ def remove(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor
     bits = common.hash_bitmap(found.select(F.xxhash64("tkey").alias("key")), "key")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def has_spans(raws: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    def keys_in(part: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+        """MD5 of each text, and which may have spans; texts stay in Arrow."""
+        raws = part.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
         keys = [hashlib.md5(raw).digest() if len(raw) >= passage else b"" for raw in raws]
         may = common.in_bitmap(shared.value, np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64))
-        return may & np.array([bool(k) for k in keys], bool), keys
+        return keys, may & np.array([bool(k) for k in keys], bool)
 
-    def untouched():
-        def f(ids, texts):
-            raws = list(map(common.utf8, texts))
-            rows = [(i, len(raw), 0, 0, raw, 0) for i, raw, may in zip(ids, raws, has_spans(raws)[0].tolist()) if not may]
-            return list(map(list, zip(*rows))) if rows else [[]] * 6
-
-        return f
-
-    def touched():
-        def f(ids, texts):
-            raws = list(map(common.utf8, texts))
-            rows = [(i, raw, key) for i, raw, may, key in zip(ids, raws, *(x if isinstance(x, list) else x.tolist() for x in has_spans(raws))) if may]
-            return list(map(list, zip(*rows))) if rows else [[]] * 3
+    def untouched(batches):
+        for batch in batches:
+            for part in common.slices(batch):
+                yield part.filter(pa.array(~keys_in(part)[1]))
 
-        return f
+    def touched(batches):
+        for batch in batches:
+            for part in common.slices(batch):
+                keys, may = keys_in(part)
+                mask = pa.array(may)
+                yield pa.RecordBatch.from_arrays([*part.filter(mask).columns, pa.array(keys, pa.binary()).filter(mask)], names=["doc_id", "text", "tkey"])
 
     def cut():
-        def f(ids, raws, given):
+        def f(ids, texts, given):
             out = [[] for _ in range(5)]
-            for raw, spans_ in zip(raws, given):
+            for raw, spans_ in zip(map(common.utf8, texts), given):
                 gone = removed([(s["start"], s["stop"]) for s in spans_ or [] if s["removed"]], length)
                 runs = removed([(s["start"], s["stop"]) for s in spans_ or [] if not s["removed"]], passage)
                 left, at = [], 0
@@ -364,8 +373,11 @@ def remove(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor
         return f
 
     both = docs.select("doc_id", "text")
-    held = common.arrow_map(both, touched, f"doc_id {kind}, raw binary, tkey binary").join(found, "tkey", "left").select("doc_id", "raw", "spans")
-    return common.arrow_map(both, untouched, schema).unionByName(common.arrow_map(held, cut, schema))
+    zero = F.lit(0).cast("long")
+    kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    whole = both.mapInArrow(untouched, both.schema).select("doc_id", F.octet_length(kept).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), kept.alias("kept"), zero.alias("n_passages"))
+    held = both.mapInArrow(touched, f"doc_id {kind}, text string, tkey binary").join(found, "tkey", "left").select("doc_id", "text", "spans")
+    return whole.unionByName(common.arrow_map(held, cut, schema))
 
 
 def digest(kept: DataFrame) -> DataFrame:
