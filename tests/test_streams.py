@@ -280,3 +280,32 @@ def test_samples_and_numbers(spark, tmp_path):
     assert [r["n"] for r in read] == list(range(15)) and read[0]["a::out"] == 15.0
     with pytest.raises(ValueError):
         market.read_samples(spark, path, market.SampleConfig(["b"], "t", "s", 1))
+
+
+def test_rows_at_one_time_are_numbered_by_their_ties(spark):
+    df = spark.createDataFrame([(k, 10 * (k // 6)) for k in range(60)], "seq long, ts_us long")
+    for block in (1, 7, 1000):
+        got = market.number_rows(df.repartition(5), F.col("ts_us"), ties=["seq"], block_us=block).collect()
+        assert all(r["n"] == r["seq"] for r in got) and len(got) == 60
+
+
+def test_samples_at_one_time_keep_the_order_of_the_file(spark, tmp_path):
+    config, path = market.SampleConfig(["a"], "t", "s", 1), str(tmp_path / "tied")
+    df = spark.createDataFrame([(float(k), 1.0, 2.0, 1_000_000) for k in range(50)], "a double, target double, target_future double, ts_us long")
+    market.write_samples(df.coalesce(1), config, path)
+    assert [r["a"] for r in market.read_samples(spark, path, config, skip=3).orderBy("n").collect()] == [float(k) for k in range(3, 50)]
+
+
+@pytest.mark.parametrize("w, init, least", [(3.0, 7.0, 2.0), (5.0, 2.0, 0.5), (0.3, 1.0, 0.1), (1.0, 10.0, 10.0), (2.5, 2.5, 1.0)])
+def test_bucket_with_a_least_level(spark, w, init, least):
+    level, want = init, set()
+    for k in range(200):
+        if k % 7:
+            level = round(level - w, 9)
+        if level <= 0:
+            level = round(level + init, 9)
+            want.add(k)
+        level = max(least, level)
+    df = spark.createDataFrame([("a", k, k, k % 7 != 0) for k in range(200)], "sym string, ts_us long, seq long, ok boolean")
+    got = {r["seq"] for r in trades.bucket_sample(df, ["sym"], w, init, F.col("ok"), block_us=50, least=least).where("should_sample").collect()}
+    assert got == want

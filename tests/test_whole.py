@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def test_book_aggregate_of_all_messages(spark, books):
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
     part = queries.QUERIES["book_aggregate"](spark, FOLDER).collect()
-    assert {(r["sym"], r["seq"], r["side"], r["level"]): (r["price"], r["size"]) for r in part} == {k: v for k, v in got.items() if k[1] % 7 == 0}
+    assert {(r["sym"], r["seq"], r["side"], r["level"]): (r["price"], r["size"]) for r in part} == got
 
 
 def number(name):
@@ -55,15 +56,21 @@ def number(name):
 def test_static_book_combo_of_all_books(spark, books):
     got = {(r["sym"], r["seq"]): r for r in queries.QUERIES["static_book_combo"](spark, FOLDER).collect()}
     assert got.keys() == {k for k, (bids, asks) in books.items() if bids and asks} and len({k[1] % 7 for k in got}) == 7
+    returns, mids = {}, {}
     for k, r in got.items():
         bids, asks = books[k]
         mid, want = (bids[0][0] + asks[0][0]) / 2, []
-        for ratio in (queries.RATIO, 2 * queries.RATIO):
-            for scale in (1e-3, 1e-2):
+        for ratio in queries.RATIOS:
+            for scale in queries.SCALES:
                 b, a = (sum(math.sqrt(s) * math.exp(sign * scale * 1e4 * (p - mid) / mid) for p, s in groups(ls, ratio, 4)) for ls, sign in ((bids, 1), (asks, -1)))
                 want.append(math.log(b / a) / (2 * scale) / 1e4)
-        want.append(sum(x * number(f"r{i}") for i, x in enumerate(want)))
-        assert [*r[2:6], r["combined"]] == pytest.approx(want, abs=2e-6)
+        returns[k], mids[k] = want, mid
+        assert list(r[2:11]) == pytest.approx(want, abs=2e-6)
+    first = [x[0] for x in returns.values()]
+    mean, deviation = statistics.mean(first), statistics.stdev(first)
+    for k in list(got)[::37]:
+        x = cascaded([(v - mean) / deviation for v in returns[k]], "static") * deviation + mean
+        assert got[k]["projected"] == pytest.approx(x * mids[k] + mids[k], abs=2e-5)
 
 
 def soft(vs, fs, scale, post):
@@ -98,6 +105,18 @@ def test_cascade_combo(spark):
     assert all(g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=2e-6) for g, w in zip(got, sorted(want)))
 
 
+def test_mixed_decay_of_any_strength(spark):
+    """Decays that leave nothing representable, 0, and none."""
+    r = random.Random(12)
+    rows = [(k, n, {"strong": 0.01, "tiny": 1e-200, "zero": 0.0 if n % 5 == 0 else 1.0, "any": r.choice([0.0, 0.5, None, 1.0])}[k], r.random()) for k in ("strong", "tiny", "zero", "any") for n in range(1000)]
+    df = spark.createDataFrame(rows, "sym string, n long, f double, c double")
+    got = {(x["sym"], x["n"]): x["y"] for x in decay.running_sum_mixed(df, ["sym"], ["n"], F.col("f"), F.col("c"), "y").collect()}
+    y = 0.0
+    for k, n, f, c in rows:
+        y = (y if n else 0.0) * (1.0 if f is None else f) + c
+        assert got[k, n] == pytest.approx(y, rel=1e-12)
+
+
 @pytest.mark.parametrize("block", [4, 256])
 def test_mixed_decay_carries_over_all_blocks(spark, block):
     r = random.Random(11)

@@ -78,46 +78,47 @@ def running_sum(log: DataFrame, ticks: DataFrame, keys: list[str], column: str,
     return decayed_sum(a.join(b, same, "left").select("a.*", "b._x"), keys, F.col("_x"), d, name).drop("_x", "decay")
 
 
-def running_sum_mixed(rows: DataFrame, keys: list[str], order: list[str], decay: Column, tick: Column, name: str = "running_sum", block: int = 256) -> DataFrame:
-    """y = y * decay + tick on every row, each row with its own decay over 0 (1 for none).
+def running_sum_mixed(rows: DataFrame, keys: list[str], order: list[str], decay: Column, tick: Column, name: str = "running_sum", block: int = 16) -> DataFrame:
+    """y = y * decay + tick on every row, each row with its own decay (NULL: none, 1; 0 forgets all before).
 
-    Rows need a dense number ``n`` within the keys in ``order``. Blocks of ``block`` rows are summed with cumulative
-    logarithms of the decays; the carry into a block is exact over all blocks before it.
+    Rows need a dense number ``n`` within the keys in ``order``. A row maps y to y d + c; such maps are put together
+    within blocks of ``block`` rows, and the carry into a block is exact over all blocks before it.
     """
-    rows = rows.withColumns({"_d": F.coalesce(decay, F.lit(1.0)), "_c": F.coalesce(tick, F.lit(0.0)), "_b": F.floor(F.col("n") / block)})
+    step = F.struct(F.coalesce(decay.cast("double"), F.lit(1.0)).alias("d"), F.coalesce(tick.cast("double"), F.lit(0.0)).alias("c"))
+    rows = rows.withColumns({"_step": step, "_b": F.floor(F.col("n") / block)})
     upto = Window.partitionBy(*keys, "_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_log", F.sum(F.ln("_d")).over(upto)).withColumn("_local", F.exp("_log") * F.sum(F.col("_c") * F.exp(-F.col("_log"))).over(upto))
-    ends = rows.groupBy(*keys, "_b").agg(F.max_by(F.struct(F.col("_log").alias("log"), F.col("_local").alias("sum")), "n").alias("_e"))
-    ends = materialize(ends, "decay-ends")
+    rows = rows.withColumn("_m", _together(F.collect_list("_step").over(upto)))
+    ends = materialize(rows.groupBy(*keys, "_b").agg(F.max_by("_m", "n").alias("_e")), "decay-ends")
     span = ends.agg(F.min("_b").alias("low"), F.max("_b").alias("high")).first()
     ends = _carries(ends, keys, span["low"] or 0, span["high"] or 0)
     a, b = rows.alias("a"), ends.alias("b")
     same = _equal("a", "b", [*keys, "_b"])
     keep = [c for c in rows.columns if not c.startswith("_")]
-    return a.join(b, same).select(*[F.col(f"a.{c}") for c in keep], (F.col("a._local") + F.exp("a._log") * F.col("b._carry")).alias(name))
+    return a.join(b, same).select(*[F.col(f"a.{c}") for c in keep], (F.col("a._m.c") + F.col("a._m.d") * F.col("b._carry")).alias(name))
 
 
-def _carries(ends: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
-    """keys, _b, _carry: the running sum before each block, of blocks ``low`` to ``high`` with ends ``_e`` (log, sum).
+def _together(steps: Column) -> Column:
+    """One map for an array of maps (d, c) in their order."""
+    nothing = F.struct(F.lit(1.0).alias("d"), F.lit(0.0).alias("c"))
+    return F.aggregate(steps, nothing, lambda y, e: F.struct((y["d"] * e["d"]).alias("d"), (y["c"] * e["d"] + e["c"]).alias("c")))
 
-    A block maps y to y exp(log) + sum. FAN blocks in a row are one block of the next level, whose carries are found
-    in the same way, so no window or fold is over more than FAN rows.
-    """
-    nothing = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
 
-    def fold(es: Column) -> Column:
-        return F.aggregate(es, nothing, lambda y, e: F.struct((y["log"] + e["log"]).alias("log"), (y["sum"] * F.exp(e["log"]) + e["sum"]).alias("sum")))
+def _carries(ends: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
+    """keys, _b, _carry: the running sum before each block, of blocks ``low`` to ``high`` with maps ``_e`` (d, c).
 
+    FAN blocks in a row are one block of the next level, whose carries are found in the same way, so no window or
+    fold is over more than FAN rows.
+    """
     rows = ends.withColumn("_g", F.floor((F.col("_b") - low) / FAN))
     before = Window.partitionBy(*keys, "_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("_in", fold(F.collect_list("_e").over(before)))
+    inside = rows.withColumn("_in", _together(F.collect_list("_e").over(before)))
     last = (high - low) // FAN
     if not last:
-        return inside.select(*keys, "_b", F.col("_in.sum").alias("_carry"))
+        return inside.select(*keys, "_b", F.col("_in.c").alias("_carry"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_b", "_e"))), lambda x: x["_e"])
-    groups = rows.groupBy(*keys, F.col("_g").alias("_b")).agg(fold(ordered).alias("_e"))
+    groups = rows.groupBy(*keys, F.col("_g").alias("_b")).agg(_together(ordered).alias("_e"))
     a, b = inside.alias("a"), _carries(materialize(groups, "decay-ends"), keys, 0, last).withColumnRenamed("_b", "_g").alias("b")
-    return a.join(b, _equal("a", "b", [*keys, "_g"])).select(*[F.col(f"a.{k}") for k in [*keys, "_b"]], (F.col("a._in.sum") + F.exp("a._in.log") * F.col("b._carry")).alias("_carry"))
+    return a.join(b, _equal("a", "b", [*keys, "_g"])).select(*[F.col(f"a.{k}") for k in [*keys, "_b"]], (F.col("a._in.c") + F.col("a._in.d") * F.col("b._carry")).alias("_carry"))
 
 
 def ewma(log: DataFrame, keys: list[str], signal: str, half_life_us: int, name: str = "ewma", block_us: int = DAY_US) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +47,47 @@ def tick_emit(impulses: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, same).select(*[F.col(f"a.{k}") for k in keys], "a.island", "b.ts_us", "b.seq", "a.tick")
 
 
-def bucket_sample(trades: DataFrame, keys: list[str], weight: float = 1.0, initial: float = 10.0, valid: Column | None = None, block_us: int = DAY_US) -> DataFrame:
-    """Adds ``should_sample``: true each time the summed weight of valid trades fills a bucket of ``initial``."""
-    if not 0 < weight <= initial:
-        raise ValueError("the weight must be over 0 and at most the bucket")
+#: Steps after which a bucket's levels must have come round.
+MOST_LEVELS = 10_000
+
+
+def bucket_pattern(weight: float, initial: float, least: float) -> tuple[list[int], int, int]:
+    """(places that sample, first place that comes round, period) of a bucket's levels after its valid trades.
+
+    The level begins at ``initial``; each trade takes ``weight``, a level of 0 or less is filled by ``initial`` and
+    samples, and a level below ``least`` is raised to it. It depends on nothing but the number of trades, and takes
+    finitely many values (sums of the three numbers, as decimals, within bounds), so it comes round.
+    """
+    w, full, low = (Fraction(str(x)) for x in (weight, initial, least))
+    level, seen, places = full, {}, []
+    for k in range(MOST_LEVELS):
+        if level in seen:
+            return places, seen[level], k - seen[level]
+        seen[level] = k
+        level -= w
+        if level <= 0:
+            level += full
+            places.append(k)
+        level = max(low, level)
+    raise ValueError(f"the bucket takes over {MOST_LEVELS} levels: use rounder numbers")
+
+
+def bucket_sample(trades: DataFrame, keys: list[str], weight: float = 1.0, initial: float = 10.0, valid: Column | None = None, block_us: int = DAY_US, least: float | None = None) -> DataFrame:
+    """Adds ``should_sample``: true each time the weights of valid trades have emptied a bucket of ``initial``.
+
+    Without a ``least`` level the weight may be at most the bucket. With one (over 0) it may be any: a trade that takes
+    more than the bucket holds samples once, and the level starts again from ``least`` if nothing is left.
+    """
+    if weight <= 0 or initial <= 0 or (weight > initial if least is None else not 0 < least <= initial):
+        raise ValueError("the weight must be over 0 and at most the bucket, or the least level over 0 and at most the bucket")
     valid = F.lit(True) if valid is None else valid
     counted = scan(trades, keys, ORDER, {"_n": ("sum", F.when(valid, F.lit(1)).otherwise(F.lit(0)).cast("long"))}, block_us=block_us)
-    step = weight / initial
-    return counted.withColumn("should_sample", valid & (F.floor(F.col("_n") * step) > F.floor((F.col("_n") - 1) * step))).drop("_n")
+    if least is None:
+        step = weight / initial
+        full = F.floor(F.col("_n") * step) > F.floor((F.col("_n") - 1) * step)
+    else:
+        places, first, period = bucket_pattern(weight, initial, least)
+        at = F.col("_n") - 1
+        round_ = F.when(at >= first, (at - first) % period + first).otherwise(at)
+        full = F.array_contains(F.array(*map(F.lit, places)), round_.cast("int")) if places else F.lit(False)
+    return counted.withColumn("should_sample", valid & full).drop("_n")

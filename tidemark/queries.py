@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import market as M
+from tidemark import model_sql as S
 from tidemark.functions import numeric as N
 from tidemark.operators import book, decay, events, models, sampled, signals, trades
 from tidemark.operators.scan import DAY_US
@@ -37,6 +38,15 @@ def query(sql: str | None = None):
     return add
 
 
+def _value(name: str) -> float:
+    """A fixed small value for each name of a parameter."""
+    return ((sum(map(ord, name)) * 37) % 100) / 200.0 + 0.05
+
+
+def _parameter(name: str) -> Column:
+    return F.lit(_value(name))
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -204,6 +214,20 @@ def sided_impulse(spark, sf_dir):
     return df.select("seq", "sym", r6(bid).alias("bid_impulse"), r6(ask).alias("ask_impulse"))
 
 
+_MESSAGE = f"messages as (select *, ts_us // {6 * 3600 * SECOND} as message from fairs), lasts as (select sym, message, arg_max(fair, (ts_us, seq)) as last_fair from messages group by sym, message having last_fair is not null)"
+
+
+@query(_with(f"select sym, message, round(coalesce(sum(case when side = 'B' then (size - previous_size) * exp({SCALE} * (price - last_fair)) end), 0), 6) as bid_impulse, round(coalesce(sum(case when side = 'S' then (size - previous_size) * exp(-{SCALE} * (price - last_fair)) end), 0), 6) as ask_impulse from messages join lasts using (sym, message) group by sym, message", _UPDATES, _FAIR, _MESSAGE))
+def message_impulse(spark, sf_dir):
+    """Impulses of all updates of a message (here: of six hours) around the fair price after it."""
+    step = F.struct("ts_us", "seq", "price", "previous_size", F.col("size").alias("current_size"))
+    sides = {s: F.array_sort(F.collect_list(F.when(F.col("side") == s, step))).alias(s) for s in "BS"}
+    # arg_max leaves NULLs out: the last fair price that is there.
+    fair = F.max_by("fair", F.when(F.col("fair").isNotNull(), F.struct("ts_us", "seq"))).alias("fair")
+    messages = _fair(spark, sf_dir).groupBy("sym", F.floor(F.col("ts_us") / (6 * 3600 * SECOND)).alias("message")).agg(fair, *sides.values()).where("fair is not null")
+    return messages.select("sym", "message", r6(book.message_impulse(F.col("B"), F.col("fair"), SCALE, 1.0)).alias("bid_impulse"), r6(book.message_impulse(F.col("S"), F.col("fair"), SCALE, -1.0)).alias("ask_impulse"))
+
+
 _LIVE = """alive as (select sym, side, price, size, ts_us, seq, lead(seq) over (partition by sym, side, price order by ts_us, seq) as until from depth),
 levels as (select d.sym, d.seq, d.ts_us, a.side, a.price, a.size from depth d join alive a on d.sym = a.sym and a.seq <= d.seq and (a.until is null or a.until > d.seq) and a.size > 0),
 sides as (select d.sym, d.seq, d.ts_us, max(l.price) filter (where l.side = 'B') as bid, min(l.price) filter (where l.side = 'S') as ask,
@@ -235,7 +259,7 @@ def top_levels(spark, sf_dir):
 
 
 #: Greedy groups in SQL: a recursion over each side's levels, best first.
-_GROUPED = f"""ranked as (select sym, seq, side, price, size, row_number() over (partition by sym, seq, side order by case when side = 'B' then -price else price end) as n from levels where seq % 7 = 0),
+_GROUPED = f"""ranked as (select sym, seq, side, price, size, row_number() over (partition by sym, seq, side order by case when side = 'B' then -price else price end) as n from levels),
 walk as (select sym, seq, side, n, price as start, 0 as g, price, size from ranked where n = 1
   union all select r.sym, r.seq, r.side, r.n, case when w.g > 0 and abs(r.price / w.start - 1) <= {RATIO} then w.start else r.price end,
     case when w.g > 0 and abs(r.price / w.start - 1) <= {RATIO} then w.g else w.g + 1 end, r.price, r.size
@@ -244,8 +268,8 @@ walk as (select sym, seq, side, n, price as start, 0 as g, price, size from rank
 
 @query(_with(f"select sym, seq, side, cast(g as int) as level, round(sum(price * size) / sum(size), 6) as price, round(sum(size), 6) as size from walk where g < {GROUPS} group by sym, seq, side, g", _LIVE, _GROUPED).replace("with ", "with recursive ", 1))
 def book_aggregate(spark, sf_dir):
-    """Groups after every seventh message, as its SQL has them; book_aggregate_whole has those of all messages."""
-    return _groups(_books(spark, sf_dir).where("seq % 7 = 0"))
+    """Groups of both sides after each message."""
+    return _groups(materialize(_books(spark, sf_dir), "books"))
 
 
 def _groups(snaps: DataFrame) -> DataFrame:
@@ -255,8 +279,8 @@ def _groups(snaps: DataFrame) -> DataFrame:
 
 @query()
 def book_aggregate_whole(spark, sf_dir):
-    """Groups of both sides after each message; tested against brute force."""
-    return _groups(materialize(_books(spark, sf_dir), "books"))
+    """The same under its older name; tested against brute force."""
+    return book_aggregate(spark, sf_dir)
 
 
 @query(_with(f"""select s.sym, s.seq, round((ln(t.b / t.a) / (2 * {SCALE / 100}) + 1) * mid / 10000, 6) as fair
@@ -269,15 +293,57 @@ def static_fair(spark, sf_dir):
     return q.select("sym", "seq", r6(fair).alias("fair"))
 
 
-@query()
-def static_book_combo(spark, sf_dir):
-    """Static fair returns over aggregated books for two ratios and two scales, and their sum with weights."""
+RATIOS, SCALES = (RATIO / 2, RATIO, 2 * RATIO), (1e-3, 3e-3, 1e-2)
+
+
+def _static_sql() -> tuple[list[str], list[str], str]:
+    """Tables ``projected`` (r0..r8 and the projection) for the recursive WITH."""
+    tables = ["ranked as (select sym, seq, side, price, size, row_number() over (partition by sym, seq, side order by case when side = 'B' then -price else price end) as n from levels)"]
+    tables.append("quoted as (select sym, seq, ts_us, (bid + ask) / 2 as mid from sides where bid is not null and ask is not null)")
+    names, joins = [], []
+    for i, ratio in enumerate(RATIOS):
+        near = f"w.g > 0 and abs(r.price / w.start - 1) <= {ratio!r}"
+        tables.append(f"""walk{i} as (select sym, seq, side, n, price as start, 0 as g, price, size from ranked where n = 1
+  union all select r.sym, r.seq, r.side, r.n, case when {near} then w.start else r.price end, case when {near} then w.g else w.g + 1 end, r.price, r.size
+  from walk{i} w join ranked r on w.sym = r.sym and w.seq = r.seq and w.side = r.side and r.n = w.n + 1)""")
+        tables.append(f"group{i} as (select sym, seq, side, sum(price * size) / sum(size) as price, sum(size) as size from walk{i} where g < {GROUPS} group by sym, seq, side, g)")
+        fairs = []
+        for j, scale in enumerate(SCALES):
+            side = lambda s, sign: f"sum(case when side = '{s}' then sqrt(size) * exp(10000.0 * (price - mid) / mid * {sign * scale!r}) end)"  # noqa: B023, E731
+            names.append(f"r{len(SCALES) * i + j}")
+            fairs.append(f"((any_value(mid) * (1.0 + ln({side('B', 1)} / {side('S', -1)}) / (2.0 * {scale!r}) / 10000.0)) - any_value(mid)) / any_value(mid) as {names[-1]}")
+        tables.append(f"return{i} as (select g.sym, g.seq, {', '.join(fairs)} from group{i} g join quoted q on g.sym = q.sym and g.seq = q.seq group by g.sym, g.seq)")
+        joins.append(f"join return{i} using (sym, seq)")
+    tables.append(f"returned as (select * from quoted {' '.join(joins)})")
+    steps = S.Steps()
+    out = S.cascade(steps, "static", names, _value, ("m", "d"))
+    tables.append(f"projected as ({steps.select('*', 'returned, (select avg(r0) as m, stddev_samp(r0) as d from returned)')})")
+    return tables, names, out
+
+
+_STATIC, _STATIC_NAMES, _STATIC_OUT = _static_sql()
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+def _static_projection(spark, sf_dir) -> DataFrame:
+    """sym, seq, ts_us, mid, the returns r0..r8 of static fair prices over aggregated books (three ratios, three scales)
+    and what a cascade over them, normalised by the first, makes of them."""
     snaps = materialize(_books(spark, sf_dir).where("size(bids) > 0 and size(asks) > 0"), "books")
     mid = M.bbo_mid(book.bbo(F.col("bids"), F.col("asks")))
-    got = signals.static_book_returns(F.col("bids"), F.col("asks"), mid, [RATIO, 2 * RATIO], [1e-3, 1e-2])
-    names = [f"r{i}" for i in range(len(got))]
-    returns = materialize(snaps.select("sym", "seq", *[c.alias(n) for c, n in zip(got, names)]), "returns")
-    return returns.select("sym", "seq", *[r6(n).alias(n) for n in names], r6(models.linreg([F.col(n) for n in names], [_parameter(n) for n in names])).alias("combined"))
+    got = signals.static_book_returns(F.col("bids"), F.col("asks"), mid, RATIOS, SCALES)
+    returns = materialize(snaps.select("sym", "seq", "ts_us", mid.alias("mid"), *[c.alias(n) for c, n in zip(got, _STATIC_NAMES)]), "returns")
+    first = models.Normalizer(*sampled.summarize(returns, ["r0"])["r0"])
+    return returns.withColumn("static", models.cascade([F.col(n) for n in _STATIC_NAMES], _parameter, "static", normalizer=first))
+
+
+@query(_recursive(_with(f"select sym, seq, {', '.join(f'round({n}, 6) + 0 as {n}' for n in _STATIC_NAMES)}, round({_STATIC_OUT} * mid + mid, 5) as projected from projected", _LIVE, *_STATIC)))
+def static_book_combo(spark, sf_dir):
+    """Static fair returns over aggregated books for three ratios and three scales, and the price they project."""
+    got = _static_projection(spark, sf_dir)
+    return got.select("sym", "seq", *[(r6(n) + 0.0).alias(n) for n in _STATIC_NAMES], F.round(F.col("static") * F.col("mid") + F.col("mid"), 5).alias("projected"))
 
 
 # -- trades
@@ -324,6 +390,17 @@ def bucket_sample(spark, sf_dir):
     return trades.bucket_sample(derived.trades(spark, sf_dir), ["sym"], 3.0, 10.0, block_us=BLOCK).select("seq", "sym", "should_sample")
 
 
+_BUCKET = (3.0, 7.0, 2.0)
+_LEVELS = f"""levels as (select 0 as k, {_BUCKET[1]} as level, false as full
+  union all select k + 1, greatest({_BUCKET[2]}, level - {_BUCKET[0]} + case when level - {_BUCKET[0]} <= 0 then {_BUCKET[1]} else 0 end), level - {_BUCKET[0]} <= 0 from levels where k < (select max(n) from numbered))"""
+
+
+@query(_recursive(_with("select seq, sym, l.full as should_sample from numbered join levels l on k = n", _SAMPLED, _LEVELS)))
+def bucket_sample_least(spark, sf_dir):
+    """A bucket that is never less full than its least level."""
+    return trades.bucket_sample(derived.trades(spark, sf_dir), ["sym"], _BUCKET[0], _BUCKET[1], block_us=BLOCK, least=_BUCKET[2]).select("seq", "sym", "should_sample")
+
+
 # -- decay
 _STEP, _D = decay.step_us(HALF_LIFE), decay.factor(HALF_LIFE)
 _GRID = f"span as (select sym, min(ts_us) as t0, max(ts_us) as t1 from trades group by sym), grid as (select sym, t0, k, t0 + k * {_STEP} as ts_us from span, lateral (select unnest(generate_series(0, (t1 - t0) // {_STEP})) as k))"
@@ -340,6 +417,30 @@ def running_sum_decay(spark, sf_dir):
     return decay.running_sum(t, t, ["sym"], "size", HALF_LIFE).select("sym", "k", "ts_us", F.round("running_sum", 4).alias("running_sum"))
 
 
+TICK_DECAY = 0.98
+_MIXED = f"""steps as (select sym, ts_us, 0 as kind, k as seq, case when k = 0 then 1 else {_D!r} end as decay, 0.0::double as tick from grid
+  union all select sym, ts_us, 1, seq, {TICK_DECAY}, coalesce(tick, 0) from emitted),
+upto as (select *, row_number() over w as n, sum(ln(decay)) over w as log from steps window w as (partition by sym order by ts_us, kind, seq)),
+pressure as (select a.sym, a.ts_us, a.n, sum(b.tick * exp(a.log - b.log)) as pressure from upto a join upto b on a.sym = b.sym and b.n <= a.n group by a.sym, a.ts_us, a.n)"""
+
+
+def _pressure(spark, sf_dir, ticks: DataFrame) -> DataFrame:
+    """Sum of the emitted ticks, decayed on the grid and by each emitted tick: sym, ts_us, seq (the number), pressure."""
+    grid = decay.decay_grid(derived.trades(spark, sf_dir), ["sym"], HALF_LIFE).select("sym", "ts_us", F.lit(0).alias("kind"), F.col("k").alias("seq"), "decay", F.lit(0.0).alias("tick"))
+    log = materialize(grid.unionByName(trades.tick_emit(ticks, ["sym"]).select("sym", "ts_us", F.lit(1).alias("kind"), "seq", F.lit(TICK_DECAY).alias("decay"), "tick")), "pressure-log")
+    order = ["ts_us", "kind", "seq"]
+    numbered = materialize(events.scan(log, ["sym"], order, {"n": ("count", F.lit(1))}, block_us=BLOCK).withColumn("n", F.col("n") - 1), "pressure-steps")
+    summed = decay.running_sum_mixed(numbered, ["sym"], order, F.col("decay"), F.col("tick"), "pressure")
+    return summed.select("sym", "ts_us", (F.col("n") + 1).alias("seq"), "pressure")
+
+
+@query(_with("select sym, ts_us, cast(n as bigint) as n, round(pressure, 6) + 0 as pressure from pressure", _UPDATES, _FAIR, _ISLANDS, _IMPULSE, _EMIT, _GRID, _MIXED))
+def running_sum_mixed(spark, sf_dir):
+    """Ticks decayed on a timer grid and at each emitted tick."""
+    got = _pressure(spark, sf_dir, materialize(_impulses(spark, sf_dir), "ticks"))
+    return got.select("sym", "ts_us", F.col("seq").alias("n"), (r6("pressure") + 0.0).alias("pressure"))
+
+
 _SIGNAL = f"read_ as (select g.sym, g.k, g.ts_us, t.price from (select *, ts_us - 1 as before from grid) g asof left join trades t on g.sym = t.sym and g.before >= t.ts_us), firsts as (select sym, min(k) as k0 from read_ where price is not null group by sym), averages as (select r.sym, r.k, r.ts_us, any_value(r.price) as price, sum(case when q.k = f.k0 then q.price else (1 - {_D!r}) * q.price end * pow({_D!r}, r.k - q.k)) as ewma from read_ r left join firsts f on r.sym = f.sym left join read_ q on r.sym = q.sym and q.k <= r.k and q.price is not null group by r.sym, r.k, r.ts_us)"
 
 
@@ -364,6 +465,30 @@ def sided_returns(spark, sf_dir):
     return _ewma(spark, sf_dir).where("ewma is not null").select("sym", "k", (r6(decay.sided_returns(p - h, p + h, e - h, e + h)) + 0.0).alias("sided"))
 
 
+def _move_sql() -> str:
+    steps = S.Steps()
+    ret = lambda x, a: S.clamp(f"({x} - {a}) / {x}", 0.01)
+    xs = [steps.let("m0", ret("price", "ewma")), steps.let("m1", ret("(price + 0.25)", "ewma"))]
+    xs.append(steps.let("m2", "((price - 0.5) - greatest(ewma - 0.5, price - 0.5)) / (price - 0.5) + ((price + 0.5) - least(ewma + 0.5, price + 0.5)) / (price + 0.5)"))
+    S.cascade(steps, "decay", xs, _value)
+    return f"moves as ({steps.select('*', 'averages')} where ewma is not null)"
+
+
+_MOVE = _move_sql()
+
+
+def _moves(averages: DataFrame) -> DataFrame:
+    """``averages`` with the combined returns of two signals and of quotes half a point apart against their averages."""
+    p, e, h = F.col("price"), F.col("ewma"), F.lit(0.5)
+    return averages.withColumn("move", signals.decay_move([(p, e), (p + 0.25, e)], (p - h, p + h), (e - h, e + h), _parameter))
+
+
+@query(_with("select sym, k, round(decay, 6) + 0 as move from moves", _GRID, _SIGNAL, _MOVE))
+def decay_move(spark, sf_dir):
+    averages = materialize(_ewma(spark, sf_dir).where("ewma is not null"), "averages")
+    return _moves(averages).select("sym", "k", (r6("move") + 0.0).alias("move"))
+
+
 # -- sampling periods
 _PERIODS = f"""vals as (select seq, ts_us, sym, case when seq % 97 <> 0 then price end as v from trades),
 before as (select *, lag(v) over w as wv, lag(ts_us) over w as wt, row_number() over w as n from vals window w as (partition by sym order by ts_us, seq)),
@@ -440,15 +565,19 @@ def mlp_forward(spark, sf_dir):
     return _items(spark, sf_dir).select(*_KEYS, r6(F.get(y, F.lit(0))).alias("y"))
 
 
-def _parameter(name: str) -> Column:
-    """A fixed small value for each name."""
-    return F.lit(((sum(map(ord, name)) * 37) % 100) / 200.0 + 0.05)
+def _combo_sql() -> str:
+    steps = S.Steps()
+    xs = [steps.let("x0", "a / 25"), steps.let("x1", "b / 5"), steps.let("x2", "c * 10")]
+    S.cascade(steps, "cascade", xs, _value, ("0.1::double", "2.0::double"))
+    outs = S.small_mlp(steps, xs[:2], _value)
+    rounded = ", ".join(f"round({x}, 6) + 0 as m{i}" for i, x in enumerate(outs))
+    return f"with {_ITEMS}, computed as ({steps.select('*', 'items')}) select l_orderkey, l_linenumber, round(cascade, 6) + 0 as y, {rounded} from computed"
 
 
-@query()
+@query(_combo_sql())
 def cascade_combo(spark, sf_dir):
     x = models.cascade([F.col("a") / 25, F.col("b") / 5, F.col("c") * 10], _parameter, normalizer=models.Normalizer(F.lit(0.1), F.lit(2.0)))
-    return _items(spark, sf_dir).select(*_KEYS, r6(x).alias("y"), *[r6(v).alias(f"m{i}") for i, v in enumerate(models.small_mlp([F.col("a") / 25, F.col("b") / 5], _parameter))])
+    return _items(spark, sf_dir).select(*_KEYS, (r6(x) + 0.0).alias("y"), *[(r6(v) + 0.0).alias(f"m{i}") for i, v in enumerate(models.small_mlp([F.col("a") / 25, F.col("b") / 5], _parameter))])
 
 
 @query(f"with {_ITEMS} select count(*) as n, round(avg((2 * b - a) * (2 * b - a)), 4) as mse, round(1 - sum((2 * b - a) * (2 * b - a)) / (var_pop(a) * count(a)), 6) as r2 from items")
@@ -459,7 +588,7 @@ def mse_r2(spark, sf_dir):
 @query(_with("select seq, cast(row_number() over (order by ts_us, seq) - 1 as bigint) as n, (row_number() over (order by ts_us, seq) - 1) * 5 < 4 * count(*) over () as is_train from trades"))
 def train_split(spark, sf_dir):
     """Ordered 80/20 split; rows are numbered in time order without a global sort in one task."""
-    t = number_rows(derived.trades(spark, sf_dir).select("seq", "ts_us"), F.col("ts_us"))
+    t = number_rows(derived.trades(spark, sf_dir).select("seq", "ts_us"), F.col("ts_us"), ties=["seq"])
     total = t.count()
     return t.select("seq", "n", (F.col("n") * 5 < 4 * total).alias("is_train"))
 
@@ -498,20 +627,41 @@ def graph_lowering(spark, sf_dir):
 
 
 # -- flagship
-@query()
+def _market_sql() -> str:
+    steps = S.Steps()
+    xs = [steps.let("x0", S.div("(fair - price)", "price")), steps.let("x1", "running / 100"), steps.let("x2", "pressure / 100"), steps.let("x3", S.clamp("(price - ewma) / price", 0.01)), steps.let("x4", "move"), steps.let("x5", "static")]
+    steps.made[3] = ("x3", f"case when ewma is not null then {steps.made[3][1]} end")
+    S.cascade(steps, "market", xs, _value)
+    body = f"""with chosen as (select r.*, row_number() over (partition by sym order by ts_us, seq) as n from runs r),
+    seen as (select c.seq, c.sym, c.ts_us, c.price, c.fair, c.running, p.pressure, a.ewma, v.decay as move, q.static, c.ts_us + {HORIZON} as due from (select * from chosen where n % 10 = 0) c
+      asof left join pressures p on c.sym = p.sym and c.ts_us >= p.ts_us asof left join averages a on c.sym = a.sym and c.ts_us >= a.ts_us
+      asof left join moves v on c.sym = v.sym and c.ts_us >= v.ts_us asof left join projected q on c.sym = q.sym and c.ts_us >= q.ts_us),
+    computed as ({steps.select('*', 'seen')})
+    select d.seq, d.sym, d.price, round(c.market, 6) + 0 as pred, f.price as future from due d join computed c using (seq) asof join trades f on d.sym = f.sym and d.due >= f.ts_us"""
+    last = "pressures as (select sym, ts_us, arg_max(pressure, n) as pressure from pressure group by sym, ts_us)"
+    return _recursive(_with(f"select * from ({body})", _LIVE, *_STATIC, _UPDATES, _FAIR, _ISLANDS, _IMPULSE, _EMIT, _GRID, _MIXED, last, _SIGNAL, _MOVE, _FUTURE))
+
+
+@query(_market_sql())
 def market_pred(spark, sf_dir):
-    """A market's prediction at every tenth trade: tick impulse, book fair, decayed ticks and returns, combined,
-    with the price six hours on."""
+    """A market's prediction at every tenth trade: tick impulse, book fair, ticks decayed on the grid and by each
+    other, returns against averages, the decay move and the static book's projection, combined, with the price six
+    hours on."""
     t = derived.trades(spark, sf_dir)
     ticks = materialize(_impulses(spark, sf_dir), "ticks")
-    sums = materialize(decay.running_sum(t, trades.tick_emit(ticks, ["sym"]), ["sym"], "tick", HALF_LIFE).withColumn("seq", F.col("k")), "sums")
-    average = materialize(_ewma(spark, sf_dir).withColumn("seq", F.col("k")).select("sym", "ts_us", "seq", "ewma"), "averages")
+    averages = materialize(_ewma(spark, sf_dir).withColumn("seq", F.col("k")), "averages")
+    series = {
+        "pressure": _pressure(spark, sf_dir, ticks),
+        "ewma": averages.select("sym", "ts_us", "seq", "ewma"),
+        "move": _moves(averages.where("ewma is not null")).select("sym", "ts_us", "seq", "move"),
+        "static": _static_projection(spark, sf_dir).select("sym", "ts_us", "seq", "static"),
+    }
     seen = trades.bucket_sample(ticks, ["sym"], block_us=BLOCK).where("should_sample").select("seq", "ts_us", "sym", "price", "fair", "running")
-    for series, column in ((sums, "running_sum"), (average, "ewma")):
-        seen = materialize(events.as_of(seen, series, ["sym"], [column], block_us=BLOCK), "seen")
+    for column, rows in series.items():
+        seen = materialize(events.as_of(seen, materialize(rows, column), ["sym"], [column], block_us=BLOCK), "seen")
     p = F.col("price")
-    xs = [N.div(F.col("fair") - p, p), F.col("running") / 100, F.col("running_sum") / 100, decay.returns_against(p, F.col("ewma"), 0.01)]
+    xs = [N.div(F.col("fair") - p, p), F.col("running") / 100, F.col("pressure") / 100, decay.returns_against(p, F.col("ewma"), 0.01), F.col("move"), F.col("static")]
     names = [f"x{i}" for i in range(len(xs))]
     inputs = materialize(seen.withColumns(dict(zip(names, xs))), "inputs")
     predicted = inputs.withColumn("pred", models.cascade([F.col(n) for n in names], _parameter, "market"))
-    return events.future_value(predicted, t, ["sym"], "price", HORIZON, "future", block_us=BLOCK).select("seq", "sym", "price", r6("pred").alias("pred"), "future")
+    return events.future_value(predicted, t, ["sym"], "price", HORIZON, "future", block_us=BLOCK).select("seq", "sym", "price", (r6("pred") + 0.0).alias("pred"), "future")

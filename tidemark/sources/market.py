@@ -5,17 +5,19 @@ from __future__ import annotations
 import gzip
 import json
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import market as M
-from tidemark.functions import numeric as N
 from tidemark.operators.scan import scan
 
+#: Microseconds of a block in which rows are put in order.
+HOUR_US = 3_600_000_000
+
 LEVEL = T.StructType([T.StructField("price", T.DoubleType()), T.StructField("size", T.DoubleType())])
 TRADE = T.StructType([T.StructField("price", T.DoubleType()), T.StructField("size", T.DoubleType()), T.StructField("exchange_time_us", T.LongType()), T.StructField("buy", T.BooleanType())])
 DEPTH = T.StructType([T.StructField("bids", T.ArrayType(LEVEL)), T.StructField("asks", T.ArrayType(LEVEL)), T.StructField("exchange_time_us", T.LongType())])
@@ -186,20 +188,20 @@ def write_samples(rows: DataFrame, config: SampleConfig, path: str, time: str =
 
 
 def read_samples(spark: SparkSession, path: str, config: SampleConfig, skip: int = 1000) -> DataFrame:
-    """Training rows in time order without the first ``skip``; ``n`` numbers the rest from 0."""
+    """Training rows in time order (equal times in the order of the files) without the first ``skip``; ``n`` numbers
+    the rest from 0."""
     df = spark.read.parquet(path)
     wanted = [*config.outputs, "target", "target_future", "time"]
     if df.columns != wanted:
         raise ValueError(f"the columns are {df.columns}, not {wanted}")
-    return number_rows(df.na.drop(), F.unix_micros("time")).where(F.col("n") >= skip).withColumn("n", F.col("n") - skip)
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")).na.drop()
+    return number_rows(placed, F.unix_micros("time"), ties=["_file", "_place"]).where(F.col("n") >= skip).withColumn("n", F.col("n") - skip).drop("_file", "_place")
 
 
-def number_rows(df: DataFrame, time_us, name: str = "n") -> DataFrame:
-    """Dense numbers in time order (equal rows by their columns) without a window over all rows in one task."""
+def number_rows(df: DataFrame, time_us: Column, name: str = "n", ties: Sequence[str] = (), block_us: int = HOUR_US) -> DataFrame:
+    """Dense numbers in order of time, then of the columns ``ties`` (what is left of ties: by a hash of all columns),
+    without a window over all rows in one task: rows are ordered within blocks of time, and counts of the blocks
+    before are added."""
     timed = df.withColumn("_t", time_us).withColumn("_id", F.xxhash64(*df.columns))
-    return scan(timed.withColumn("_all", F.lit(0)), ["_all"], ["_t", "_id"], {name: ("count", F.lit(1))}).withColumn(name, F.col(name) - 1).drop("_t", "_id", "_all")
-
+    return scan(timed.withColumn("_all", F.lit(0)), ["_all"], ["_t", *ties, "_id"], {name: ("count", F.lit(1))}, block_us=block_us).withColumn(name, F.col(name) - 1).drop("_t", "_id", "_all")
 
-def source_column(x):
-    """External doubles: what isn't finite is invalid."""
-    return N.finite(x)
