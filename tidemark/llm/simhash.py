@@ -228,8 +228,9 @@ class Views:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w, SEED)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w, SEED)
         return [known[w] for w in words]
 
     def __call__(self, text: str | None) -> tuple[list[int], bytes]:
