@@ -5,9 +5,10 @@ with a 1 from those with a 0. A text goes to the codeword of least total loss, w
 log(1 + exp(-margin)) is weighted by how well that bit did for that language on the training rows. A text is
 flagged ambiguous if the runner-up is about as likely as the winner.
 
-Training: at most about SAMPLE documents of each language, chosen by a hash of doc_id among rows with a language
-that ``may_train`` admits (the number of documents of a language sets the hash threshold). Predictions use the
-text alone, whole.
+Training: about SAMPLE documents of each language (fewer where TOTAL allows no more for each), chosen by a hash of
+doc_id and text among rows with a language that ``may_train`` admits; the number of documents of a language sets
+the hash threshold. Repeated rows count once, and no language gives over twice its share, so that what comes to
+the driver is bounded: 2 x TOTAL rows of 2^FEATURES_LOG2 2-byte numbers. Predictions use the text alone, whole.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled rows every text is
 ``und``, with one language every text with a letter is that language; rows may repeat; null ids are kept.
@@ -18,13 +19,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
 #: Documents of a language to learn from, about; n-gram lengths; log2 of the number of features.
 SAMPLE, GRAMS, FEATURES_LOG2 = 600, (1, 2, 3, 4), 13
+#: Documents of all languages to learn from, about.
+TOTAL = 8000
 #: Languages at most: more distinct labels than this are an error, as labels come to the driver.
 MOST_LANGUAGES = 1000
 #: Ambiguous if the winner's share of (winner + runner-up) is below this.
@@ -126,15 +129,19 @@ def train(docs: DataFrame, may_train: Column, sample: int = SAMPLE) -> Model:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
     languages = [k for k, _ in counts]
     number = {k: i for i, k in enumerate(languages)}
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = min(sample, max(1, TOTAL // max(1, len(languages))))
+    rows = rows.withColumn("rank", F.xxhash64("doc_id", "text"))
     limit = F.lit(0)
     for k, n in counts:
-        limit = F.when(F.col("lang") == k, F.lit(int(min(1.0, sample / n) * (1 << 30)))).otherwise(limit)
+        limit = F.when(F.col("lang") == k, F.lit(int(min(1.0, share / n) * (1 << 30)))).otherwise(limit)
 
     def make():
-        return lambda ids, texts, langs: [ids, [number[k] for k in langs], [features(t).astype("<f2").tobytes() for t in texts]]
+        return lambda ranks, texts, langs: [ranks, [number[k] for k in langs], [features(t).astype("<f2").tobytes() for t in texts]]
 
-    got = common.arrow_map(rows.where(rank < limit), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").orderBy("doc_id", "y", "x").toArrow()
+    chosen = rows.where(F.pmod("rank", F.lit(1 << 30)) < limit).select("rank", "text", "lang")
+    once = common.arrow_map(chosen, make, "rank long, y int, x binary").groupBy("y", "rank").agg(F.min("x").alias("x"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("rank"))
+    got = once.withColumn("place", place).where(F.col("place") <= 2 * share).orderBy("y", "rank").select("y", "x").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), "<f2").reshape(got.num_rows, 1 << FEATURES_LOG2).astype(np.float32)
     return Model(languages, x, got["y"].to_numpy().astype(np.int64))
 
