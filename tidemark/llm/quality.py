@@ -6,7 +6,8 @@ v . (tanh(V h_k) * sigmoid(U h_k))) make the document's representation z = sum o
 scores z. All of it is learned from document labels alone, with hand-written gradients in numpy.
 
 Training: about SAMPLE documents of each label, chosen by a hash of doc_id among labelled rows that ``may_train``
-admits. Classes are weighted by their share of all labelled rows, so that scores are calibrated to it. Scoring
+admits; of rows that share an id one is taken, and of a document of over MOST_BAG passages that many, evenly spread
+over it. So at most about 2 x SAMPLE x MOST_BAG passages come to the driver. Classes are weighted by their share of all labelled rows, so that scores are calibrated to it. Scoring
 takes whole texts; the passages of a very long one go through in blocks with a running softmax.
 
 Defined cases: null and empty texts are one passage without bytes and get a score as any; rows may repeat; a
@@ -26,7 +27,7 @@ from tidemark.llm import common
 PASSAGE, BLOCK, SAMPLE, HIDDEN, ATTENTION = 1200, 2048, 1500, 24, 12
 THRESHOLD = 0.7
 EPOCHS, RATE, DECAY, BATCH = 12, 3e-3, 1e-4, 32
-#: Passages of a training document at most go into one gradient step; longer documents are cut into several bags.
+#: Passages of a training document.
 MOST_BAG = 64
 
 _CLASS = np.full(256, 7, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 newline, 5 stop and comma, 6 other punctuation, 7 non-ASCII and control
@@ -88,7 +89,31 @@ class Model:
         bent = np.tanh(h @ self.v.T + self.vb)
         return h, bent, gate, (bent * gate) @ self.a
 
+    def gradients(self, bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted logistic loss of some documents, by parameter."""
+        sizes = np.array([len(bag) for bag in bags])
+        starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(bags)), sizes)
+        f = (np.concatenate(bags) - self.mean) / self.scale
+        h = np.tanh(f @ self.w.T + self.b)
+        gate = 1 / (1 + np.exp(-(h @ self.u.T + self.ub)))
+        bent = np.tanh(h @ self.v.T + self.vb)
+        e = (bent * gate) @ self.a
+        e = np.exp(e - np.maximum.reduceat(e, starts)[owner])
+        att = e / np.add.reduceat(e, starts)[owner]
+        z = np.add.reduceat(att[:, None] * h, starts)
+        p = 1 / (1 + np.exp(-(z @ self.c + self.c0)))
+        d = (weights * (p - labels)).astype(h.dtype) / len(bags)
+        dz = d[:, None] * self.c
+        dh = att[:, None] * dz[owner]
+        datt = (dz[owner] * h).sum(1)
+        de = att * (datt - np.add.reduceat(att * datt, starts)[owner])
+        dbent, dgate = de[:, None] * self.a * gate * (1 - bent**2), de[:, None] * self.a * bent * gate * (1 - gate)
+        dh += dbent @ self.v + dgate @ self.u
+        dh *= 1 - h**2
+        return {"w": dh.T @ f, "b": dh.sum(0), "v": dbent.T @ h, "vb": dbent.sum(0), "u": dgate.T @ h, "ub": dgate.sum(0), "a": (de[:, None] * bent * gate).sum(0), "c": d @ z, "c0": d.sum(keepdims=True)}
+
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> None:
+        """Adam over shuffled batches of documents."""
         every = np.concatenate(bags)
         self.mean, self.scale = every.mean(0), np.maximum(every.std(0), 1e-2)
         rng, first, second, step = np.random.default_rng(1), {k: 0.0 for k in self.NAMES}, {k: 0.0 for k in self.NAMES}, 0
@@ -96,26 +121,7 @@ class Model:
             order = rng.permutation(len(bags))
             for at in range(0, len(order), BATCH):
                 chosen = order[at : at + BATCH]
-                sizes = np.array([len(bags[i]) for i in chosen])
-                starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(chosen)), sizes)
-                f = (np.concatenate([bags[i] for i in chosen]) - self.mean) / self.scale
-                h = np.tanh(f @ self.w.T + self.b)
-                gate = 1 / (1 + np.exp(-(h @ self.u.T + self.ub)))
-                bent = np.tanh(h @ self.v.T + self.vb)
-                e = (bent * gate) @ self.a
-                e = np.exp(e - np.maximum.reduceat(e, starts)[owner])
-                att = e / np.add.reduceat(e, starts)[owner]
-                z = np.add.reduceat(att[:, None] * h, starts)
-                p = 1 / (1 + np.exp(-(z @ self.c + self.c0)))
-                d = (weights[chosen] * (p - labels[chosen])).astype(np.float32) / len(chosen)
-                dz = d[:, None] * self.c
-                dh = att[:, None] * dz[owner]
-                datt = (dz[owner] * h).sum(1)
-                de = att * (datt - np.add.reduceat(att * datt, starts)[owner])
-                dbent, dgate = de[:, None] * self.a * gate * (1 - bent**2), de[:, None] * self.a * bent * gate * (1 - gate)
-                dh += dbent @ self.v + dgate @ self.u
-                dh *= 1 - h**2
-                grads = {"w": dh.T @ f, "b": dh.sum(0), "v": dbent.T @ h, "vb": dbent.sum(0), "u": dgate.T @ h, "ub": dgate.sum(0), "a": (de[:, None] * bent * gate).sum(0), "c": d @ z, "c0": d.sum(keepdims=True)}
+                grads = self.gradients([bags[i] for i in chosen], labels[chosen], weights[chosen])
                 step += 1
                 for k, g in grads.items():
                     g = g + DECAY * getattr(self, k)
@@ -150,17 +156,19 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column, sample: int = S
     chosen = F.broadcast(marks.where(rank < limit))
 
     def make():
-        return lambda ids, texts, q: [ids, q, [features(passages(common.utf8(t))).astype("<f2").tobytes() for t in texts]]
+        def bag(text):
+            pieces = passages(common.utf8(text))
+            if len(pieces) > MOST_BAG:
+                pieces = [pieces[k * len(pieces) // MOST_BAG] for k in range(MOST_BAG)]
+            return features(pieces).astype("<f2").tobytes()
+
+        return lambda ids, texts, q: [ids, q, [bag(t) for t in texts]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     picked = docs.select("doc_id", "text").join(chosen, "doc_id")
-    got = common.arrow_map(picked, make, f"doc_id {kind}, quality int, f binary").orderBy("doc_id", "f").toArrow()
-    bags, ys = [], []
-    for q, f in zip(got["quality"].to_pylist(), got["f"].to_pylist()):
-        rows = np.frombuffer(f, "<f2").reshape(-1, SIZE).astype(np.float32)
-        for at in range(0, len(rows), MOST_BAG):
-            bags.append(rows[at : at + MOST_BAG])
-            ys.append(q)
+    got = common.arrow_map(picked, make, f"doc_id {kind}, quality int, f binary").groupBy("doc_id", "quality").agg(F.min("f").alias("f")).orderBy("doc_id").toArrow()
+    bags = [np.frombuffer(f, "<f2").reshape(-1, SIZE).astype(np.float32) for f in got["f"].to_pylist()]
+    ys = got["quality"].to_pylist()
     y = np.array(ys, np.float32)
     if 0 < y.sum() < len(y):
         share = counts[1] / total
