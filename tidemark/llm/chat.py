@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 TURN, TEXT, END, BEGIN = "[TURN]", "[TEXT]", "</s>", "<s>"
 #: Characters a token is taken to have, and tokens of a window, of it kept for system turns and for history.
 CHARS_A_TOKEN, BUDGET, SYSTEM_BUDGET, HISTORY_BUDGET = 4, 2048, 512, 256
@@ -65,18 +67,26 @@ def windows(conversations: DataFrame, budget: int = BUDGET, system_budget: int =
     if span <= 0 or history_budget > span:
         raise ValueError("the budgets leave no span that is as long as the history")
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", tokens(F.col("text")))
-    placed = _spans(turns, span)
+    # Several branches read the placed turns and the windows' bounds: both are written once.
+    placed = materialize(_spans(turns, span), "chat-turns")
     by_conv = Window.partitionBy("conv_id").orderBy("win")
-    bounds = placed.groupBy("conv_id", "win").agg(F.min("before").alias("start")).select("conv_id", "win", F.lead("win").over(by_conv).alias("next_win"), F.lead("start").over(by_conv).alias("next_start"))
-    placed = placed.alias("p").join(bounds.alias("b"), F.col("p.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("p.win") == F.col("b.win"))).select("p.*", "next_win", "next_start")
-    # The system prompt: the turns before the first that isn't a system turn, as far as they fit their budget.
-    first_other = placed.where("role <> 'system'").groupBy("conv_id").agg(F.min("pos").alias("first_other"))
-    system = placed.where(f"role = 'system' and before + n <= {system_budget}").alias("p").join(first_other.alias("f"), F.col("p.conv_id").eqNullSafe(F.col("f.conv_id")), "left").where("first_other is null or p.pos < first_other").select("p.conv_id", "p.role", "p.text", "p.pos", "p.win")
-    later = bounds.where("next_win is not null").select(F.col("conv_id").alias("c"), F.col("next_win").alias("w"))
-    kept = system.join(later, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("w") > F.col("win"))).select("conv_id", F.col("w").alias("win"), "pos", "role", "text", F.lit(0).alias("kind"))
-    own = placed.select("conv_id", "win", "pos", "role", "text", F.lit(2).alias("kind"))
-    history = placed.where(f"next_win is not null and next_start - before <= {history_budget} and not (role = 'system' and before + n <= {system_budget})").select("conv_id", F.col("next_win").alias("win"), "pos", "role", "text", F.lit(1).alias("kind"))
-    pieces = kept.unionByName(history).unionByName(own).select("conv_id", "win", "pos", "kind", "role", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head"), escape(F.col("text")).alias("body"))
+    starts = placed.groupBy("conv_id", "win").agg(F.min("before").alias("start"), F.min(F.when(F.col("role") != "system", F.col("pos"))).alias("other"))
+    first_other = F.min("other").over(Window.partitionBy("conv_id")).alias("first_other")
+    bounds = materialize(starts.select("conv_id", "win", F.lead("win").over(by_conv).alias("next_win"), F.lead("start").over(by_conv).alias("next_start"), first_other), "chat-windows")
+    same = F.col("p.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("p.win") == F.col("b.win"))
+    known = placed.alias("p").join(bounds.alias("b"), same).select("p.*", "next_win", "next_start", "first_other")
+    small_system = (F.col("role") == "system") & (F.col("before") + F.col("n") <= system_budget)
+    # A turn is in its own window (kind 2) and, if it is near its end, in the history of the next (kind 1).
+    near = F.col("next_win").isNotNull() & (F.col("next_start") - F.col("before") <= history_budget) & ~small_system
+    own = F.struct(F.col("win"), F.lit(2).alias("kind"))
+    uses = F.when(near, F.array(own, F.struct(F.col("next_win").alias("win"), F.lit(1).alias("kind")))).otherwise(F.array(own))
+    said = known.select("conv_id", "pos", "role", "text", F.explode(uses).alias("use")).select("conv_id", "use.win", "pos", "role", "text", "use.kind")
+    # The system prompt: the turns before the first that isn't a system turn, as far as they fit their budget. It is in
+    # every later window (kind 0).
+    system = known.where(small_system & (F.col("first_other").isNull() | (F.col("pos") < F.col("first_other")))).select(F.col("conv_id").alias("c"), "pos", "role", "text", F.col("win").alias("w"))
+    later = bounds.where("next_win is not null").select("conv_id", F.col("next_win").alias("win"))
+    kept = later.join(system, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("win") > F.col("w"))).select("conv_id", "win", "pos", "role", "text", F.lit(0).alias("kind"))
+    pieces = said.unionByName(kept).select("conv_id", "win", "pos", "kind", "role", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head"), escape(F.col("text")).alias("body"))
     listed = pieces.groupBy("conv_id", "win").agg(F.array_sort(F.collect_list(F.struct("kind", "pos", "role", "head", "body"))).alias("turns"))
     grow = F.aggregate(
         "turns",
