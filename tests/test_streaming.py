@@ -54,3 +54,22 @@ def test_keyed_state(spark, tmp_path, sink):
         assert len(sampled) == sum(sum(x[2] == s for x in rows) // 5 for s in "xy")
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_ticks_end_on_idle_without_another_message(spark, tmp_path, sink):
+    pytest.importorskip("google.protobuf")
+    second = 1_000_000
+    rows = [(0, 1, "x", True), (1, 2, "x", True), (2, 3, "x", False), (3, 4, "y", True), (4, 9, "y", True), (5, 100, "z", True), (6, 101, "z", True)]
+    rows = [(i, t * second, s, 10.0, 2.0, b) for i, t, s, b in rows]
+    schema = "seq long, ts_us long, sym string, price double, size double, buy boolean"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        path = str(tmp_path / "in")
+        for part in (rows[:5], rows[5:6], rows[6:]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        live = S.read_events(spark, path, spark.createDataFrame([], schema).schema)
+        got = sorted((r["sym"], r["start_us"] // second, r["stop_us"] // second, r["n"], r["buy"]) for r in sink(S.idle_ticks(live, 4 * second, "10 seconds")))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    # No trade of x or y follows their last runs: the timers end them. z's run is still open.
+    assert got == [("x", 1, 2, 2, True), ("x", 3, 3, 1, False), ("y", 4, 4, 1, True), ("y", 9, 9, 1, True)]

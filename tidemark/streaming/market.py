@@ -90,3 +90,58 @@ class _BookState(StatefulProcessor):
 def best_quotes(depth: DataFrame) -> DataFrame:
     """Best bid and ask of each symbol after each level message, both NULL while a side is empty."""
     return depth.select("sym", "ts_us", "seq", "side", "price", "size").groupBy("sym").transformWithStateInPandas(_BookState(), "sym string, ts_us long, seq long, bid double, ask double", "Append", "None")
+
+
+class _TickState(StatefulProcessor):
+    """The open run of one-sided trades of a key; a run ends at a trade of the other side, after a gap, or when event time
+    passes its last trade by ``idle_us``, with or without another trade."""
+
+    SCHEMA = "sym string, buy boolean, start_us long, stop_us long, n long, ps double"
+
+    def __init__(self, idle_us: int):
+        self.idle_us = idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "buy boolean, start_us long, stop_us long, n long, ps double")
+
+    def _frame(self, key, runs: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in runs], columns=[c.split()[0] for c in self.SCHEMA.split(", ")])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        run, done = (list(self.open.get()) if self.open.exists() else None), []
+        for r in pd.concat(list(rows)).sort_values(["ts_us", "seq"]).itertuples():
+            if run and (bool(r.buy) != run[0] or r.ts_us - run[2] >= self.idle_us):
+                done.append(tuple(run))
+                run = None
+            if run is None:
+                run = [bool(r.buy), int(r.ts_us), int(r.ts_us), 0, 0.0]
+            run[2], run[3], run[4] = int(r.ts_us), run[3] + 1, run[4] + float(r.price) * float(r.size)
+        self.open.update(tuple(run))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # Timers have milliseconds; one that is due already fires when the watermark passes it.
+        self.handle.registerTimer(-(-(run[2] + self.idle_us) // 1000))
+        yield self._frame(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        runs = []
+        if self.open.exists():
+            run = self.open.get()
+            if -(-(run[2] + self.idle_us) // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+                runs.append(tuple(run))
+                self.open.clear()
+        yield self._frame(key, runs)
+
+    def close(self) -> None:
+        pass
+
+
+def idle_ticks(trades: DataFrame, idle_us: int, late: str = "10 minutes") -> DataFrame:
+    """Runs of one-sided trades of a symbol: buy, start_us, stop_us, n, ps, as soon as they are over.
+
+    A run that no trade follows ends by a timer in event time, once the watermark (which any symbol's trades move) has
+    passed it.
+    """
+    rows = timed(trades, late).select("sym", "time", "ts_us", "seq", "price", "size", "buy")
+    return rows.groupBy("sym").transformWithStateInPandas(_TickState(idle_us), _TickState.SCHEMA, "Append", "EventTime")
