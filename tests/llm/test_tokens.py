@@ -96,3 +96,26 @@ def test_token_files(spark, odd, none):
     with pytest.raises(Exception):
         token_file.read_documents(uri, [0])
     assert token_file.read(token_file.write(none, JSON, new_folder(spark, "tokens"))).count() == 0
+
+
+def test_a_hot_id_and_null_ids_are_dealt_to_several_files(spark, monkeypatch):
+    """A third of the rows share an id, a sixth have none: no file holds much more than its share, and the order holds."""
+    monkeypatch.setattr(token_file, "DOCS_A_FILE", 50)
+    rows = [(7 if k % 3 == 0 else None if k % 6 == 1 else k, f"text number {k}") for k in range(1200)]
+    manifest = token_file.write(spark.createDataFrame(rows, "doc_id long, text string"), JSON, new_folder(spark, "tokens"))
+    sizes = sorted((r["file"], r["n_docs"]) for r in manifest.collect())
+    assert max(n for _, n in sizes) <= 110 and len(sizes) >= 16
+    got = sorted(token_file.read(manifest).collect(), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
+def test_an_unknown_split_is_refused(tmp_path):
+    import json
+
+    data = json.loads(open(JSON, encoding="utf-8").read())
+    data["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(data), encoding="utf-8")
+    with pytest.raises(ValueError):
+        token_file.encoder(str(tmp_path / "other.json"))

@@ -6,15 +6,18 @@ seekable format: compressed size, decompressed size and checksum (low half of XX
 frame, then the number of frames, a descriptor and a magic number. The frame before it is skippable too and
 holds the ids' width. A reader fetches the seek table and then only the frames it is asked for.
 
-Documents are dealt to files by ranges of doc_id, so the files in order hold ascending doc_ids. A file is written
-under a temporary name and renamed, so a task that runs again replaces it with the same bytes.
+Documents are dealt to files by ranges of doc_id, so the files in order hold ascending doc_ids, and each file is one
+task's partition. An id that fills several ranges, and null ids, are dealt by ranges of their frames' checksums. A
+file is written under a temporary name and renamed, so a task that runs again replaces it with the same bytes.
 
-Defined cases: null text counts as empty, so a document always has its end id; rows with a null doc_id come
-first; rows that repeat a doc_id are kept, ordered by their ids; an empty table gives no files and no rows.
+Defined cases: doc_id is an integer column; null text counts as empty, so a document always has its end id; rows
+with a null doc_id come first; rows that repeat a doc_id are kept, ordered by checksum, length and frame; an empty
+table gives no files and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -37,7 +40,7 @@ SKIPPABLE, TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 LEVEL = 3
 #: Documents of a file, as long as there are no more than MOST_FILES files.
-DOCS_A_FILE, MOST_FILES = 8192, 10_000
+DOCS_A_FILE, MOST_FILES = 8192, 100_000
 
 
 @lru_cache(2)
@@ -52,6 +55,10 @@ def encoder(path: str) -> tuple[Encoder, int]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    split = json.loads(tokenizer.to_str())
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if split["normalizer"] is not None or {k: (split["pre_tokenizer"] or {}).get(k) for k in plain} != plain:
+        raise ValueError("the tokenizer doesn't split texts as the fast path for plain characters does")
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     model = tokenizer.model.tokenize
     shown = sorted([*range(33, 127), *range(161, 173), *range(174, 256)])
@@ -137,12 +144,35 @@ def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def frames(docs: DataFrame, path: str, end_id: int = 0, cuts: list[int] | None = None) -> DataFrame:
-    """doc_id, file, n_tokens, length, checksum, frame: each text's ids with the end id, compressed on its own.
-
-    ``file`` is the number of ``cuts`` that are at or below doc_id (0 for a null).
-    """
-    edges = np.array(cuts or [], np.int64)
+class Deal:
+    """Numbers of files for documents: ``cuts`` are ascending ids at which a new file begins, with repeats where one id
+    fills several, and null ids fill the first ``null_files``."""
+
+    def __init__(self, cuts: list[int], null_files: int = 0):
+        self.edges, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.null_files, self.count = null_files, null_files + 1
+        self.own, self.after = [], []  # (first file, files) of an edge's own id, file of the ids after it
+        for n in times.tolist():
+            self.own.append((self.count, n) if n > 1 else None)
+            self.count += n if n > 1 else 0
+            self.after.append(self.count)
+            self.count += 1
+
+    def __call__(self, doc_id: int | None, checksum: int) -> int:
+        if doc_id is None:
+            return checksum * max(1, self.null_files) >> 32
+        k = int(np.searchsorted(self.edges, doc_id, "right")) - 1
+        if k < 0:
+            return self.null_files
+        own = self.own[k]
+        if own and self.edges[k] == doc_id:
+            return own[0] + (checksum * own[1] >> 32)
+        return self.after[k]
+
+
+def frames(docs: DataFrame, path: str, end_id: int = 0, deal: Deal | None = None) -> DataFrame:
+    """doc_id, file, n_tokens, length, checksum, frame: each text's ids with the end id, compressed on its own."""
+    deal = deal or Deal([])
 
     def make():
         encode, size = encoder(path)
@@ -152,8 +182,8 @@ def frames(docs: DataFrame, path: str, end_id: int = 0, cuts: list[int] | None =
 
         def f(ids, texts):
             raws = [np.frombuffer(t + end, "<u4").astype(f"<u{width}").tobytes() for t in encode([t or "" for t in texts])]
-            files = [0 if i is None else int(np.searchsorted(edges, i, "right")) for i in ids]
-            return [ids, files, [len(r) // width for r in raws], [width] * len(ids), [len(r) for r in raws], [xxhash.xxh64_intdigest(r) & 0xFFFFFFFF for r in raws], [pack(r) for r in raws]]
+            sums = [xxhash.xxh64_intdigest(r) & 0xFFFFFFFF for r in raws]
+            return [ids, list(map(deal, ids, sums)), [len(r) // width for r in raws], [width] * len(ids), [len(r) for r in raws], sums, [pack(r) for r in raws]]
 
         return f
 
@@ -167,12 +197,13 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> DataFrame
     Returns the manifest, one row for each file: file, uri, n_docs, n_tokens, first_token, doc_ids.
     """
     spark = docs.sparkSession
-    count = docs.count()
-    files = max(1, min(MOST_FILES, -(-count // DOCS_A_FILE)))
-    cuts = docs.approxQuantile("doc_id", [i / files for i in range(1, files)], 1 / (8 * files)) if files > 1 and count else []
-    cuts = sorted({int(c) for c in cuts})
-    dealt = frames(docs, path, end_id, cuts)
-    dealt = dealt.repartition(len(cuts) + 1, "file").sortWithinPartitions("file", F.asc_nulls_first("doc_id"), "checksum", "n_tokens", "frame")
+    counts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    size = max(DOCS_A_FILE, -(-counts["n"] // MOST_FILES))
+    files = -(-counts["named"] // size)
+    cuts = docs.approxQuantile("doc_id", [i / files for i in range(1, files)], 1 / (8 * files)) if files > 1 else []
+    deal = Deal([int(c) for c in cuts], -(-(counts["n"] - counts["named"]) // size))
+    dealt = frames(docs, path, end_id, deal)
+    dealt = dealt.repartitionById(deal.count, "file").sortWithinPartitions("file", F.asc_nulls_first("doc_id"), "checksum", "n_tokens", "frame")
 
     def run(batches):
         fs, base = _open(folder)
@@ -234,7 +265,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
     spark = manifest.sparkSession
     n = max(1, min(MOST_FILES, spark.sparkContext.defaultParallelism * 4))
-    return manifest.repartition(n, "file").mapInArrow(run, "doc_id long, file int, frame int, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartitionById(n, "file").mapInArrow(run, "doc_id long, file int, frame int, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(uri: str, numbers: list[int]) -> list[np.ndarray]:
