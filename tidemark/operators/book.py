@@ -57,6 +57,14 @@ def book_fair(updates: DataFrame, keys: list[str], scale: float, reference: floa
     return summed.withColumn("fair", fair).drop("_b", "_a", "_nb", "_na")
 
 
+def relative_book_fair(updates: DataFrame, keys: list[str], scale: float, reference: float, order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:
+    """The same with distances as shares of a reference price: reference + reference ln(B / A) / (2 scale), with weights
+    exp(+-scale (price - reference) / reference)."""
+    if reference <= 0:
+        raise ValueError("the reference price must be positive")
+    return book_fair(updates, keys, scale / reference, reference, order, block_us)
+
+
 def sided_impulse(price: Column, previous: Column, size: Column, bid: Column, fair: Column, scale: float) -> tuple[Column, Column]:
     """(bid, ask) impulse of one level update around the fair price."""
     change = size - previous

@@ -207,6 +207,18 @@ def book_fair(spark, sf_dir):
     return _fair(spark, sf_dir).select("seq", "sym", r6("fair").alias("fair"))
 
 
+SHARE_SCALE = 25.0
+_RELATIVE = f"""shares as (select *, sum(case when side = 'B' then (size - previous_size) * exp({SHARE_SCALE} * (price - 100) / 100) else 0 end) over w as sb,
+  sum(case when side = 'S' then (size - previous_size) * exp(-{SHARE_SCALE} * (price - 100) / 100) else 0 end) over w as sa
+  from sums window w as (partition by sym order by ts_us, seq rows unbounded preceding))"""
+
+
+@query(_with(f"select seq, sym, round(case when nb > 0 and na > 0 and sa > 0 and sb > 0 then 100 + 100 * ln(sb / sa) / (2 * {SHARE_SCALE}) end, 6) as fair from shares", _UPDATES, _FAIR, _RELATIVE))
+def relative_fair(spark, sf_dir):
+    """Book fair price with distances as shares of the reference price."""
+    return book.relative_book_fair(_updates(spark, sf_dir), ["sym"], SHARE_SCALE, 100.0, block_us=BLOCK).select("seq", "sym", r6("fair").alias("fair"))
+
+
 @query(_with(f"select seq, sym, round(case when side = 'B' then (size - previous_size) * exp({SCALE} * (price - fair)) else 0 end, 6) as bid_impulse, round(case when side = 'S' then (size - previous_size) * exp(-{SCALE} * (price - fair)) else 0 end, 6) as ask_impulse from fairs where fair is not null", _UPDATES, _FAIR))
 def sided_impulse(spark, sf_dir):
     df = _fair(spark, sf_dir).where("fair is not null")
