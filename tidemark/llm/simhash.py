@@ -11,14 +11,16 @@ indexed anew by the segments of the part of the fingerprint that the key doesn't
 whatever the data, and no link is lost, as the argument above holds for every part.
 
 Within a key, members are visited from the frontier of what is already connected, and each found member is
-linked to the first of its component: at most one link a member, never all pairs.
+linked to the one it was found from: at most one link a member, never all pairs.
 
 :func:`similar` finds texts that have SIMILAR or more of their five-word shingles in common. Fingerprints of such
 shingles are too far apart for that (one changed word changes five), so candidates come from VIEWS fingerprints of
-the texts' single words, each weighted by the root of its count, and every candidate is verified inside its key by
-a sketch: the least hash of the shingles in each of 256 ranges, by which the common share is estimated (standard
-error 0.025 at 0.8, none for texts of few shingles). Texts of equal fingerprints are compared with the least of
-them first, and those like it are represented by it.
+the texts' single words, each weighted by the root of its count. Every candidate is judged inside its key by a
+sketch: the least hash of the shingles in each of 256 ranges, by which the common share is estimated (standard
+error 0.025 at 0.8, less for texts of few shingles). Links estimated at POSSIBLE or more and less than SURE are
+verified by the shingles themselves; the rest of a key's members is reached from the members found, as above.
+Texts of equal fingerprints are compared with the least of them first, and those surely like it are represented by
+it.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; rows may repeat and doc_id may
 be null (a null is never the least of a component unless all are); other columns are ignored; an empty table
@@ -40,7 +42,9 @@ from tidemark.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Least common share of shingles of this many words, word fingerprints of a text, ranges of its sketch.
-SIMILAR, SIMILAR_SHINGLE, VIEWS, RANGES = 0.8, 5, 3, 256
+SIMILAR, SIMILAR_SHINGLE, VIEWS, RANGES = 0.8, 5, 4, 256
+#: Estimates that may and that must mean SIMILAR, three standard errors off.
+POSSIBLE, SURE = 0.72, 0.88
 #: Fingerprints of a key that are compared in one task; a key with more is indexed anew.
 MOST_COMPARED = 2048
 
@@ -111,47 +115,52 @@ def _live(index: DataFrame) -> DataFrame:
     return index.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("n > 1 and (lo is null or lo <> hi)").select("key", "n")
 
 
-def _link_bucket(values: np.ndarray, sketches: np.ndarray | None = None, similar: float = SIMILAR) -> tuple[list, list]:
-    """Links (place of the first, place of the member) of the components among uint64 fingerprints, and sketches."""
-    left, a, b = np.arange(len(values)), [], []
+def _link_bucket(values: np.ndarray, sketches: np.ndarray | None = None) -> tuple[list, list, list]:
+    """Links among uint64 fingerprints, and sketches: (place of the one it was found from, place, sure) of each member
+    found."""
+    left, a, b, sure = np.arange(len(values)), [], [], []
     while len(left) > 1:
-        first, frontier, left = left[0], [left[0]], left[1:]
+        frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             at = frontier.pop()
             near = np.bitwise_count(values[left] ^ values[at]) <= DISTANCE
+            share = np.ones(len(left))
             if sketches is not None and near.any():
                 spots = np.flatnonzero(near)
-                near[spots] = common_share(sketches[left[spots]], sketches[at]) >= similar
+                share[spots] = common_share(sketches[left[spots]], sketches[at])
+                near[spots] = share[spots] >= POSSIBLE
             if near.any():
                 found = left[near]
+                sure.extend((share[near] >= SURE).tolist())
                 left = left[~near]
                 frontier.extend(found)
-                a.extend([first] * len(found))
+                a.extend([at] * len(found))
                 b.extend(found)
-    return a, b
+    return a, b, sure
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """(a, b) links among the members of each key; a key's rows come together in one sorted partition.
+    """(a, b, sure) links among the members of each key; a key's rows come together in one sorted partition.
 
     Columns key, fp, member and, where candidates need verifying, sketch.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
     verified = "sketch" in rows.columns
 
     def run(batches):
         held = None
 
         def links(keys, fps, members, sketches):
-            a, b = [], []
+            a, b, sure = [], [], []
             cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             for x, y in zip(cuts[:-1], cuts[1:]):
                 _, once = np.unique(members[x:y], return_index=True)
                 marks = None if sketches is None else np.array([np.frombuffer(sketches[x + k], np.uint8) for k in once.tolist()])
-                first, found = _link_bucket(fps[x:y][once].view(np.uint64), marks)
+                first, found, marked = _link_bucket(fps[x:y][once].view(np.uint64), marks)
                 a += members[x:y][once][first].tolist()
                 b += members[x:y][once][found].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                sure += marked
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], schema=schema)
 
         for batch in batches:
             now = [batch.column(k).to_numpy() for k in range(3)] + [batch.column(3).to_pylist() if verified else None]
@@ -166,7 +175,7 @@ def _compare(rows: DataFrame) -> DataFrame:
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = ["key", "fp", "member", *(["sketch"] if verified else [])]
-    return rows.select(*columns).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select(*columns).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def _search(rows: DataFrame, compare, most: int) -> DataFrame | None:
@@ -196,7 +205,7 @@ def _search(rows: DataFrame, compare, most: int) -> DataFrame | None:
 def links(distinct: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
     """(a, b): enough of the pairs of distinct ``fp`` within DISTANCE to connect all that are connected."""
     out = _search(distinct.select("fp", F.col("fp").alias("member")), _compare, most)
-    return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if out is None else out
+    return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if out is None else out.select("a", "b")
 
 
 def common_share(sketches: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -217,6 +226,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _shingles(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of words with these hashes; of the whole where there are fewer words."""
+    n = max(1, len(hashes) - SIMILAR_SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(min(SIMILAR_SHINGLE, len(hashes))):
+        out = out * _MIX + hashes[j : j + n]
+    return _mixed(out)
+
+
 class Views:
     """Word fingerprints and the sketch of a text, with a bounded cache of word hashes."""
 
@@ -233,6 +251,11 @@ class Views:
                 known[w] = xxhash.xxh64_intdigest(w, SEED)
         return [known[w] for w in words]
 
+    def shingles(self, text: str | None) -> np.ndarray:
+        """Distinct shingles, as signed numbers."""
+        words = common.utf8(text).lower().split()
+        return np.unique(_shingles(np.array(self._hashes(words), np.uint64)).view(np.int64)) if words else np.zeros(0, np.int64)
+
     def __call__(self, text: str | None) -> tuple[list[int], bytes]:
         words = common.utf8(text).lower().split()
         if not words:
@@ -246,11 +269,8 @@ class Views:
             part = weights[at : at + (1 << 13)]
             sums += 2 * (part @ bits.astype(np.float32)) - part.sum()
         fps = np.packbits(sums > 0, axis=1, bitorder="little").view("<i8")[:, 0]
-        n = max(1, len(hashes) - SIMILAR_SHINGLE + 1)
-        shingles = np.zeros(n, np.uint64)
-        for j in range(min(SIMILAR_SHINGLE, len(hashes))):
-            shingles = shingles * _MIX + hashes[j : j + n]
-        shingles = np.sort(_mixed(shingles))
+        shingles = np.sort(_shingles(hashes))
+        n = len(shingles)
         first = np.searchsorted(shingles, np.arange(RANGES, dtype=np.uint64) << np.uint64(56))
         least = shingles[np.minimum(first, n - 1)]
         filled = (first < n) & (least >> np.uint64(56) == np.arange(RANGES, dtype=np.uint64))
@@ -274,7 +294,7 @@ def _views(docs: DataFrame) -> DataFrame:
 
 
 def _same_fingerprint(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of members to the least member of their fingerprint, if they are like it, and the members so represented."""
+    """Links of members to the least member of their fingerprint, if they may be like it, and the members that surely are."""
     first = rows.groupBy("fp").agg(F.min("member").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
     pairs = rows.join(first, "fp").where("member <> first").select("first", "member")
     mark = lambda name: sketches.select(F.col("member").alias(name), F.col("sketch").alias(f"{name}_sketch"))
@@ -283,14 +303,33 @@ def _same_fingerprint(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame,
     def make():
         def f(a, b, x, y):
             if not a:
-                return [[], []]
-            like = common_share(np.array([np.frombuffer(v, np.uint8) for v in x]), np.array([np.frombuffer(v, np.uint8) for v in y])) >= SIMILAR
-            return [[v for v, k in zip(a, like) if k], [v for v, k in zip(b, like) if k]]
+                return [[], [], []]
+            share = common_share(np.array([np.frombuffer(v, np.uint8) for v in x]), np.array([np.frombuffer(v, np.uint8) for v in y])).tolist()
+            rows = [(i, j, v >= SURE) for i, j, v in zip(a, b, share) if v >= POSSIBLE]
+            return list(map(list, zip(*rows))) if rows else [[], [], []]
 
         return f
 
-    found = common.materialize(common.arrow_map(both.select("first", "member", "first_sketch", "member_sketch"), make, "a long, b long"), "simhash-same")
-    return found, found.select(F.col("b").alias("member"))
+    found = common.materialize(common.arrow_map(both.select("first", "member", "first_sketch", "member_sketch"), make, "a long, b long, sure boolean"), "simhash-same")
+    return found, found.where("sure").select(F.col("b").alias("member"))
+
+
+def _verified(unsure: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links whose texts do share SIMILAR of their shingles. Only the texts that such links name are read again."""
+    ends = unsure.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+    wanted = common.materialize(texts.join(ends, "member").select("member", "digest"), "simhash-unsure")
+    near = F.broadcast(wanted) if wanted.count() <= 100_000 else wanted  # 3 MB
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    named = docs.select(digest.alias("digest"), "text").join(near, "digest").select("member", "text")
+
+    def make():
+        view = Views()
+        return lambda members, found: [members, [view.shingles(t).tolist() for t in found]]
+
+    sets = common.materialize(common.arrow_map(named, make, "member long, held array<bigint>").groupBy("member").agg(F.first("held").alias("held")), "simhash-shingles")
+    side = lambda name: sets.select(F.col("member").alias(name), F.col("held").alias(f"{name}_held"))
+    both = unsure.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("a_held", "b_held")))
+    return both.where(F.col("n") >= SIMILAR * (F.size("a_held") + F.size("b_held") - F.col("n"))).select("a", "b")
 
 
 def similar(docs: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
@@ -309,7 +348,8 @@ def similar(docs: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
         for part in (same, near):
             if part is not None:
                 edges = part if edges is None else edges.unionByName(part)
-    member = components(edges)
+    edges = common.materialize(edges.groupBy("a", "b").agg(F.max("sure").alias("sure")), "simhash-links")
+    member = components(edges.where("sure").select("a", "b").unionByName(_verified(edges.where("not sure").select("a", "b"), texts, docs)))
     named = texts.join(member, texts["member"] == member["node"], "left").select("digest", "least", F.coalesce("component", "member").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return seen.select("doc_id", "digest").join(named.join(least, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
