@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
 from tidemark.operators.models import let
-from tidemark.operators.scan import DAY_US, scan
+from tidemark.operators.scan import DAY_US, _equal, scan
 
 ORDER = ["ts_us", "seq"]
 LEVELS = "array<struct<price:double,size:double>>"
@@ -116,12 +116,15 @@ def snapshots(depth: DataFrame, keys: list[str], most: int | None = None, order:
     level = [*keys, "side", "price"]
     ends = rows.groupBy(*level, "_block").agg(F.max_by("size", F.struct(*order)).alias("size"))
     lives = ends.withColumn("_next", F.lead("_block").over(Window.partitionBy(*level).orderBy("_block"))).where("size > 0")
-    blocks = rows.select(*keys, "_block").distinct()
-    a, b = lives.alias("a"), blocks.alias("b")
-    held = (F.col("b._block") > F.col("a._block")) & (F.col("a._next").isNull() | (F.col("b._block") <= F.col("a._next")))
-    for k in keys:
-        held = held & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    opening = a.join(b, held).select(*[F.col(f"a.{k}") for k in keys], "b._block", "a.side", "a.price", "a.size", F.lit(True).alias("_opening"))
+    # A key's blocks are numbered, so that a life is dealt to the blocks it reaches by equality joins on (key, block).
+    dense = Window.partitionBy(*keys)
+    blocks = rows.select(*keys, "_block").distinct().withColumns({"_i": F.row_number().over(dense.orderBy("_block")), "_most": F.count("*").over(dense).cast("int")})
+    a, b, c, d = lives.alias("a"), blocks.alias("b"), blocks.alias("c"), blocks.alias("d")
+    until = _equal("a", "c", keys) & (F.col("a._next") == F.col("c._block"))
+    reach = a.join(b, _equal("a", "b", [*keys, "_block"])).join(c, until, "left")
+    reach = reach.select("a.*", (F.col("b._i") + 1).alias("_from"), F.coalesce("c._i", "b._most").alias("_to")).where("_from <= _to")
+    reached = reach.select(*keys, "side", "price", "size", F.explode(F.sequence("_from", "_to")).alias("_i")).alias("r")
+    opening = reached.join(d, _equal("r", "d", [*keys, "_i"])).select(*[F.col(f"r.{k}") for k in keys], "d._block", "r.side", "r.price", "r.size", F.lit(True).alias("_opening"))
     log = rows.select(*keys, "_block", "side", "price", "size", *order, F.lit(False).alias("_opening")).unionByName(opening, allowMissingColumns=True)
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
     names = [*keys, *order]

@@ -622,10 +622,9 @@ def grad_linreg(spark, sf_dir):
 @query("select 2.0::double as w_a, (-0.4)::double as w_b")
 def fit_linreg(spark, sf_dir):
     """Recover z = 2 a - 0.4 b by gradient descent, one aggregate an epoch."""
-    df = _items(spark, sf_dir).select((F.col("a") / 25).alias("a"), (F.col("b") / 5).alias("b")).cache()
+    df = materialize(_items(spark, sf_dir).select((F.col("a") / 25).alias("a"), (F.col("b") / 5).alias("b")), "fit-rows")
     graph = _linear_graph()
     got = autodiff.fit(graph, df, {k: F.col(k[-1]) for k in graph.edges()}, 2 * F.col("a") - 0.4 * F.col("b"), autodiff.Sgd(0.9), 60, {"w_a": 0.0, "w_b": 0.0}, stop_below=1e-12)
-    df.unpersist()
     return spark.createDataFrame([(round(got.params["w_a"], 3), round(got.params["w_b"], 3))], "w_a double, w_b double")
 
 
