@@ -166,7 +166,7 @@ def aggregate_levels(levels: Column, ratio: float, groups: int) -> Column:
         return F.when(joins, grown).when(F.size(acc) < groups, F.concat(acc, F.array(one(x)))).otherwise(acc)
 
     start = F.array(one(F.get(levels, F.lit(0))))
-    folded = F.aggregate(F.slice(levels, 2, 1_000_000), start, step)
+    folded = F.aggregate(F.slice(levels, F.lit(2), F.size(levels)), start, step)
     return F.when(F.size(levels) > 0, F.transform(folded, lambda g: F.struct((g["ps"] / g["size"]).alias("price"), g["size"].alias("size"))))
 
 

@@ -289,7 +289,7 @@ def _groups(snaps: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("sym", "seq", "side", "level", r6("x.price").alias("price"), r6("x.size").alias("size"))
 
 
-@query()
+@query(SQL["book_aggregate"])
 def book_aggregate_whole(spark, sf_dir):
     """The same under its older name; tested against brute force."""
     return book_aggregate(spark, sf_dir)
