@@ -11,7 +11,7 @@ indexed anew by the segments of the part of the fingerprint that the key doesn't
 whatever the data, and no link is lost, as the argument above holds for every part.
 
 Within a key, members are visited from the frontier of what is already connected, and each found member is
-linked to the one it was found from: at most one link a member, never all pairs.
+linked to the first of its component: at most one link a member, never all pairs.
 
 :func:`similar` finds texts that have SIMILAR or more of their five-word shingles in common. Fingerprints of such
 shingles are too far apart for that (one changed word changes five), so candidates come from VIEWS fingerprints of
@@ -116,9 +116,12 @@ def _live(index: DataFrame) -> DataFrame:
 
 
 def _link_bucket(values: np.ndarray, sketches: np.ndarray | None = None) -> tuple[list, list, list]:
-    """Links among uint64 fingerprints, and sketches: (place of the one it was found from, place, sure) of each member
-    found."""
-    left, a, b, sure = np.arange(len(values)), [], [], []
+    """Links among uint64 fingerprints, and sketches: (place, place, sure) for each member found.
+
+    A member found by a sure link is linked to what the one it was found from goes back to by sure links, so that these
+    make stars; by another link to the one it was found from.
+    """
+    left, root, a, b, sure = np.arange(len(values)), np.arange(len(values)), [], [], []
     while len(left) > 1:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
@@ -130,12 +133,13 @@ def _link_bucket(values: np.ndarray, sketches: np.ndarray | None = None) -> tupl
                 share[spots] = common_share(sketches[left[spots]], sketches[at])
                 near[spots] = share[spots] >= POSSIBLE
             if near.any():
-                found = left[near]
-                sure.extend((share[near] >= SURE).tolist())
+                found, marked = left[near], share[near] >= SURE
+                root[found[marked]] = root[at]
+                a.extend(np.where(marked, root[at], at).tolist())
+                b.extend(found.tolist())
+                sure.extend(marked.tolist())
                 left = left[~near]
                 frontier.extend(found)
-                a.extend([at] * len(found))
-                b.extend(found)
     return a, b, sure
 
 
