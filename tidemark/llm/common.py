@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,6 +77,23 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+#: Bytes of a text that are split into words at once.
+WINDOW = 1 << 20
+_WHITE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def words_of(data: bytes) -> Iterator[list[bytes]]:
+    """The maximal runs without ASCII white space (tab to carriage return, space), window by window."""
+    at = 0
+    while len(data) - at > WINDOW:
+        end = _WHITE.search(data, at + WINDOW)
+        if end is None:
+            break
+        yield data[at : end.start()].split()
+        at = end.start()
+    yield data[at:].split()
+
+
 #: A hash bitmap has BITS_A_KEY bits for each key up to 2^MOST_LOG2 bits (32 MiB), which bounds what is sent to the
 #: driver (twice that) and to the executors. With more keys it fills and rules out less.
 BITS_A_KEY, LEAST_LOG2, MOST_LOG2 = 16, 16, 28

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidemark.llm import bpe, chat, decontaminate, language_id, media, pii, quality, repeats, simhash, token_file
+from tidemark.llm import audit, bpe, chat, decontaminate, language_id, lexical, media, pii, quality, repeats, simhash, token_counts, token_file
 from tidemark.llm.common import held_out, new_folder, table
 
 
@@ -59,5 +59,32 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_media_chunks, op4_token_file, op5_byte_bpe, op6_decontamination, op7_quality, op8_pii, op9_chat_windows, op10_repeats)}
-ORACLE_SQL = {"op9_chat_windows": chat.DIGEST_SQL}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (
+    op1_language_id,
+    op2_simhash_dedup,
+    op3_media_chunks,
+    op4_token_file,
+    op5_byte_bpe,
+    op6_decontamination,
+    op7_quality,
+    op8_pii,
+    op9_chat_windows,
+    op10_repeats,
+    op11_lexical_search,
+    op12_token_counts,
+    op13_filter_audit,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {"op9_chat_windows": chat.DIGEST_SQL, "op11_lexical_search": lexical.SEARCH_SQL, "op13_filter_audit": audit.AUDIT_SQL}
