@@ -16,7 +16,6 @@ spaces goes to the library in one piece, but isn't cached.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ MARK = "▁"
 #: Pre-tokens in a summary and in the first tier; summaries merged at once on the driver; bytes of a pre-token there.
 FREQUENT, LOTS, KEY_BYTES = 1 << 15, 32, 15
 #: Pre-tokens in a worker's cache, and bytes of one.
-CACHED, CACHED_BYTES = 200_000, 64
+CACHED, CACHED_BYTES = 500_000, 64
 _SPACED = re.compile(f"[ {MARK}]+[^ {MARK}]*").findall
 
 
@@ -131,23 +130,27 @@ class Table:
 
 
 class Summary:
-    """The most frequent of many words in bounded memory: when twice as many are held, all lose the count of the middle
-    one, and those at zero go. Each count is at most its share too low, and sums of summaries keep that."""
+    """The most frequent of many words in bounded memory: of more than ``size`` all lose the count of the first one that
+    has no place, and those at zero go. Each count is at most its share too low, and sums of summaries keep that."""
 
     def __init__(self, size: int = FREQUENT):
-        self.size, self.counts = size, Counter()
+        self.size, self.held, self.rows = size, [], 0
 
-    def add(self, words: list[str], counts: list[int]) -> None:
-        held = self.counts
-        for w, n in zip(words, counts):
-            held[w] += n
-        if len(held) > 2 * self.size:
+    def add(self, words: pa.Array, counts: pa.Array) -> None:
+        self.held.append(pa.table([words, counts], ["word", "n"]))
+        self.rows += len(words)
+        if self.rows > 8 * self.size:
             self.cut()
 
-    def cut(self) -> None:
-        if len(self.counts) > self.size:
-            least = np.partition(np.fromiter(self.counts.values(), np.int64), -self.size - 1)[-self.size - 1]
-            self.counts = Counter({w: int(n - least) for w, n in self.counts.items() if n > least})
+    def cut(self) -> pa.Table:
+        found = pa.concat_tables(self.held) if self.held else pa.table([pa.array([], pa.large_string()), pa.array([], pa.int64())], ["word", "n"])
+        found = found.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+        if found.num_rows > self.size:
+            n = found["n"].to_numpy()
+            least = np.partition(n, -self.size - 1)[-self.size - 1]
+            found = found.set_column(1, "n", pa.array(n - least)).filter(pa.array(n > least))
+        self.held, self.rows = [found], found.num_rows
+        return found
 
 
 _SUMMARY = "lot int, words array<string>, counts array<long>"
@@ -158,9 +161,9 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch):
             words, numbers, _ = pre_tokens([t or "" for t in part.column(0).to_pylist()])
-            n = np.bincount(numbers, minlength=len(words))
-            short = pc.less_equal(pc.binary_length(words), KEY_BYTES).to_numpy(zero_copy_only=False)
-            own.add(words.filter(pa.array(short)).to_pylist(), n[short].tolist())
+            n = np.bincount(numbers, minlength=len(words)).astype(np.int64)
+            short = pc.less_equal(pc.binary_length(words), KEY_BYTES)
+            own.add(words.filter(short), pa.array(n).filter(short))
     yield _packed(own, TaskContext.get().partitionId() % LOTS)
 
 
@@ -168,13 +171,15 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = Summary()
     for batch in batches:
         for i in range(batch.num_rows):
-            own.add(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+            own.add(batch.column(1)[i].values.cast(pa.large_string()), batch.column(2)[i].values)
     yield _packed(own, 0)
 
 
 def _packed(own: Summary, lot: int) -> pa.RecordBatch:
-    own.cut()
-    return pa.RecordBatch.from_arrays([pa.array([lot], pa.int32()), pa.array([list(own.counts)], pa.list_(pa.string())), pa.array([list(own.counts.values())], pa.list_(pa.int64()))], ["lot", "words", "counts"])
+    found = own.cut()
+    words, n = found["word"].combine_chunks().cast(pa.string()), found["n"].combine_chunks()
+    ends = pa.array([0, len(words)], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([lot], pa.int32()), pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, n)], ["lot", "words", "counts"])
 
 
 def frequent(docs: DataFrame) -> list[str]:
@@ -184,9 +189,8 @@ def frequent(docs: DataFrame) -> list[str]:
     lots = each.repartition(LOTS, "lot").mapInArrow(_merged, _SUMMARY).where(F.size("words") > 0)
     whole = Summary()
     for r in lots.toLocalIterator():
-        whole.add(r["words"], r["counts"])
-    whole.cut()
-    return list(whole.counts)
+        whole.add(pa.array(r["words"], pa.large_string()), pa.array(r["counts"], pa.int64()))
+    return whole.cut()["word"].to_pylist()
 
 
 class Counts:
