@@ -8,7 +8,8 @@ sum, number of digits) and dropped where the check fails. A bootstrap adds to th
   of MIN_ID characters or more, is an unlabelled instance;
 * the words before and after an entity make its lexical patterns: the two words before, the word before with the
   word after, and a label directly before (a word followed by ``:``, ``=`` or ``#``). White space, quotes,
-  brackets and other punctuation next to the entity are skipped; words are taken whole, however long;
+  brackets and other punctuation next to the entity are skipped; words are taken whole, however long, but end where
+  a neighbouring entity does;
 * Spark scores the pattern-instance graph in rounds until one adds no pattern. A pattern's score is the share of
   its distinct instances that are trusted, each by its own score, times log2(1 + trusted instances) /
   log2(1 + MIN_SUPPORT) up to 1; an instance's score is that of its best pattern, seeds have 1;
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 import pyarrow as pa
@@ -57,6 +58,8 @@ _word = re.compile(r"\S+").finditer
 _hex = re.compile(r"[0-9a-fA-F]{32,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}").fullmatch
 _mixed = re.compile(r"[A-Za-z0-9_+/=-]{24,}").fullmatch
 _EDGE = ".,;:!?()[]{}<>\"'|*&%$#"
+#: Characters of a context word beyond which patterns hold its digest.
+LONG_WORD = 100
 #: What may stand between an entity and its context words, besides white space.
 _SKIP = frozenset(_EDGE + "=`“”„‘’«»")
 
@@ -112,30 +115,49 @@ def secret_shape(token: str) -> bool:
 
 
 class Contexts:
-    """Lexical patterns of entities of one text."""
+    """Lexical patterns of the entities of one text, whose spans are given.
 
-    def __init__(self, text: str):
-        self.text = text
-        self.words = [m.span() for m in _word(text)]
+    A context word is what white space and the ends of entities cut out of the text, so each part of a text is in the
+    context of a few entities only, and a long word is read once: patterns name it by its digest.
+    """
+
+    def __init__(self, text: str, spans: list[tuple[int, int]]):
+        self.text, self.bounds, self.short = text, sorted({x for span in spans for x in span}), {}
+        self.tokens = [m.span() for m in _word(text)]
+        self.token_starts = [a for a, _ in self.tokens]
+        kept = ((a, b, text[a:b]) for a, b in self.tokens)
+        stripped = ((a + len(w) - len(w.lstrip(_EDGE)), b - len(w) + len(w.rstrip(_EDGE))) for a, b, w in kept)
+        self.words = [(a, b) for a, b in stripped if a < b]
         self.starts = [a for a, _ in self.words]
 
+    def _named(self, start: int, stop: int) -> str:
+        if stop - start <= LONG_WORD:
+            return self.text[start:stop].strip(_EDGE).lower()
+        if (start, stop) not in self.short:
+            word = self.text[start:stop].strip(_EDGE).lower()
+            self.short[start, stop] = word if len(word) <= LONG_WORD else f"{_key(word)}"
+        return self.short[start, stop]
+
     def __call__(self, start: int, end: int) -> list[str]:
-        text, at, stop = self.text, start, end
+        text, bounds, at, stop = self.text, self.bounds, start, end
         while at and (text[at - 1] in _SKIP or text[at - 1].isspace()):
             at -= 1
         while stop < len(text) and (text[stop] in _SKIP or text[stop].isspace()):
             stop += 1
-        before, k, cut = [], bisect_right(self.starts, at - 1) - 1, at
+        before, k = [], bisect_left(self.starts, at) - 1
+        if k >= 0 and self.words[k][1] >= at:  # the rest of a word that ends here
+            floor = bisect_left(bounds, at) - 1
+            before = [w for w in [self._named(max(self.starts[k], bounds[floor] if floor >= 0 else 0), at)] if w]
+            k -= 1
         while k >= 0 and len(before) < 2:
-            word = text[self.starts[k] : min(cut, self.words[k][1])].strip(_EDGE).lower()
-            if word:
-                before.append(word)
+            before.append(self._named(*self.words[k]))
             k -= 1
         out = []
         if len(before) == 2:
             out.append(f"b2 {before[1]} {before[0]}")
         if before and stop < len(text):
-            after = text[stop : self.words[bisect_right(self.starts, stop) - 1][1]].strip(_EDGE).lower()
+            close, ceiling = self.tokens[bisect_right(self.token_starts, stop) - 1][1], bisect_right(bounds, stop)
+            after = self._named(stop, min(close, bounds[ceiling] if ceiling < len(bounds) else close))
             if after:
                 out.append(f"ba {before[0]} | {after}")
         if before and any(c in ":=#" for c in text[at:start]):
@@ -144,7 +166,7 @@ class Contexts:
 
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    return Contexts(text)(start, end)
+    return Contexts(text, [(start, end)])(start, end)
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
@@ -180,7 +202,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 t = t or ""
                 base = base_spans(t)
                 found = candidates(t, base)
-                contexts = Contexts(t) if base or found else None
+                contexts = Contexts(t, [x[1:] for x in base] + found) if base or found else None
                 bases.append([{"kind": k, "start": a, "stop": b} for k, a, b in base])
                 founds.append([{"start": a, "stop": b, "entity": _key(t[a:b].lower()), "seed": int(secret_shape(t[a:b])), "patterns": [_key(c) for c in contexts(a, b)]} for a, b in found])
                 seeds.append([{"entity": _key(t[a:b].lower()), "patterns": [_key(c) for c in contexts(a, b)]} for _, a, b in base])
@@ -280,7 +302,7 @@ def redacted(docs: DataFrame, rounds: int | None = ROUNDS, confidence: float = C
                 return t
             base = base_spans(t)
             found = candidates(t, base) if known else []
-            contexts = Contexts(t) if found else None
+            contexts = Contexts(t, [x[1:] for x in base] + found) if found else None
             added = [("id", a, b) for a, b in found if any(_key(c) in known for c in contexts(a, b))]
             return redact(t, base + added) if base or added else t
 
@@ -300,22 +322,19 @@ def redacted(docs: DataFrame, rounds: int | None = ROUNDS, confidence: float = C
     return common.batch_map(docs, make)
 
 
-def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    columns = {"text": F.col("_new")}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))
-    return changed.withColumns(columns).select(docs.columns)
-
-
 def _redacted_by_join(docs: DataFrame, rounds: int | None, confidence: float, support: int) -> DataFrame:
-    kept = common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
-    found = find(kept.select(F.col("_row").alias("doc_id"), "text"), rounds, confidence, support).select(F.col("doc_id").alias("_row"), F.concat("base", "added").alias("_spans"))
+    kept = common.materialize(common.numbered(docs), "pii-docs")
+    found = find(kept.select(F.col("row").alias("doc_id"), "given.text"), rounds, confidence, support).select(F.col("doc_id").alias("row"), F.concat("base", "added").alias("spans"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None else redact(t, [(s["kind"], s["start"], s["stop"]) for s in ss]) for t, ss in zip(texts, spans)], dtype=object)
 
-    return _with_text(kept.join(found, "_row").withColumn("_new", cut("text", "_spans")), docs)
+    changed = kept.join(found, "row").select("given", cut("given.text", "spans").alias("new"))
+    columns = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col("new").eqNullSafe(F.col("given.text")), F.col("given.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*[columns[c].alias(c) if c in columns else F.col("given").getField(c).alias(c) for c in docs.columns])
 
 
 def base_digest(text: str | None) -> str:
