@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``row``, a number for each row of ``df``, and ``given``, a struct of all its columns, which no name clashes with.
+    Numbers stay the same once the result is materialised."""
+    return df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given"))
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no piece holds over SLICE_ROWS rows or (one row aside) SLICE_BYTES bytes."""
     n = batch.num_rows

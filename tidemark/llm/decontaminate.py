@@ -28,6 +28,7 @@ table on either side gives no pairs.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -44,6 +45,8 @@ from tidemark.llm import common
 MATCH, COVERAGE = 5, 0.8
 #: An item's rows go to every executor up to this many bytes of benchmark text; beyond it they are shuffled.
 BROADCAST_BYTES = 8 << 20
+#: Numbers of contaminated rows go to every executor up to this many (4 MB).
+BROADCAST_ROWS = 500_000
 
 #: Base and modulus of the rolling hash; matches are compared word by word.
 BASE, PRIME = 1_000_003, (1 << 61) - 1
@@ -66,52 +69,100 @@ def seed_hashes(ws: list[str], match: int = MATCH) -> list[int]:
     return [_hash(ws[i : i + match]) for i in range(max(1, len(ws) - match + 1))]
 
 
-def _runs(free: list[bool]) -> Iterator[tuple[int, int]]:
-    start = None
-    for k, ok in enumerate([*free, False]):
-        if ok and start is None:
-            start = k
-        elif not ok and start is not None:
-            yield start, k
-            start = None
-
-
-def _rolling(numbers: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(place, hash) of each window of ``size`` numbers that are all free."""
-    top = pow(BASE, size - 1, PRIME)
-    for a, b in _runs(free):
-        if b - a < size:
-            continue
-        h = 0
-        for x in numbers[a : a + size]:
-            h = (h * BASE + x) % PRIME
-        yield a, h
-        for k in range(a + 1, b - size + 1):
-            h = ((h - numbers[k - 1] * top) * BASE + numbers[k + size - 1]) % PRIME
-            yield k, h
+class Marks:
+    """Marked stretches of a text, disjoint and in order."""
+
+    def __init__(self, size: int):
+        self.size, self.starts, self.stops = size, [], []
+
+    def free(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The free runs within [a, b)."""
+        out, k = [], bisect_right(self.stops, a)
+        while k < len(self.starts) and self.starts[k] < b:
+            if self.starts[k] > a:
+                out.append((a, self.starts[k]))
+            a = self.stops[k]
+            k += 1
+        return [*out, (a, b)] if a < b else out
+
+    def mark(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.stops.insert(k, b)
+
+
+class Hashed:
+    """Word numbers of a text with the polynomial hashes of its prefixes, from which a window's hash is rolled."""
+
+    def __init__(self, numbers: list[int], powers: list[int]):
+        self.numbers, self.bytes, self.powers = numbers, np.array(numbers, np.int64).tobytes(), powers
+        self.prefix = [0]
+        for x in numbers:
+            self.prefix.append((self.prefix[-1] * BASE + x) % PRIME)
+
+    def of(self, at: int, size: int) -> int:
+        return (self.prefix[at + size] - self.prefix[at] * self.powers[size]) % PRIME
+
+    def windows(self, marks: Marks, size: int) -> Iterator[tuple[int, int, int, int]]:
+        """(place, hash, word before it or 0, end of its free run) of each free window of ``size`` words."""
+        numbers, prefix, top = self.numbers, self.prefix, self.powers[size]
+        for a, b in marks.free(0, len(numbers)):
+            for k in range(a, b - size + 1):
+                yield k, (prefix[k + size] - prefix[k] * top) % PRIME, numbers[k - 1] if k > a else 0, b
+
+
+def _common(d: Hashed, at: int, i: Hashed, k: int, least: int, most: int) -> int:
+    """Equal words from the places at and k on, at most ``most``; 0 if not ``least`` are."""
+    if d.bytes[at * 8 : (at + least) * 8] != i.bytes[k * 8 : (k + least) * 8]:
+        return 0
+    n = least
+    while n < most:  # windows of doubling size; then the last of them is halved
+        step = min(n, most - n)
+        if d.of(at + n, step) != i.of(k + n, step):
+            break
+        n += step
+    else:
+        step = 0
+    while step > 1:
+        step -= step // 2
+        if n + step <= most and d.of(at + n, step) == i.of(k + n, step):
+            n += step
+    if n < most and d.numbers[at + n] == i.numbers[k + n]:
+        n += 1
+    while d.bytes[at * 8 : (at + n) * 8] != i.bytes[k * 8 : (k + n) * 8]:
+        n -= 1  # hashes of different words were equal
+    return n
 
 
 def tile(doc: list[str], item: list[str], match: int = MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiles (position in doc, position in item, length), longest first."""
+    """Greedy tiles (position in doc, position in item, length), longest first.
+
+    Takes time in proportion to the texts, for each halving of the length, and to the number of maximal matches: only
+    the first words of those are paired, as windows are looked up by their hash and by the word before them.
+    """
     match, number = min(match, len(item)), {}
-    d_words = [number.setdefault(w, len(number) + 1) for w in doc]
-    i_words = [number.setdefault(w, len(number) + 1) for w in item]
-    free_d, free_i, tiles = [True] * len(doc), [True] * len(item), []
+    powers = [1]
+    for _ in range(max(len(doc), len(item))):
+        powers.append(powers[-1] * BASE % PRIME)
+    d_words = Hashed([number.setdefault(w, len(number) + 1) for w in doc], powers)
+    i_words = Hashed([number.setdefault(w, len(number) + 1) for w in item], powers)
+    d_marks, i_marks, tiles = Marks(len(doc)), Marks(len(item)), []
 
     def scan(size):
         """Maximal free matches of at least ``size`` words, as (-length, place in doc, place in item)."""
-        table, found = defaultdict(list), []
-        for k, h in _rolling(i_words, free_i, size):
-            table[h].append(k)
-        for d, h in _rolling(d_words, free_d, size) if table else ():
-            for k in table.get(h, ()):
-                if k and d and free_i[k - 1] and free_d[d - 1] and d_words[d - 1] == i_words[k - 1]:
+        table, found = defaultdict(lambda: defaultdict(list)), []
+        for k, h, before, stop in i_words.windows(i_marks, size):
+            table[h][before].append((k, stop))
+        for d, h, before, d_stop in d_words.windows(d_marks, size) if table else ():
+            if h not in table:
+                continue
+            for own, places in table[h].items():
+                if own and own == before:
                     continue  # part of the match one word before
-                n = 0
-                while k + n < len(item) and d + n < len(doc) and free_i[k + n] and free_d[d + n] and d_words[d + n] == i_words[k + n]:
-                    n += 1
-                if n >= size:
-                    found.append((-n, d, k))
+                for k, stop in places:
+                    n = _common(d_words, d, i_words, k, size, min(d_stop - d, stop - k))
+                    if n:
+                        found.append((-n, d, k))
         return found
 
     size = len(item)
@@ -124,12 +175,14 @@ def tile(doc: list[str], item: list[str], match: int = MATCH) -> list[tuple[int,
         heapify(queue)
         while queue:
             n, d, k = heappop(queue)
-            left = [a and b for a, b in zip(free_d[d : d - n], free_i[k : k - n])]
-            if all(left):
-                free_d[d : d - n] = free_i[k : k - n] = [False] * -n
+            free = [(x - d, y - d) for x, y in d_marks.free(d, d - n)]
+            free = [(x - k, y - k) for a, b in free for x, y in i_marks.free(k + a, k + b)]
+            if free == [(0, -n)]:
+                d_marks.mark(d, d - n)
+                i_marks.mark(k, k - n)
                 tiles.append((d, k, -n))
                 continue
-            for a, b in _runs(left):
+            for a, b in free:
                 if b - a >= size:
                     heappush(queue, (a - b, d + a, k + a))
         if size == match:
@@ -216,6 +269,15 @@ def _stretches(docs: DataFrame, bits: np.ndarray, vocabulary_bits: np.ndarray, m
     return common.arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, part array<string>, seeds array<bigint>")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates. Rows are judged, not ids: null and repeated ids are kept apart."""
+    kept = common.materialize(common.numbered(docs), "decontamination-rows")
+    found = contaminated(kept.select(F.col("row").alias("doc_id"), "given.text"), benchmark, match, coverage)
+    found = common.materialize(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    near = F.broadcast if found.count() <= BROADCAST_ROWS else (lambda d: d)
+    return kept.join(near(found), "row", "left_anti").select("given.*")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, tiles, matched_words, item_words of each document and item that contaminates it."""
     bench = common.materialize(_bench(benchmark, match).withColumn("item", F.monotonically_increasing_id()), "benchmark")
