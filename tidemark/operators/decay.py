@@ -1,14 +1,12 @@
 """Exponential decay on a timer grid, and what is built on it.
 
 y[k] = d y[k-1] + c[k] is summed in blocks of BLOCK grid points: inside a block as d^i times a running sum of
-c[j] d^-j, and between blocks by adding the ends of the blocks before, each decayed, as far back as
-HALF_LIVES half-lives. No row depends on more than a bounded number of others.
+c[j] d^-j. A block maps the sum before it to the sum after it, y to y d + c, and such maps are put together in levels,
+so what a block starts from is exact over all blocks before it.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from tidemark.operators import events
 from tidemark.operators.scan import DAY_US, _equal, scan
 from tidemark.sources.scratch import materialize
 
-STEPS_A_HALF_LIFE, BLOCK, HALF_LIVES, LEAST_HALF_LIFE_US = 20, 512, 60, 10
+STEPS_A_HALF_LIFE, BLOCK, LEAST_HALF_LIFE_US = 20, 512, 10
 #: Blocks of a mixed running sum that are combined into one of the next level.
 FAN = 64
 
@@ -44,20 +42,17 @@ def decayed_sum(grid: DataFrame, keys: list[str], value: Column, d: float, name:
     inside = Window.partitionBy(*keys, "_b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     local = F.pow(F.lit(d), F.col("_i")) * F.sum(F.col("_c") * F.pow(F.lit(d), -F.col("_i"))).over(inside)
     rows = rows.withColumn("_local", local)
-    back = max(1, math.ceil(HALF_LIVES * math.log(2) / (-math.log(d) * BLOCK)))
-    ends = rows.groupBy(*keys, "_b").agg(F.max_by("_local", "k").alias("_end"), F.max("k").alias("_last"))
-    w = Window.partitionBy(*keys).orderBy("_b")
-    carry = F.lit(0.0)
-    for m in range(1, back + 2):
-        gap = F.col("_b") * BLOCK - 1 - F.lag("_last", m).over(w)
-        carry = carry + F.coalesce(F.lag("_end", m).over(w) * F.pow(F.lit(d), gap), F.lit(0.0))
-    ends = ends.select(*keys, "_b", carry.alias("_carry"))
-    a, b = rows.alias("a"), ends.alias("b")
-    same = F.col("a._b") == F.col("b._b")
-    for k in keys:
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    value = F.col("a._local") + F.coalesce(F.col("b._carry"), F.lit(0.0)) * F.pow(F.lit(d), F.col("a._i") + 1)
-    return a.join(b, same, "left").select(*[F.col(f"a.{c}") for c in grid.columns], value.alias(name))
+    end = F.struct(F.pow(F.lit(d), F.max("_i") + 1).alias("d"), F.max_by("_local", "k").alias("c"))
+    a, b = rows.alias("a"), _carried(rows.groupBy(*keys, "_b").agg(end.alias("_e")), keys).alias("b")
+    value = F.col("a._local") + F.col("b._carry") * F.pow(F.lit(d), F.col("a._i") + 1)
+    return a.join(b, _equal("a", "b", [*keys, "_b"])).select(*[F.col(f"a.{c}") for c in grid.columns], value.alias(name))
+
+
+def _carried(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _b, _carry: the running sum before each block, from the blocks' maps ``_e``."""
+    ends = materialize(ends, "decay-ends")
+    span = ends.agg(F.min("_b").alias("low"), F.max("_b").alias("high")).first()
+    return _carries(ends, keys, span["low"] or 0, span["high"] or 0)
 
 
 def running_sum(log: DataFrame, ticks: DataFrame, keys: list[str], column: str, half_life_us: int, name: str = "running_sum") -> DataFrame:
@@ -88,10 +83,7 @@ def running_sum_mixed(rows: DataFrame, keys: list[str], order: list[str], decay:
     rows = rows.withColumns({"_step": step, "_b": F.floor(F.col("n") / block)})
     upto = Window.partitionBy(*keys, "_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_m", _together(F.collect_list("_step").over(upto)))
-    ends = materialize(rows.groupBy(*keys, "_b").agg(F.max_by("_m", "n").alias("_e")), "decay-ends")
-    span = ends.agg(F.min("_b").alias("low"), F.max("_b").alias("high")).first()
-    ends = _carries(ends, keys, span["low"] or 0, span["high"] or 0)
-    a, b = rows.alias("a"), ends.alias("b")
+    a, b = rows.alias("a"), _carried(rows.groupBy(*keys, "_b").agg(F.max_by("_m", "n").alias("_e")), keys).alias("b")
     same = _equal("a", "b", [*keys, "_b"])
     keep = [c for c in rows.columns if not c.startswith("_")]
     return a.join(b, same).select(*[F.col(f"a.{c}") for c in keep], (F.col("a._m.c") + F.col("a._m.d") * F.col("b._carry")).alias(name))
@@ -132,7 +124,7 @@ def ewma(log: DataFrame, keys: list[str], signal: str, half_life_us: int, name:
     probe = grid.withColumn("ts_us", F.col("ts_us") - 1).withColumn("seq", F.col("k"))
     read = events.as_of(probe, log.select(*keys, "ts_us", "seq", F.col(signal).alias("_signal")), keys, ["_signal"], block_us=block_us).withColumn("ts_us", F.col("ts_us") + 1).drop("seq").withColumnRenamed("_signal", signal)
     bad = F.col(signal).isNull()
-    numbered = scan(read, keys, ["k"], {"_restart": ("sum", bad.cast("long"))}, block_us=4096)
+    numbered = scan(read, keys, ["k"], {"_restart": ("sum", bad.cast("long"))}, block_us=4096, levels=2)
     valid = numbered.where(~bad)
     first = valid.groupBy(*keys, "_restart").agg(F.min("k").alias("_k0"))
     a, b = valid.alias("a"), first.alias("b")

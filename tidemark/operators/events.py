@@ -21,7 +21,7 @@ def collate(streams: list[DataFrame], keys: list[str], time: str = "ts_us", bloc
     """
     numbered = [s.withColumn("source", F.lit(i)) for i, s in enumerate(streams)]
     log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
-    return scan(log.withColumn("_seq", F.col("seq")), ["source", *keys], ["_seq"], {"key_us": ("max", F.col(time))}, block_us=4096).drop("_seq")
+    return scan(log.withColumn("_seq", F.col("seq")), ["source", *keys], ["_seq"], {"key_us": ("max", F.col(time))}, block_us=4096, levels=2).drop("_seq")
 
 
 def latch(log: DataFrame, keys: list[str], columns: dict[str, tuple[Column, Column]], order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:

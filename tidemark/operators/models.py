@@ -4,15 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
 
 
+#: Length of the expressions, as text, that one method of generated code takes in; more partitions than a frame has.
+REGION, MOST_PARTITIONS = 500, 1_000_000
+
+
+class _Stages:
+    """A frame that gets the values of each ``let`` as columns, by a select of its own.
+
+    Adjacent selects become one method of generated code, and the JVM leaves methods of over 8,000 bytes of byte code
+    uncompiled, which makes them ten times slower. So after every REGION of expressions the frame is "coalesced" to more
+    partitions than it has: that moves no row, but ends the method.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df, self.made, self.size = df, 0, 0
+        self.prefix = "_let"
+        while any(c.startswith(self.prefix) for c in df.columns):
+            self.prefix = "_" + self.prefix
+
+    def let(self, values: Sequence[Column]) -> list[Column]:
+        names = [f"{self.prefix}{self.made + i}" for i in range(len(values))]
+        self.made += len(values)
+        self.df = self.df.withColumns(dict(zip(names, values)))
+        self.size += sum(len(str(v)) for v in values)
+        if self.size > REGION:
+            self.size = 0
+            self.df = self.df.coalesce(MOST_PARTITIONS)
+        return [F.col(n) for n in names]
+
+
+_open: list[_Stages] = []
+
+
+def staged(df: DataFrame, make: Callable[[], dict[str, Column]]) -> DataFrame:
+    """``df`` with the columns that ``make()`` names. Inside it every ``let`` is a select of its own, so the expressions
+    are code-generated, where the lambda that ``let`` is elsewhere isn't."""
+    stages = _Stages(df)
+    _open.append(stages)
+    try:
+        columns = make()
+    finally:
+        _open.pop()
+    return stages.df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], *[v.alias(n) for n, v in columns.items()])
+
+
 def let(values: Sequence[Column], f: Callable) -> Column:
     """f of the values, each computed once: without it an expression that uses its inputs several times grows
     exponentially with depth, past what code generation takes."""
+    if _open:
+        return f(*_open[-1].let(values))
     names = [f"v{i}" for i in range(len(values))]
     bound = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
     return F.get(F.transform(bound, lambda s: f(*[s[n] for n in names])), F.lit(0))
@@ -32,14 +78,12 @@ def bounded_sum(vs: Sequence[Column], fs: Sequence) -> Column:
 
 def soft_bounded_sum(vs: Sequence[Column], fs: Sequence, scale, post: Sequence) -> Column:
     """Inputs weighted by a softmax of factor times scaled magnitude, each with its post coefficient."""
-    n = len(vs)
-
-    def weighted(*all_):
-        ws, xs = all_[:n], all_[n:]
-        return F.struct(N.tree_sum([w * v * p for w, v, p in zip(ws, xs, post)]).alias("v0"), N.tree_sum(list(ws)).alias("v1"))
+    def sums(*xs):
+        # Named in a struct, so that each input and each weight is in the expression once, however deep calls nest.
+        weights = [F.exp(f * (scale * F.abs(x))) for x, f in zip(xs, fs)]
+        return let(weights, lambda *ws: F.struct(N.tree_sum([w * x * p for w, x, p in zip(ws, xs, post)]).alias("top"), N.tree_sum(list(ws)).alias("all")))
 
-    sums = let([*[F.exp(f * (scale * F.abs(v))) for v, f in zip(vs, fs)], *vs], weighted)
-    return let([sums["v0"], sums["v1"]], N.div)
+    return let([let(list(vs), sums)], lambda s: N.div(s["top"], s["all"]))
 
 
 def symmetric_move(vs: Sequence[Column], fs: Sequence[Sequence], scale, post: Sequence[Sequence], clamp: float | None = None) -> Column:

@@ -3,37 +3,41 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import market as M
 from tidemark.functions import numeric as N
-from tidemark.operators.scan import DAY_US, islands, scan
+from tidemark.operators.scan import DAY_US, Even, islands, scan
 
 ORDER = ["ts_us", "seq"]
 
 
 def tick_islands(trades: DataFrame, keys: list[str], gap_us: int, idle_us: int, block_us: int = DAY_US) -> DataFrame:
-    """Adds ``island``: a new one where the side changes, the time gap is over ``gap_us`` or at least ``idle_us``."""
+    """Adds ``island``, and ``begins``, true on its first trade: a new one where the side changes, the time gap is over ``gap_us`` or at least ``idle_us``."""
     before = scan(trades, keys, ORDER, {"_was": ("lag", F.struct("buy", "ts_us"))}, block_us=block_us)
     gap = F.col("ts_us") - F.col("_was.ts_us")
     starts = F.col("_was").isNull() | ~F.col("buy").eqNullSafe(F.col("_was.buy")) | (gap > gap_us) | (gap >= idle_us)
-    return islands(before, keys, ORDER, starts, block_us=block_us).drop("_was")
+    return islands(before.withColumn("begins", starts), keys, ORDER, F.col("begins"), block_us=block_us).drop("_was")
 
 
-def tick_impulse(ticks: DataFrame, keys: list[str], size_weight: float, distance_weight: float) -> DataFrame:
-    """Adds ``running``: the impulse of the tick so far after each trade (needs island and the latched fair).
+def tick_impulse(ticks: DataFrame, keys: list[str], size_weight: float, distance_weight: float, block_us: int | Even = DAY_US) -> DataFrame:
+    """Adds ``running``: the impulse of the tick so far after each trade (needs begins, as ``tick_islands`` adds it, and
+    the latched fair).
 
-    With an invalid fair the impulse stays what it was in the tick.
+    With an invalid fair the impulse stays what it was in the tick. A tick longer than a block is summed over several.
     """
-    upto = Window.partitionBy(*keys, "island").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    ps = F.sum(F.col("price") * F.col("size")).over(upto)
-    deepest = F.when(F.col("buy"), F.min("price").over(upto)).when(~F.col("buy"), F.max("price").over(upto))
-    score = M.flip_sign_if_buy(~F.col("buy"), F.lit(1.0) - F.exp(-size_weight * ps))
+    begins, price = F.col("begins"), F.col("price")
+    sums = {"_ps": ("sum", price * F.col("size")), "_low": ("min", price), "_high": ("max", price)}
+    rows = scan(ticks, keys, ORDER, sums, block_us=block_us, resets=begins)
+    deepest = F.when(F.col("buy"), F.col("_low")).when(~F.col("buy"), F.col("_high"))
+    score = M.flip_sign_if_buy(~F.col("buy"), F.lit(1.0) - F.exp(-size_weight * F.col("_ps")))
     signed = F.when(F.col("buy"), F.lit(-1.0)).otherwise(F.lit(1.0)) * (N.div(deepest, F.col("fair")) - 1)
     impulse = score * F.exp(-N.maximum(F.lit(-3.0), distance_weight * signed))
-    return ticks.withColumn("_impulse", impulse).withColumn("running", F.last("_impulse", ignorenulls=True).over(upto)).drop("_impulse")
+    valid = rows.withColumn("_impulse", impulse).drop(*sums)
+    return scan(valid, keys, ORDER, {"running": ("last", F.col("_impulse"))}, block_us=block_us, resets=begins).drop("_impulse")
 
 
 def tick_emit(impulses: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,8 +87,13 @@ def bucket_sample(trades: DataFrame, keys: list[str], weight: float = 1.0, initi
     valid = F.lit(True) if valid is None else valid
     counted = scan(trades, keys, ORDER, {"_n": ("sum", F.when(valid, F.lit(1)).otherwise(F.lit(0)).cast("long"))}, block_us=block_us)
     if least is None:
-        step = weight / initial
-        full = F.floor(F.col("_n") * step) > F.floor((F.col("_n") - 1) * step)
+        # As whole numbers: trade n samples where n * weight passes a multiple of the bucket.
+        w, bucket = Fraction(str(weight)), Fraction(str(initial))
+        w, bucket = w.numerator * bucket.denominator, bucket.numerator * w.denominator
+        shared = gcd(w, bucket)
+        w, bucket = (F.lit(x // shared).cast("decimal(38,0)") for x in (w, bucket))
+        filled = F.expr("cast(_n as decimal(19,0))") * w % bucket  # what of the last bucket is used after the trade
+        full = filled < w
     else:
         places, first, period = bucket_pattern(weight, initial, least)
         at = F.col("_n") - 1

@@ -345,10 +345,10 @@ def _static_projection(spark, sf_dir) -> DataFrame:
     and what a cascade over them, normalised by the first, makes of them."""
     snaps = materialize(_books(spark, sf_dir).where("size(bids) > 0 and size(asks) > 0"), "books")
     mid = M.bbo_mid(book.bbo(F.col("bids"), F.col("asks")))
-    got = signals.static_book_returns(F.col("bids"), F.col("asks"), mid, RATIOS, SCALES)
-    returns = materialize(snaps.select("sym", "seq", "ts_us", mid.alias("mid"), *[c.alias(n) for c, n in zip(got, _STATIC_NAMES)]), "returns")
+    made = models.staged(snaps, lambda: dict(zip(_STATIC_NAMES, signals.static_book_returns(F.col("bids"), F.col("asks"), mid, RATIOS, SCALES))))
+    returns = materialize(made.select("sym", "seq", "ts_us", mid.alias("mid"), *_STATIC_NAMES), "returns")
     first = models.Normalizer(*sampled.summarize(returns, ["r0"])["r0"])
-    return returns.withColumn("static", models.cascade([F.col(n) for n in _STATIC_NAMES], _parameter, "static", normalizer=first))
+    return models.staged(returns, lambda: {"static": models.cascade([F.col(n) for n in _STATIC_NAMES], _parameter, "static", normalizer=first)})
 
 
 @query(_recursive(_with(f"select sym, seq, {', '.join(f'round({n}, 6) + 0 as {n}' for n in _STATIC_NAMES)}, round({_STATIC_OUT} * mid + mid, 5) as projected from projected", _LIVE, *_STATIC)))
@@ -492,7 +492,7 @@ _MOVE = _move_sql()
 def _moves(averages: DataFrame) -> DataFrame:
     """``averages`` with the combined returns of two signals and of quotes half a point apart against their averages."""
     p, e, h = F.col("price"), F.col("ewma"), F.lit(0.5)
-    return averages.withColumn("move", signals.decay_move([(p, e), (p + 0.25, e)], (p - h, p + h), (e - h, e + h), _parameter))
+    return models.staged(averages, lambda: {"move": signals.decay_move([(p, e), (p + 0.25, e)], (p - h, p + h), (e - h, e + h), _parameter)})
 
 
 @query(_with("select sym, k, round(decay, 6) + 0 as move from moves", _GRID, _SIGNAL, _MOVE))
@@ -561,7 +561,10 @@ _DISC = lambda v, o: f"case when {v} <= 0 then {v} - greatest({v}, least(0.8 * {
 
 @query(f"with {_ITEMS}, d as (select *, {_DISC('a', 'b')} as da, {_DISC('b', 'a')} as db from items), w as (select *, exp(0.1 * (0.05 * abs(da))) as wa, exp(0.2 * (0.05 * abs(db))) as wb from d) select l_orderkey, l_linenumber, round((wa * da * 0.9 + wb * db * 0.7) / (wa + wb), 6) as y from w")
 def symmetric_move(spark, sf_dir):
-    return _items(spark, sf_dir).select(*_KEYS, r6(models.symmetric_move([F.col("a"), F.col("b")], [[0.1, 0.4], [0.3, 0.2]], F.lit(0.05), [[0.9, 0.8], [0.8, 0.7]])).alias("y"))
+    def moved():
+        return {"y": r6(models.symmetric_move([F.col("a"), F.col("b")], [[0.1, 0.4], [0.3, 0.2]], F.lit(0.05), [[0.9, 0.8], [0.8, 0.7]]))}
+
+    return models.staged(_items(spark, sf_dir), moved).select(*_KEYS, "y")
 
 
 @query(f"with {_ITEMS} select l_orderkey, l_linenumber, round(greatest(0, 0.5 * a - 0.25 * b + 0.1), 6) as y0, round(greatest(0, 0.125 * a + 2 * b - 0.2), 6) as y1 from items")
@@ -588,8 +591,12 @@ def _combo_sql() -> str:
 
 @query(_combo_sql())
 def cascade_combo(spark, sf_dir):
-    x = models.cascade([F.col("a") / 25, F.col("b") / 5, F.col("c") * 10], _parameter, normalizer=models.Normalizer(F.lit(0.1), F.lit(2.0)))
-    return _items(spark, sf_dir).select(*_KEYS, (r6(x) + 0.0).alias("y"), *[(r6(v) + 0.0).alias(f"m{i}") for i, v in enumerate(models.small_mlp([F.col("a") / 25, F.col("b") / 5], _parameter))])
+    def combined():
+        xs = [F.col("a") / 25, F.col("b") / 5, F.col("c") * 10]
+        y = models.cascade(xs, _parameter, normalizer=models.Normalizer(F.lit(0.1), F.lit(2.0)))
+        return {"y": r6(y) + 0.0} | {f"m{i}": r6(v) + 0.0 for i, v in enumerate(models.small_mlp(xs[:2], _parameter))}
+
+    return models.staged(_items(spark, sf_dir), combined).drop("a", "b", "c")
 
 
 @query(f"with {_ITEMS} select count(*) as n, round(avg((2 * b - a) * (2 * b - a)), 4) as mse, round(1 - sum((2 * b - a) * (2 * b - a)) / (var_pop(a) * count(a)), 6) as r2 from items")
@@ -674,5 +681,5 @@ def market_pred(spark, sf_dir):
     xs = [N.div(F.col("fair") - p, p), F.col("running") / 100, F.col("pressure") / 100, decay.returns_against(p, F.col("ewma"), 0.01), F.col("move"), F.col("static")]
     names = [f"x{i}" for i in range(len(xs))]
     inputs = materialize(seen.withColumns(dict(zip(names, xs))), "inputs")
-    predicted = inputs.withColumn("pred", models.cascade([F.col(n) for n in names], _parameter, "market"))
+    predicted = models.staged(inputs, lambda: {"pred": models.cascade([F.col(n) for n in names], _parameter, "market")})
     return events.future_value(predicted, t, ["sym"], "price", HORIZON, "future", block_us=BLOCK).select("seq", "sym", "price", (r6("pred") + 0.0).alias("pred"), "future")
