@@ -15,6 +15,8 @@ from tidemark.operators.scan import DAY_US, _equal, scan
 
 ORDER = ["ts_us", "seq"]
 LEVELS = "array<struct<price:double,size:double>>"
+#: Range of scaled prices whose impulses are summed together.
+BIN = 8
 
 
 def explode_messages(messages: DataFrame) -> DataFrame:
@@ -32,37 +34,128 @@ def level_updates(depth: DataFrame, keys: list[str], order: list[str] = ORDER, b
     return before.withColumn("previous_size", previous).drop("_was").where("not (size = 0 and previous_size = 0)")
 
 
-def book_fair(updates: DataFrame, keys: list[str], scale: float, reference: float | Column, order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:
-    """Adds ``fair`` after each level update: reference + ln(B / A) / (2 scale), with B and A the running sums of
-    size changes weighted by exp(+-scale (price - reference)). Invalid while a side is empty.
+def opening_levels(depth: DataFrame, keys: list[str], order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:
+    """keys, _block, side, price, size: the levels alive when each block of time that has rows begins."""
+    rows = depth.withColumn("_block", F.floor(F.col(order[0]) / F.lit(block_us)))
+    level = [*keys, "side", "price"]
+    ends = rows.groupBy(*level, "_block").agg(F.max_by("size", F.struct(*order)).alias("size"))
+    lives = ends.withColumn("_next", F.lead("_block").over(Window.partitionBy(*level).orderBy("_block"))).where("size > 0")
+    # A key's blocks are numbered, so that a life is dealt to the blocks it reaches by equality joins on (key, block).
+    dense = Window.partitionBy(*keys)
+    blocks = rows.select(*keys, "_block").distinct().withColumns({"_i": F.row_number().over(dense.orderBy("_block")), "_most": F.count("*").over(dense).cast("int")})
+    a, b, c, d = lives.alias("a"), blocks.alias("b"), blocks.alias("c"), blocks.alias("d")
+    until = _equal("a", "c", keys) & (F.col("a._next") == F.col("c._block"))
+    reach = a.join(b, _equal("a", "b", [*keys, "_block"])).join(c, until, "left")
+    reach = reach.select("a.*", (F.col("b._i") + 1).alias("_from"), F.coalesce("c._i", "b._most").alias("_to")).where("_from <= _to")
+    reached = reach.select(*keys, "side", "price", "size", F.explode(F.sequence("_from", "_to")).alias("_i")).alias("r")
+    return reached.join(d, _equal("r", "d", [*keys, "_i"])).select(*[F.col(f"r.{k}") for k in keys], "d._block", "r.side", "r.price", "r.size")
+
+
+def _weighted(rows: DataFrame, change: Column, scale: Column) -> DataFrame:
+    """Adds _bin, the range of prices that a level lies in, BIN / scale wide, and _w, the size change with its weight
+    exp(+-scale price) relative to the start of its bin, so between 1 and exp(BIN) for bids and its inverse for asks."""
+    place = scale * F.col("price")
+    rows = rows.withColumn("_bin", F.floor(place / BIN))
+    inside = place - F.col("_bin") * BIN
+    return rows.withColumn("_w", change * F.exp(F.when(F.col("side") == "B", inside).otherwise(-inside)))
+
+
+def _log_sum(logs: Column) -> Column:
+    """ln of the sum of exp of an array's values; NULL for an empty one."""
+    top = F.array_max(logs)
+    return let([logs, top], lambda xs, m: m + F.ln(F.aggregate(xs, F.lit(0.0), lambda total, x: total + F.exp(x - m))))
+
+
+def impulse_sums(updates: DataFrame, keys: list[str], scale: float | Column, order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:
+    """Adds ``log_bid`` and ``log_ask`` after each level update: the logarithms of the sums of size exp(scale price) over
+    all bids and of size exp(-scale price) over all asks; NULL while a side is empty.
 
-    The reference doesn't change the result; choose it near the prices so that the weights stay in range.
+    Sums are built afresh from the levels alive when a block begins, so errors don't outlive a block. They are kept
+    apart for each bin of prices and put together by their logarithms, so prices may move by any multiple of 1 / scale:
+    nothing overflows, and levels far from the market, gone or not, leave no error behind. ``scale`` may be a column
+    that is constant in each block; ``order`` must be total within the keys.
     """
-    if scale <= 0:
+    names = updates.columns
+    live = updates.withColumns({"_block": F.floor(F.col(order[0]) / F.lit(block_us)), "_at": F.lit(1), "_given": F.struct(*names)})
+    kept = dict.fromkeys([*keys, "_block", "_at", *order, "side", "price", "size", "previous_size", "_given"])
+    opening = opening_levels(updates, keys, order, block_us).withColumns({"_at": F.lit(0), "previous_size": F.lit(0.0)})
+    if isinstance(scale, Column):
+        live = live.withColumn("_scale", scale)
+        per_block = live.groupBy(*keys, "_block").agg(F.min("_scale").alias("_scale"))
+        opening = opening.alias("a").join(per_block.alias("b"), _equal("a", "b", [*keys, "_block"])).select("a.*", "b._scale")
+        kept["_scale"], scale = None, F.col("_scale")
+    else:
+        scale = F.lit(float(scale))
+    both = live.select(*kept).unionByName(opening, allowMissingColumns=True)
+    both = _weighted(both, F.col("size") - F.col("previous_size"), scale)
+    alive = (F.col("size") > 0).cast("long") - (F.col("previous_size") > 0).cast("long")
+    block = Window.partitionBy(*keys, "_block")
+    own = F.struct("side", "_bin")
+    # A row meets each bin of its block (an opening level only its own), with a change in its own one.
+    dealt = both.withColumns({"_alive": alive, "_own": own, "_bins": F.collect_set(own).over(block)})
+    dealt = dealt.withColumn("_in", F.explode(F.when(F.col("_at") == 0, F.array("_own")).otherwise(F.col("_bins"))))
+    hit = F.col("_in") == F.col("_own")
+    upto = Window.partitionBy(*keys, "_block", "_in").orderBy("_at", *order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({"_sum": F.sum(F.when(hit, F.col("_w")).otherwise(0.0)).over(upto), "_n": F.sum(F.when(hit, F.col("_alive")).otherwise(0)).over(upto)})
+    sign = F.when(F.col("_in.side") == "B", 1.0).otherwise(-1.0)
+    part = F.when((F.col("_n") > 0) & (F.col("_sum") > 0), F.ln(F.col("_sum")) + sign * F.col("_in._bin") * BIN)
+    sides = [F.collect_list(F.when(F.col("_in.side") == s, part)).alias(n) for s, n in (("B", "_bids"), ("S", "_asks"))]
+    done = summed.where("_at = 1").groupBy(*keys, "_block", *order).agg(F.first("_given").alias("_given"), *sides)
+    return done.select("_given.*", _log_sum(F.col("_bids")).alias("log_bid"), _log_sum(F.col("_asks")).alias("log_ask"))
+
+
+def book_fair(updates: DataFrame, keys: list[str], scale: float | Column, reference: float | Column = 0.0, order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:
+    """Adds ``fair`` after each level update: reference + ln(B / A) / (2 scale), with B and A the sums of sizes weighted by
+    exp(+-scale (price - reference)). Invalid while a side is empty.
+
+    The reference doesn't change the result: it only keeps a place for callers that give one. Prices may walk as far as
+    they like, see ``impulse_sums``; ``fair`` is never infinite or NaN.
+    """
+    if not isinstance(scale, Column) and scale <= 0:
         raise ValueError("the scale must be positive")
-    reference = reference if isinstance(reference, Column) else F.lit(float(reference))
-    change = F.col("size") - F.col("previous_size")
-    offset = scale * (F.col("price") - reference)
-    level = F.when((F.col("size") > 0) & (F.col("previous_size") == 0), 1).when((F.col("size") == 0) & (F.col("previous_size") > 0), -1).otherwise(0).cast("long")
-    bid, ask = F.col("side") == "B", F.col("side") == "S"
-    zero = F.lit(0.0)
-    summed = scan(updates, keys, order, {
-        "_b": ("sum", F.when(bid, change * F.exp(offset)).otherwise(zero)),
-        "_a": ("sum", F.when(ask, change * F.exp(-offset)).otherwise(zero)),
-        "_nb": ("sum", F.when(bid, level).otherwise(F.lit(0).cast("long"))),
-        "_na": ("sum", F.when(ask, level).otherwise(F.lit(0).cast("long"))),
-    }, block_us=block_us)
-    usable = (F.col("_nb") > 0) & (F.col("_na") > 0) & (F.col("_b") > 0) & (F.col("_a") > 0)
-    fair = reference + F.ln(F.when(usable, F.col("_b")) / F.when(usable, F.col("_a"))) / (2 * scale)
-    return summed.withColumn("fair", fair).drop("_b", "_a", "_nb", "_na")
-
-
-def relative_book_fair(updates: DataFrame, keys: list[str], scale: float, reference: float, order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:
+    del reference
+    summed = impulse_sums(updates, keys, scale, order, block_us)
+    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
+    return summed.withColumn("fair", N.finite((F.col("log_bid") - F.col("log_ask")) / (2 * scale))).drop("log_bid", "log_ask")
+
+
+def relative_book_fair(updates: DataFrame, keys: list[str], scale: float, reference: float | None = None, order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:
     """The same with distances as shares of a reference price: reference + reference ln(B / A) / (2 scale), with weights
-    exp(+-scale (price - reference) / reference)."""
-    if reference <= 0:
-        raise ValueError("the reference price must be positive")
-    return book_fair(updates, keys, scale / reference, reference, order, block_us)
+    exp(+-scale (price - reference) / reference).
+
+    Without a reference it moves: each block takes the price of the last update before it, the first block its own
+    first price.
+    """
+    if reference is not None:
+        if reference <= 0:
+            raise ValueError("the reference price must be positive")
+        return book_fair(updates, keys, scale / reference, reference, order, block_us)
+    with_block = updates.withColumn("_own", F.floor(F.col(order[0]) / F.lit(block_us)))
+    place = F.struct(*order)
+    ends = with_block.groupBy(*keys, "_own").agg(F.min_by("price", place).alias("_first"), F.max_by("price", place).alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_own"))
+    moving = ends.select(*keys, "_own", F.coalesce(before, F.col("_first")).alias("reference"))
+    based = with_block.alias("a").join(moving.alias("b"), _equal("a", "b", [*keys, "_own"])).select("a.*", "b.reference").drop("_own")
+    return book_fair(based, keys, F.lit(float(scale)) / F.col("reference"), order=order, block_us=block_us)
+
+
+def drift(updates: DataFrame, keys: list[str], scale: float, order: list[str] = ORDER, block_us: int = DAY_US, most: float = 1e-4) -> DataFrame:
+    """How far impulse sums that are carried from block to block, change by change, stray from those built afresh of the
+    levels alive when a block begins: keys, block, side, bin, carried, fresh, error (a share of fresh), drifted.
+
+    One row for each bin of prices that has a level or a carried sum at a block's beginning. ``drifted`` is true for an
+    error over ``most``: previous sizes that don't follow from the updates before them, or rounding.
+    """
+    rows = updates.withColumn("_block", F.floor(F.col(order[0]) / F.lit(block_us)))
+    bins = [*keys, "side", "_bin", "_block"]
+    changes = _weighted(rows, F.col("size") - F.col("previous_size"), F.lit(float(scale))).groupBy(*bins).agg(F.sum("_w").alias("change"), F.max(F.abs("_w")).alias("largest"))
+    fresh = _weighted(opening_levels(updates, keys, order, block_us), F.col("size"), F.lit(float(scale))).groupBy(*bins).agg(F.sum("_w").alias("fresh"))
+    a, b = changes.alias("a"), fresh.alias("b")
+    both = a.join(b, _equal("a", "b", bins), "full").select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in bins], "change", "largest", "fresh")
+    earlier = Window.partitionBy(*keys, "side", "_bin").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.withColumns({"carried": F.coalesce(F.sum("change").over(earlier), F.lit(0.0)), "fresh": F.coalesce("fresh", F.lit(0.0)), "_size": F.max("largest").over(earlier)})
+    error = F.abs(F.col("carried") - F.col("fresh")) / F.when(F.col("fresh") > 0, F.col("fresh")).otherwise(F.greatest(F.col("_size"), F.lit(1e-300)))
+    return carried.where("fresh > 0 or carried <> 0").select(*keys, F.col("_block").alias("block"), "side", F.col("_bin").alias("bin"), "carried", "fresh", error.alias("error"), (error > most).alias("drifted"))
 
 
 def sided_impulse(price: Column, previous: Column, size: Column, bid: Column, fair: Column, scale: float) -> tuple[Column, Column]:
@@ -113,18 +206,7 @@ def snapshots(depth: DataFrame, keys: list[str], most: int | None = None, order:
     over each level's last size in each block, and dealt to the block as its opening state.
     """
     rows = depth.withColumn("_block", F.floor(F.col(order[0]) / F.lit(block_us)))
-    level = [*keys, "side", "price"]
-    ends = rows.groupBy(*level, "_block").agg(F.max_by("size", F.struct(*order)).alias("size"))
-    lives = ends.withColumn("_next", F.lead("_block").over(Window.partitionBy(*level).orderBy("_block"))).where("size > 0")
-    # A key's blocks are numbered, so that a life is dealt to the blocks it reaches by equality joins on (key, block).
-    dense = Window.partitionBy(*keys)
-    blocks = rows.select(*keys, "_block").distinct().withColumns({"_i": F.row_number().over(dense.orderBy("_block")), "_most": F.count("*").over(dense).cast("int")})
-    a, b, c, d = lives.alias("a"), blocks.alias("b"), blocks.alias("c"), blocks.alias("d")
-    until = _equal("a", "c", keys) & (F.col("a._next") == F.col("c._block"))
-    reach = a.join(b, _equal("a", "b", [*keys, "_block"])).join(c, until, "left")
-    reach = reach.select("a.*", (F.col("b._i") + 1).alias("_from"), F.coalesce("c._i", "b._most").alias("_to")).where("_from <= _to")
-    reached = reach.select(*keys, "side", "price", "size", F.explode(F.sequence("_from", "_to")).alias("_i")).alias("r")
-    opening = reached.join(d, _equal("r", "d", [*keys, "_i"])).select(*[F.col(f"r.{k}") for k in keys], "d._block", "r.side", "r.price", "r.size", F.lit(True).alias("_opening"))
+    opening = opening_levels(depth, keys, order, block_us).withColumn("_opening", F.lit(True))
     log = rows.select(*keys, "_block", "side", "price", "size", *order, F.lit(False).alias("_opening")).unionByName(opening, allowMissingColumns=True)
     kinds = {f.name: f.dataType.simpleString() for f in log.schema}
     names = [*keys, *order]

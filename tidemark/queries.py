@@ -199,7 +199,7 @@ def level_updates(spark, sf_dir):
 
 
 def _fair(spark, sf_dir) -> DataFrame:
-    return book.book_fair(_updates(spark, sf_dir), ["sym"], SCALE, 100.0, block_us=BLOCK)
+    return book.book_fair(materialize(_updates(spark, sf_dir), "updates"), ["sym"], SCALE, 100.0, block_us=BLOCK)
 
 
 @query(_with("select seq, sym, round(fair, 6) as fair from fairs", _UPDATES, _FAIR))
@@ -216,7 +216,55 @@ _RELATIVE = f"""shares as (select *, sum(case when side = 'B' then (size - previ
 @query(_with(f"select seq, sym, round(case when nb > 0 and na > 0 and sa > 0 and sb > 0 then 100 + 100 * ln(sb / sa) / (2 * {SHARE_SCALE}) end, 6) as fair from shares", _UPDATES, _FAIR, _RELATIVE))
 def relative_fair(spark, sf_dir):
     """Book fair price with distances as shares of the reference price."""
-    return book.relative_book_fair(_updates(spark, sf_dir), ["sym"], SHARE_SCALE, 100.0, block_us=BLOCK).select("seq", "sym", r6("fair").alias("fair"))
+    return book.relative_book_fair(materialize(_updates(spark, sf_dir), "updates"), ["sym"], SHARE_SCALE, 100.0, block_us=BLOCK).select("seq", "sym", r6("fair").alias("fair"))
+
+
+WALK, MOVE = 3000, 5 * DAY_US
+#: Depth whose prices jump by 3,000, three hundred times 1 / SCALE, again and again.
+_WALK = f"""walk as (select seq, ts_us, sym, side, price + {WALK} * ((seq // 700) % 5) as price, size from depth),
+walk_lags as (select *, coalesce(lag(size) over (partition by sym, side, price order by ts_us, seq), 0) as previous_size from walk),
+walk_updates as (select * from walk_lags where not (size = 0 and previous_size = 0)),
+walk_lives as (select *, lead(seq) over (partition by sym, side, price order by ts_us, seq) as until from walk)"""
+
+
+def _log_sums(updates: str, lives: str, scale: str) -> str:
+    """Tables ``log_sums`` (sym, seq, lb, la) from the levels alive after each update, by definition."""
+    return f"""parts as (select u.sym, u.seq, a.side, (case when a.side = 'B' then 1 else -1 end) * ({scale}) * a.price + ln(a.size) as l
+  from {updates} u join {lives} a on a.sym = u.sym and a.seq <= u.seq and (a.until is null or a.until > u.seq) and a.size > 0),
+tops as (select sym, seq, side, max(l) as m from parts group by sym, seq, side),
+sums_of as (select sym, seq, side, m + ln(sum(exp(l - m))) as total from parts join tops using (sym, seq, side) group by sym, seq, side, m),
+log_sums as (select sym, seq, max(total) filter (side = 'B') as lb, max(total) filter (side = 'S') as la from sums_of group by sym, seq)"""
+
+
+@query(_with(f"select u.seq, u.sym, round((lb - la) / (2 * {SCALE}), 6) as fair from walk_updates u left join log_sums using (sym, seq)", _WALK, _log_sums("walk_updates", "walk_lives", str(SCALE))))
+def walking_fair(spark, sf_dir):
+    """Fair prices of a market that walks by hundreds of times 1 / scale and back."""
+    walk = derived.depth(spark, sf_dir).withColumn("price", F.col("price") + WALK * (F.floor(F.col("seq") / 700) % 5))
+    updates = materialize(book.level_updates(walk, ["sym"], block_us=BLOCK), "updates")
+    return book.book_fair(updates, ["sym"], SCALE, block_us=MOVE).select("seq", "sym", r6("fair").alias("fair"))
+
+
+_MOVING = f"""ends_of as (select sym, ts_us // {MOVE} as block, arg_min(price, (ts_us, seq)) as opened, arg_max(price, (ts_us, seq)) as closed from updates group by all),
+references_of as (select sym, block, coalesce(lag(closed) over (partition by sym order by block), opened) as reference from ends_of),
+based as (select u.*, r.reference from updates u join references_of r on u.sym = r.sym and u.ts_us // {MOVE} = r.block),
+lives as (select *, lead(seq) over (partition by sym, side, price order by ts_us, seq) as until from depth)"""
+
+
+@query(_with(f"select b.seq, b.sym, reference, round(reference * (lb - la) / (2 * {SHARE_SCALE}), 6) as fair from based b left join log_sums using (sym, seq)", _UPDATES, _MOVING, _log_sums("based", "lives", f"{SHARE_SCALE} / u.reference")))
+def moving_reference_fair(spark, sf_dir):
+    """Book fair price with distances as shares of a reference price that is moved every five days."""
+    return book.relative_book_fair(materialize(_updates(spark, sf_dir), "updates"), ["sym"], SHARE_SCALE, block_us=MOVE).select("seq", "sym", "reference", r6("fair").alias("fair"))
+
+
+_FRESH = f"""block_starts as (select distinct sym, ts_us // {MOVE} as block from updates),
+lasts_of as (select b.sym, b.block, u.side, u.price, arg_max(u.size, (u.ts_us, u.seq)) as size from block_starts b join updates u on u.sym = b.sym and u.ts_us // {MOVE} < b.block group by all)"""
+
+
+@query(_with(f"select sym, block, side, floor({SCALE} * price / {book.BIN})::bigint as bin, round(sum(size * exp((case when side = 'B' then 1 else -1 end) * ({SCALE} * price - floor({SCALE} * price / {book.BIN}) * {book.BIN}))), 4) as fresh, false as drifted from lasts_of where size > 0 group by all", _UPDATES, _FRESH))
+def impulse_drift(spark, sf_dir):
+    """Impulse sums carried between blocks against those built afresh when a block begins."""
+    found = book.drift(materialize(_updates(spark, sf_dir), "updates"), ["sym"], SCALE, block_us=MOVE)
+    return found.where("fresh > 0").select("sym", "block", "side", "bin", F.round("fresh", 4).alias("fresh"), "drifted")
 
 
 @query(_with(f"select seq, sym, round(case when side = 'B' then (size - previous_size) * exp({SCALE} * (price - fair)) else 0 end, 6) as bid_impulse, round(case when side = 'S' then (size - previous_size) * exp(-{SCALE} * (price - fair)) else 0 end, 6) as ask_impulse from fairs where fair is not null", _UPDATES, _FAIR))
