@@ -27,11 +27,13 @@ def explode_messages(messages: DataFrame) -> DataFrame:
     return both.select(*[c for c in both.columns if c != "level"], "level.price", "level.size")
 
 
-def level_updates(depth: DataFrame, keys: list[str], order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:
-    """Adds previous_size (0 for a new level) and drops deletions of levels that aren't there."""
+def level_updates(depth: DataFrame, keys: list[str], order: list[str] = ORDER, block_us: int = DAY_US, every: bool = False) -> DataFrame:
+    """Adds previous_size (0 for a new level) and drops deletions of levels that aren't there, unless ``every`` row is
+    asked for."""
     before = scan(depth, [*keys, "side", "price"], order, {"_was": ("lag", F.col("size"))}, block_us=block_us)
     previous = F.coalesce("_was", F.lit(0.0))
-    return before.withColumn("previous_size", previous).drop("_was").where("not (size = 0 and previous_size = 0)")
+    known = before.withColumn("previous_size", previous).drop("_was")
+    return known if every else known.where("not (size = 0 and previous_size = 0)")
 
 
 def opening_levels(depth: DataFrame, keys: list[str], order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:

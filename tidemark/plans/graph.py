@@ -42,7 +42,11 @@ class Callset:
 
 @dataclass
 class Definition:
-    """An operator: inputs (names; those in ``arrays`` take lists), outputs, callsets and its column form."""
+    """An operator: inputs (names; those in ``arrays`` take lists), outputs, callsets and its column form.
+
+    A stateful one has a ``stage`` instead, which adds its outputs to the event log (see ``plans.stateful``); one with a
+    timer has ``timer_rows``, which make the log's rows for its fires.
+    """
 
     name: str
     inputs: tuple[str, ...]
@@ -56,6 +60,8 @@ class Definition:
     timer: Callset | None = None
     generics: tuple[str, ...] = ()
     differentiable: bool = True
+    stage: Callable | None = None
+    timer_rows: Callable | None = None
 
     def validate(self) -> None:
         known = set(self.inputs)
@@ -377,9 +383,13 @@ class SignalGraph:
 
         A component is called if an input that one of its callsets is written by might have been written.
         """
-        written, out = {f"external::{e}" for e in externals}, []
+        return self.called_from({f"external::{e}" for e in externals})
+
+    def called_from(self, written: set[str]) -> list[tuple[str, list[Callset]]]:
+        """The same for a trigger that writes the outputs of these keys, such as those of a timer."""
+        written, out = set(written), []
         for name in self.order():
-            c, d = self.components[name], None
+            c = self.components[name]
             d = self.definitions[c.definition]
             touched = frozenset(k for k, v in c.inputs.items() if any(o.key in written for o in (v if isinstance(v, (list, tuple)) else [v])))
             if not touched:
@@ -393,12 +403,24 @@ class SignalGraph:
                 written |= {f"{name}::{o}" for o in (s.outputs or d.outputs)}
         return out
 
+    def triggers(self) -> dict[str, set[str]]:
+        """The keys that each trigger writes by itself: call groups by their names, timers by their components'."""
+        out = {n: {f"external::{e}" for e in g["mapping"].values()} for n, g in self.call_groups.items()}
+        for n, c in self.components.items():
+            if (timer := self.definitions[c.definition].timer) is not None:
+                out[n] = {f"{n}::{o}" for o in timer.outputs}
+        return out
+
+    def writes(self, trigger: str) -> set[str]:
+        """All keys that a trigger may write, by itself or through what it calls."""
+        keys = self.triggers()[trigger]
+        return keys.union(*({f"{n}::{o}" for s in sets for o in (s.outputs or self.definitions[self.components[n].definition].outputs)} for n, sets in self.called_from(keys)))
+
     def stored(self) -> set[str]:
         """Outputs that must be latched: those that some trigger reads without having written them."""
         keep = {f"{n}::{o}" for n, c in self.components.items() for o, s in self.definitions[c.definition].outputs.items() if c.force_stored and not s.ephemeral}
-        for g in self.call_groups.values():
-            calls = self.called(list(g["mapping"].values()))
-            fresh = {f"external::{e}" for e in g["mapping"].values()}
+        for keys in self.triggers().values():
+            calls, fresh = self.called_from(keys), set(keys)
             for name, sets in calls:
                 c = self.components[name]
                 for o in _outputs(c):

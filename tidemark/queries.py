@@ -12,8 +12,8 @@ from tidemark import model_sql as S
 from tidemark.functions import numeric as N
 from tidemark.operators import book, decay, events, models, sampled, signals, trades
 from tidemark.operators.scan import DAY_US
-from tidemark.plans import autodiff
-from tidemark.plans.graph import SignalGraph
+from tidemark.plans import autodiff, stateful
+from tidemark.plans.graph import Callset, Definition, Output, OutputSpec, SignalGraph
 from tidemark.sources import derived
 from tidemark.sources.market import depth_messages, number_rows, trade_messages
 from tidemark.sources.scratch import materialize
@@ -731,3 +731,78 @@ def market_pred(spark, sf_dir):
     inputs = materialize(seen.withColumns(dict(zip(names, xs))), "inputs")
     predicted = models.staged(inputs, lambda: {"pred": models.cascade([F.col(n) for n in names], _parameter, "market")})
     return events.future_value(predicted, t, ["sym"], "price", HORIZON, "future", block_us=BLOCK).select("seq", "sym", "price", (r6("pred") + 0.0).alias("pred"), "future")
+
+
+def _cascade_definition() -> Definition:
+    """models.cascade as a component; its parameters' values are given by the function ``of`` among its settings."""
+
+    def lower(i, g, p):
+        normalizer = models.Normalizer(i["mean"], i["deviation"]) if "mean" in i else None
+        return models.cascade(i["xs"], _parameter, p["prefix"], normalizer=normalizer)
+
+    every = frozenset({"xs", "mean", "deviation"})
+    return Definition("cascade", ("xs", "mean", "deviation"), {"out": OutputSpec()}, lower, arrays=frozenset({"xs"}), optional=frozenset({"mean", "deviation"}), generic=Callset(frozenset(), every))
+
+
+def _returns_definition() -> Definition:
+    """Returns of static fair prices over aggregated books, and the mid; invalid unless both sides have a level."""
+
+    def lower(i, g, p):
+        quoted = (F.size(i["bids"]) > 0) & (F.size(i["asks"]) > 0)
+        bids, asks = (F.when(quoted, i[k]) for k in ("bids", "asks"))
+        mid = M.bbo_mid(book.bbo(bids, asks))
+        return dict(zip(_STATIC_NAMES, signals.static_book_returns(bids, asks, mid, RATIOS, SCALES)))
+
+    gone = OutputSpec(ephemeral=True, assume_invalid=True)
+    return Definition("static_returns", ("bids", "asks"), {n: gone for n in _STATIC_NAMES}, lower, generic=Callset(frozenset(), frozenset({"bids", "asks"})))
+
+
+def _move_definition() -> Definition:
+    """The combined move of a signal and its quotes, half a point apart, against its average."""
+
+    def lower(i, g, p):
+        x, e, h = i["signal"], i["ewma"], F.lit(0.5)
+        move = signals.decay_move([(x, e), (x + 0.25, e)], (x - h, x + h), (e - h, e + h), _parameter)
+        return F.when(e.isNotNull(), move)
+
+    return Definition("decay_move", ("signal", "ewma"), {"out": OutputSpec()}, lower, generic=Callset(frozenset(), frozenset({"signal", "ewma"})))
+
+
+def _market_graph() -> tuple[SignalGraph, dict[str, Output]]:
+    """The market of ``market_pred`` as one graph of components over trades, depth and a timer."""
+    extra = (_cascade_definition(), _returns_definition(), _move_definition())
+    g = SignalGraph(stateful.stateful_definitions() | {d.name: d for d in extra})
+    price, size, buy = g.get_external("price"), g.get_external("size"), g.get_external("buy", "bool")
+    level = {"side": g.get_external("side", "string"), "price": g.get_external("level_price"), "size": g.get_external("level_size")}
+    g.add_call_struct("depth", {"side": "string", "price": "double", "size": "double"})
+    g.add_call_struct("trade", {"price": "double", "size": "double", "buy": "bool"})
+    g.add_call_group("depth", "depth", {"side": "side", "price": "level_price", "size": "level_size"})
+    g.add_call_group("trade", "trade", {"price": "price", "size": "size", "buy": "buy"})
+    fair = g.make_component("book_fair", level, params={"scale": SCALE}).output("fair")
+    tick = g.make_component("tick_detector", {"buy": buy}, params={"gap_us": GAP, "idle_us": IDLE}).output("tick")
+    ticks = g.make_component("tick_aggregator", {"price": price, "size": size, "buy": buy, "fair": fair, "tick": tick}, params={"size_weight": SIZE_WEIGHT, "distance_weight": DISTANCE_WEIGHT})
+    fires = g.make_component("exp_decay_source", params={"half_life_us": HALF_LIFE, "on": "trade"}).output("decay")
+    emitted = ticks.output("tick")
+    pressure = g.make_component("running_sum", {"tick": emitted, "decay": [fires, g.make_triggered_constant(TICK_DECAY, emitted)]}).output("running_sum")
+    ewma = g.make_component("ewma", {"signal": price, "decay": [fires]}).output("ewma")
+    move = g.op("hold", g.op("decay_move", price, ewma), fires)
+    books = g.make_component("book_updater", level)
+    returns = g.make_component("static_returns", {"bids": books.output("bids"), "asks": books.output("asks")})
+    first = returns.output("r0")
+    static = g.make_component("cascade", {"xs": [returns.output(n) for n in _STATIC_NAMES], "mean": g.summarize(first, "mean"), "deviation": g.summarize(first, "std")}, params={"prefix": "static"}).output()
+    static = g.make_component("valid", {"value": static}).output()
+    sample = g.make_component("bucket_sampler", {"trade": price}).output("should_sample")
+    change = (price - ewma) / price
+    inputs = [(fair - price) / price, ticks.output("running") / 100.0, pressure / 100.0, g.op("min", g.op("max", change, g.make_constant(-0.01)), g.make_constant(0.01)), move, static]
+    pred = g.make_component("cascade", {"xs": inputs}, params={"prefix": "market"}, name="overall_pred").output()
+    return g, {"price": price, "pred": pred, "sampled": sample}
+
+
+@query(SQL["market_pred"])
+def market_graph(spark, sf_dir):
+    """``market_pred`` from a graph with stateful components, compiled to stages over one log."""
+    t, d = derived.trades(spark, sf_dir), derived.depth(spark, sf_dir)
+    log = t.withColumn("trigger", F.lit("trade")).unionByName(d.withColumnsRenamed({"price": "level_price", "size": "level_size"}).withColumn("trigger", F.lit("depth")), allowMissingColumns=True)
+    graph, outputs = _market_graph()
+    seen = materialize(stateful.run(graph, log, ["sym"], outputs, ["trade"], block_us=BLOCK).where("sampled"), "seen")
+    return events.future_value(seen, t, ["sym"], "price", HORIZON, "future", block_us=BLOCK).select("seq", "sym", "price", (r6("pred") + 0.0).alias("pred"), "future")
