@@ -17,6 +17,8 @@ ORDER = ["ts_us", "seq"]
 LEVELS = "array<struct<price:double,size:double>>"
 #: Range of scaled prices whose impulses are summed together.
 BIN = 8
+#: Fan-out and height of the tree of message numbers in a block.
+RADIX, HEIGHT = 8, 5
 
 
 def explode_messages(messages: DataFrame) -> DataFrame:
@@ -230,6 +232,61 @@ def snapshots(depth: DataFrame, keys: list[str], most: int | None = None, order:
     return log.groupBy(*keys, "block").applyInPandas(play, ", ".join([*[f"{n} {kinds[n]}" for n in names], f"bids {LEVELS}", f"asks {LEVELS}"]))
 
 
+def _nodes(start: Column, stop: Column) -> Column:
+    """[start, stop) as an array of (level, index): intervals of RADIX^level numbers that begin at multiples of it, at
+    most 2 (RADIX - 1) of a level but the last."""
+
+    def bounds(level: int) -> tuple[Column, Column]:
+        unit = RADIX**level
+        return F.floor((start + (unit - 1)) / unit), F.floor(stop / unit)
+
+    def named(level: int, low: Column, high: Column) -> Column:
+        own = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(own, lambda i: F.struct(F.lit(level).alias("level"), i.alias("index")))
+
+    parts = []
+    for level in range(HEIGHT + 1):
+        low, high = bounds(level)
+        if level == HEIGHT:
+            parts.append(named(level, low, high))
+            continue
+        up, down = (b * RADIX for b in bounds(level + 1))  # what the next level covers
+        parts += [named(level, low, F.when(up < down, up).otherwise(high)), named(level, F.when(up < down, down).otherwise(high), high)]
+    return F.concat(*parts)
+
+
+def quotes(depth: DataFrame, keys: list[str], most: int = 1, order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:
+    """The best ``most`` levels of each side after each level message: keys, order columns, bids, asks (arrays, best first).
+
+    Without replaying the book: within a block of time the messages are numbered, and a level is alive over an interval
+    of numbers. Intervals are cut into nodes of a tree, of which the best levels are found by an aggregate; a message
+    then reads the few nodes that it lies in by an equality join.
+    """
+    block = [*keys, "_block"]
+    rows = depth.select(*dict.fromkeys([*keys, *order, "side", "price", "size"])).withColumn("_block", F.floor(F.col(order[0]) / F.lit(block_us)))
+    within = Window.partitionBy(*block)
+    rows = rows.withColumns({"_m": F.row_number().over(within.orderBy(*order)).cast("long") - 1, "_n": F.count("*").over(within)})
+    opening = opening_levels(depth, keys, order, block_us).withColumn("_m", F.lit(-1).cast("long"))
+    changes = rows.select(*block, "side", "price", "size", "_m", "_n").unionByName(opening, allowMissingColumns=True)
+    level = Window.partitionBy(*block, "side", "price").orderBy("_m")
+    lives = changes.withColumns({"_next": F.lead("_m").over(level), "_count": F.max("_n").over(within)}).where("size > 0")
+    start, stop = F.greatest("_m", F.lit(0)), F.coalesce("_next", "_count")
+    dealt = lives.where(start < stop).select(*block, "side", F.struct("price", "size").alias("_level"), F.explode(_nodes(start, stop)).alias("_node"))
+    node = [*block, "_node"]
+    rank = F.row_number().over(Window.partitionBy(*node, "side").orderBy(F.when(F.col("side") == "B", -F.col("_level.price")).otherwise(F.col("_level.price"))))
+    if most == 1:
+        sign = F.when(F.col("side") == "B", 1.0).otherwise(-1.0)
+        best = dealt.groupBy(*node, "side").agg(F.max_by("_level", sign * F.col("_level.price")).alias("_level"))
+    else:
+        best = dealt.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    places = F.array(*[F.struct(F.lit(h).alias("level"), F.floor(F.col("_m") / RADIX**h).alias("index")) for h in range(HEIGHT + 1)])
+    read = rows.select(*dict.fromkeys([*block, *order]), F.explode(places).alias("_node")).alias("a").join(best.alias("b"), _equal("a", "b", node), "left")
+    sides = {n: F.collect_list(F.when(F.col("b.side") == s, F.col("b._level"))) for s, n in (("B", "bids"), ("S", "asks"))}
+    found = read.groupBy(*[F.col(f"a.{c}") for c in dict.fromkeys([*block, *order])]).agg(*[c.alias(n) for n, c in sides.items()])
+    bids, asks = F.reverse(F.array_sort("bids")), F.array_sort("asks")
+    return found.select(*dict.fromkeys([*keys, *order]), F.slice(bids, 1, most).alias("bids"), F.slice(asks, 1, most).alias("asks"))
+
+
 def bbo(bids: Column, asks: Column) -> Column:
     """Best bid and ask as a struct, invalid unless both sides have a level."""
     return F.when((F.size(bids) > 0) & (F.size(asks) > 0), F.struct(F.get(bids, F.lit(0)).alias("bid"), F.get(asks, F.lit(0)).alias("ask")))

@@ -296,7 +296,8 @@ sides as (select d.sym, d.seq, d.ts_us, max(l.price) filter (where l.side = 'B')
 
 
 def _books(spark, sf_dir, most: int | None = None) -> DataFrame:
-    return book.snapshots(derived.depth(spark, sf_dir), ["sym"], most, block_us=5 * DAY_US)
+    depth = derived.depth(spark, sf_dir)
+    return book.quotes(depth, ["sym"], most, block_us=5 * DAY_US) if most else book.snapshots(depth, ["sym"], block_us=5 * DAY_US)
 
 
 @query(_with("select sym, seq, case when ask is not null then bid end as bid, case when bid is not null then ask end as ask, (bid + ask) / 2 as mid from sides", _LIVE))
