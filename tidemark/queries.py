@@ -578,6 +578,23 @@ def sampled_sum_1d(spark, sf_dir):
     return _periods(spark, sf_dir).select("sym", "period_us", "n", r6("sum").alias("sum"))
 
 
+_CUT = f"""cuts as (select sym, ts_us, seq from depth where size = 0),
+log_of as (select sym, ts_us, 0 as source, seq, null::double as v from cuts union all select sym, ts_us, 1, seq, v from vals),
+numbered_log as (select *, count(*) filter (source = 0) over w as period, max(case when source = 0 then ts_us end) over w as start_us from log_of window w as (partition by sym order by ts_us, source, seq rows unbounded preceding)),
+cut_rows as (select n.*, b.wv, b.wt, b.n as place from numbered_log n join before b on n.sym = b.sym and n.seq = b.seq where n.source = 1)"""
+
+
+@query(_with("""select sym, period, coalesce(start_us, -1) as start_us, count(*) as n,
+  case when max(case when v is null or (place > 1 and wv is null) then 1 else 0 end) = 0 and sum((ts_us - wt) // 10000) > 0 then round(sum(wv * ((ts_us - wt) // 10000)) / sum((ts_us - wt) // 10000), 6) end as mean,
+  min(least(v, wv)) as min, max(greatest(v, wv)) as max, case when count(*) = count(v) then round(sum(v), 6) end as sum from cut_rows group by sym, period, start_us""", _PERIODS, _CUT))
+def sampled_between(spark, sf_dir):
+    """Periods of a symbol's trades that deletions in its book begin."""
+    t = derived.trades(spark, sf_dir).withColumn("v", F.when(F.col("seq") % 97 != 0, F.col("price")))
+    cuts = derived.depth(spark, sf_dir).where("size = 0").select("sym", "ts_us", "seq")
+    got = sampled.sampled_between(t, cuts, ["sym"], "v", block_us=BLOCK)
+    return got.select("sym", "period", F.coalesce("start_us", F.lit(-1)).alias("start_us"), "n", r6("mean").alias("mean"), "min", "max", r6("sum").alias("sum"))
+
+
 # -- models
 _W = [0.5, -0.25, 2.0]
 
