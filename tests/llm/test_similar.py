@@ -65,3 +65,17 @@ def test_similar_odd_rows(odd, none):
     got = simhash.similar(odd).collect()
     assert len(got) == odd.count() and {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
     assert simhash.similar(none).count() == 0
+
+
+def test_texts_of_the_same_words_in_other_orders(spark):
+    """All have one fingerprint and few are alike; the crowd is parted by bands of the sketches, which loses no copy."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(900):
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    near = [" ".join([*t.split()[1:], t.split()[0]]) for t in texts[:40]]  # a rotated text: 0.85 of its shingles and more
+    docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, most=100).collect()}
+    assert sum(got[900 + k] == k for k in range(40)) >= 38 and all(got[k] == k for k in range(900))
