@@ -7,21 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import DAY_US, scan
+from tidemark.operators.scan import DAY_US, Even, scan
 
 ORDER = ["key_us", "source", "seq"]
 
 
-def collate(streams: list[DataFrame], keys: list[str], time: str = "ts_us", block_us: int = DAY_US) -> DataFrame:
+def collate(streams: list[DataFrame], keys: list[str], time: str = "ts_us", block_us: int | Even = 4096) -> DataFrame:
     """Union of streams with an order key that merges them by time and keeps each stream's own order.
 
     Streams have columns ``seq`` and ``time``; the result adds ``source`` (number of the stream) and ``key_us``, the
-    running maximum of a stream's time, so a row that is late within its stream sorts with what came before it.
+    running maximum of a stream's time (over blocks of ``block_us`` numbers), so a row that is late within its stream sorts with what came before it.
     Order the result by ORDER. Rows of missing columns are NULL.
     """
     numbered = [s.withColumn("source", F.lit(i)) for i, s in enumerate(streams)]
     log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
-    return scan(log.withColumn("_seq", F.col("seq")), ["source", *keys], ["_seq"], {"key_us": ("max", F.col(time))}, block_us=4096, levels=2).drop("_seq")
+    return scan(log.withColumn("_seq", F.col("seq")), ["source", *keys], ["_seq"], {"key_us": ("max", F.col(time))}, block_us=block_us, levels=2).drop("_seq")
 
 
 def latch(log: DataFrame, keys: list[str], columns: dict[str, tuple[Column, Column]], order: list[str] = ORDER, block_us: int = DAY_US) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import struct
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,6 +154,10 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(split, "path string, seq long, payload binary")
 
 
+#: Rows of a row group of samples.
+GROUP_ROWS = 65_536
+
+
 @dataclass
 class SampleConfig:
     """What to sample: graph outputs, target, the flag that samples, the horizon."""
@@ -173,16 +178,23 @@ class SampleConfig:
 
 
 def write_samples(rows: DataFrame, config: SampleConfig, path: str, time: str = "ts_us") -> None:
-    """Sample rows as Parquet: the outputs as doubles, target, target_future, time (timestamp of microseconds).
+    """Sample rows as Parquet: the outputs as doubles, target, target_future, time (timestamp of microseconds), in row groups of
+    at most GROUP_ROWS rows.
 
     Rows in which one of these is invalid are left out, as the columns are required ones.
     """
-    kept = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in config.outputs], F.col("target").cast("double"), F.col("target_future").cast("double"), F.timestamp_micros(F.col(time)).alias("time"))
+    numbers = [*config.outputs, "target", "target_future"]
+    kept = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in numbers], F.timestamp_micros(F.col(time)).alias("time"))
+    valid = [F.col("time").isNotNull(), *(F.col(f"`{c}`").isNotNull() & ~F.isnan(f"`{c}`") for c in numbers)]
+    kept = kept.where(reduce(lambda a, b: a & b, valid))
+    # What can't be NULL becomes a required column.
+    kept = kept.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in numbers], F.coalesce("time", F.timestamp_micros(F.lit(0))).alias("time"))
     spark = rows.sparkSession
     before = spark.conf.get("spark.sql.parquet.outputTimestampType")
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     try:
-        kept.na.drop().write.option("compression", "snappy").option("parquet.writer.version", "v2").parquet(path)
+        writer = kept.write.option("compression", "snappy").option("parquet.writer.version", "v2").option("parquet.block.row.count.limit", GROUP_ROWS)
+        writer.parquet(path)
     finally:
         spark.conf.set("spark.sql.parquet.outputTimestampType", before)
 
