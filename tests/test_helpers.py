@@ -1,5 +1,6 @@
 """Small helpers of the event log, instruments and units."""
 
+import os
 from pyspark.sql import functions as F
 
 from tidemark.functions import market as M
@@ -23,3 +24,14 @@ def test_units_and_fields(spark):
     df = spark.createDataFrame([(1_500_000, '{"a": {"b": "7"}}')], "us long, message string")
     r = df.select(F.unix_micros(M.us_to_timestamp(F.col("us"))).alias("t"), M.json_field(F.col("message"), "$.a.b").alias("b")).first()
     assert tuple(r) == (1_500_000, "7")
+
+
+def test_a_scope_deletes_its_own_tables_only(spark):
+    from tidemark.sources import scratch
+
+    kept = scratch.materialize(spark.range(3), "kept")
+    with scratch.scope(spark):
+        inner = scratch.materialize(spark.range(4), "inner")
+        assert inner.count() == 4
+        path = scratch._made[-1].removeprefix("file://")
+    assert kept.count() == 3 and not os.path.exists(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables that this process has written; frames that still read them can't be used any more."""
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables that this process has written (but for the first ``since``); frames that still read
+    them can't be used any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    while _made:
+    while len(_made) > since:
         path = hadoop.Path(_made.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Deletes the scratch tables that are written within it, and only those, when it is left."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex[:12]}"
     _made.append(path)
