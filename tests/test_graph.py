@@ -186,3 +186,21 @@ def test_static_fair_of_a_symmetric_book(spark):
     one = [(F.lit(99.0), F.lit(4.0))], [(F.lit(101.0), F.lit(4.0))]
     assert spark.range(1).select(static_fair(*one, F.lit(100.0), 0.01, corrected=True)).first()[0] == pytest.approx(100.0)
     assert N is not None
+
+
+def test_summaries_of_a_level_are_one_aggregate(spark, monkeypatch):
+    """Means of a and of b come together, the mean of what is made of them after it."""
+    from pyspark.sql import DataFrame
+
+    g = SignalGraph()
+    a, b = g.get_external("a"), g.get_external("b")
+    x = (a - g.summarize(a, "mean")) / g.summarize(a, "std") + (b - g.summarize(b, "mean"))
+    y = x - g.summarize(x * x, "mean")
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 7.0), (6.0, 0.0)], "a double, b double")
+    asked, plain = [], df.agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *c: asked.append(len(c)) or plain(*c) if self is df else DataFrame.agg(self, *c))
+    got = [r["y"] for r in g.evaluate(df, {"y": y}).collect()]
+    assert sorted(asked) == [1, 3]
+    d = (((1 - 3) ** 2 + (2 - 3) ** 2 + (6 - 3) ** 2) / 2) ** 0.5
+    xs = [(p - 3) / d + (q - 4) for p, q in ((1, 5), (2, 7), (6, 0))]
+    assert got == pytest.approx([v - sum(w * w for w in xs) / 3 for v in xs])

@@ -501,15 +501,20 @@ class SignalGraph:
         """``df`` with the outputs; mean and std summaries are computed first, one aggregate for each level of them."""
         summaries: dict[str, float] = {}
         needed = self._needed(list(outputs.values()))
-        for n in self.order():
-            c = self.components[n]
-            if c.definition in ("mean", "std") and f"{n}::out" in needed:
-                col = self.lower([c.inputs["a"]], params, summaries=summaries)[0]
-                f = F.avg(col) if c.definition == "mean" else F.when(F.count(col) > 1, F.stddev_samp(col)).otherwise(F.lit(1.0))
-                summaries[n] = df.agg(f.alias("x")).first()["x"]
-                self._needed_for = None
+        left = [n for n in self.order() if self.components[n].definition in ("mean", "std") and f"{n}::out" in needed]
+        while left:
+            ready = [n for n in left if not self._needed([self.components[n].inputs["a"]]) & {f"{m}::out" for m in left}]
+            columns = self.lower([self.components[n].inputs["a"] for n in ready], params, summaries=summaries)
+            found = df.agg(*[self._summary(n, col).alias(f"x{i}") for i, (n, col) in enumerate(zip(ready, columns))]).first()
+            summaries |= {n: found[f"x{i}"] for i, n in enumerate(ready)}
+            left = [n for n in left if n not in summaries]
         return df.withColumns(dict(zip(outputs, self.lower(list(outputs.values()), params, summaries=summaries))))
 
+    def _summary(self, n: str, col: Column) -> Column:
+        if self.components[n].definition == "mean":
+            return F.avg(col)
+        return F.when(F.count(col) > 1, F.stddev_samp(col)).otherwise(F.lit(1.0))
+
     # -- files
     def to_dict(self) -> dict:
         comps = []

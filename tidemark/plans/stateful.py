@@ -266,11 +266,10 @@ class _Run:
             self.kept.add(f"{n}::out")
             return
         if c.definition in ("mean", "std"):
-            x = self.read(c.inputs["a"])
+            self.read(c.inputs["a"])
             self._restart(self._cut())
-            f = F.avg if c.definition == "mean" else (lambda v: F.when(F.count(v) > 1, F.stddev_samp(v)).otherwise(F.lit(1.0)))
             x = F.when(self.wrote(c.inputs["a"].key), self.read(c.inputs["a"]))
-            self.columns[f"{n}::out"] = F.lit(self.stages.df.agg(f(x).alias("x")).first()["x"])
+            self.columns[f"{n}::out"] = F.lit(self.stages.df.agg(graph._summary(n, x).alias("x")).first()["x"])
             self.kept.add(f"{n}::out")
             return
         inputs = self._inputs(c)

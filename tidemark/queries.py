@@ -692,7 +692,12 @@ def grad_linreg(spark, sf_dir):
     return spark.createDataFrame([(round(loss, 4), round(grads["w_a"], 4), round(grads["w_b"], 4))], "loss double, w_a double, w_b double")
 
 
-@query("select 2.0::double as w_a, (-0.4)::double as w_b")
+#: Least squares of the same rows in closed form.
+_LEAST_SQUARES = """rows_of as (select a / 25 as a, b / 5 as b, 2 * (a / 25) - 0.4 * (b / 5) as z from items),
+sums_of as (select sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * z) as az, sum(b * z) as bz from rows_of)"""
+
+
+@query(f"with {_ITEMS}, {_LEAST_SQUARES} select round((az * bb - bz * ab) / (aa * bb - ab * ab), 3) as w_a, round((bz * aa - az * ab) / (aa * bb - ab * ab), 3) as w_b from sums_of")
 def fit_linreg(spark, sf_dir):
     """Recover z = 2 a - 0.4 b by gradient descent, one aggregate an epoch."""
     df = materialize(_items(spark, sf_dir).select((F.col("a") / 25).alias("a"), (F.col("b") / 5).alias("b")), "fit-rows")
