@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,14 +18,14 @@ def static_book_returns(bids: Column, asks: Column, mid: Column, ratios: Sequenc
     """
     out = []
     for ratio in ratios:
-        for scale in scales:
 
-            def fair(b, a, m, scale=None):
-                sides = [[(F.coalesce(F.get(x, F.lit(i))["price"], m), F.coalesce(F.get(x, F.lit(i))["size"], F.lit(0.0))) for i in range(groups)] for x in (b, a)]
-                return book.static_fair(*sides, m, scale, corrected=corrected)
+        def fairs(b, a, m):
+            sides = [[(F.coalesce(F.get(x, F.lit(i))["price"], m), F.coalesce(F.get(x, F.lit(i))["size"], F.lit(0.0))) for i in range(groups)] for x in (b, a)]
+            return F.array(*[book.static_fair(*sides, m, scale, corrected=corrected) for scale in scales])
 
-            value = models.let([book.aggregate_levels(bids, ratio, groups), book.aggregate_levels(asks, ratio, groups), mid], partial(fair, scale=scale))
-            out.append(models.let([value, mid], lambda f, m: N.div(f - m, m)))
+        # Levels are grouped once for each ratio, whatever the number of scales.
+        values = models.let([book.aggregate_levels(bids, ratio, groups), book.aggregate_levels(asks, ratio, groups), mid], fairs)
+        out += [models.let([F.get(values, F.lit(i)), mid], lambda f, m: N.div(f - m, m)) for i in range(len(scales))]
     return out
 
 
