@@ -14,7 +14,8 @@ The store has two parts, both Parquet in the shared folder:
 Whether a chunk occurs again is known from a first pass that moves digests only; the second pass asks a bitmap of
 fixed size, whose false positives merely send a document the second way. Reading joins lists with chunks on the
 digest, once for each distinct list (copies share it), puts the chunks in order, and checks the media's SHA-256
-against the one taken when it was cut. Features are computed from the bytes read.
+against the one taken when it was cut. Features are computed from the bytes read. Chunks that very many lists hold, and
+media that very many documents share, are dealt over several tasks (:func:`tidemark.llm.common.salted_join`).
 
 Defined cases: null text counts as empty (ALIGN zero bytes); rows may repeat; other columns are ignored; an empty
 table gives no rows. Media that can't be restored raise an error, they are never dropped.
@@ -137,10 +138,15 @@ def recipes(docs: DataFrame) -> DataFrame:
     return common.arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_bytes long, media binary, chunks array<binary>")
 
 
-def store(docs: DataFrame, known: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Write the store below ``folder``; returns what is read back: packs (media, parts) and shared chunks (digest, data)."""
+def repeated_chunks(known: DataFrame) -> DataFrame:
+    """digest, n of the chunks that occur more than once."""
+    return common.materialize(known.select(F.explode("chunks").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "chunks-again")
+
+
+def store(docs: DataFrame, again: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Write the store below ``folder``, given the repeated chunks; returns what is read back: packs (media, parts) and
+    shared chunks (digest, data)."""
     spark = docs.sparkSession
-    again = common.materialize(known.select(F.explode("chunks").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "chunks-again")
     bits = common.hash_bitmap(_signed_key(again), "key")
     shared = spark.sparkContext.broadcast(bits)
 
@@ -187,7 +193,7 @@ def _signed_key(rows: DataFrame) -> DataFrame:
     return common.arrow_map(rows.select("digest"), make, "key long")
 
 
-def restore(known: DataFrame, packs: DataFrame, shared: DataFrame) -> DataFrame:
+def restore(known: DataFrame, again: DataFrame, packs: DataFrame, shared: DataFrame) -> DataFrame:
     """media and features of every distinct media, from the stored bytes."""
 
     def of_packs():
@@ -208,7 +214,9 @@ def restore(known: DataFrame, packs: DataFrame, shared: DataFrame) -> DataFrame:
 
     own = common.arrow_map(packs, of_packs, "media binary, " + _FEATURES)
     lists = known.groupBy("media").agg(F.first("chunks").alias("chunks")).join(packs.select("media"), "media", "left_anti")
-    joined = lists.select("media", F.posexplode("chunks").alias("pos", "digest")).join(shared, "digest", "left")
+    total = known.agg(F.sum(F.size("chunks"))).first()[0] or 0
+    listed = lists.select("media", F.posexplode("chunks").alias("pos", "digest"))
+    joined = common.salted_join(listed, shared, ["digest"], common.hot_keys(again, total), F.xxhash64("media", "pos"), "left")
     ordered = joined.groupBy("media").agg(F.collect_list(F.struct("pos", "data")).alias("parts"))
     return own.unionByName(common.arrow_map(ordered, of_lists, "media binary, " + _FEATURES))
 
@@ -223,7 +231,11 @@ def _checked(names: list[bytes], medias: list[bytes]) -> list[list]:
 def round_trip(docs: DataFrame, folder: str) -> DataFrame:
     """Store every text as media below ``folder`` and describe what is read back, one row for each document."""
     known = common.materialize(recipes(docs), "recipes")
-    packs, shared = store(docs, known, folder)
+    again = repeated_chunks(known)
+    packs, shared = store(docs, again, folder)
     # A false positive of the bitmap sends copies of a text one way, so a pack's media occurs once.
-    features = restore(known, packs, shared)
-    return known.select("doc_id", "n_bytes", "media").join(features, "media", "left").select("doc_id", "n_bytes", *[c.split()[0] for c in _FEATURES.split(", ")])
+    features = restore(known, again, packs, shared)
+    copied = common.hot_keys(known.groupBy("media").agg(F.count("*").alias("n")), known.count())
+    # Rows are numbered as they are read, so copies with one id, or none, are spread too.
+    both = common.salted_join(known.select("doc_id", "n_bytes", "media"), features, ["media"], copied, F.monotonically_increasing_id(), "left")
+    return both.select("doc_id", "n_bytes", *[c.split()[0] for c in _FEATURES.split(", ")])

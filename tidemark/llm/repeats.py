@@ -19,9 +19,10 @@ make a fragment: their starts are its own, and its bytes reach to the end of the
    fragments' windows are counted by an aggregate instead, which has the same result.
 
 Texts are keyed by their MD5, so copies share their spans. Within a task the third and later copies of a text or
-fragment add nothing to "occurs twice" and are left out before the shuffle; fragments that very many texts share
-meet their spans in SALTS parts. Only texts that lose bytes or hold a
-passage (a bitmap of their keys tells them, false positives included) are shuffled to meet their spans.
+fragment add nothing to "occurs twice" and are left out before the shuffle. Only texts that lose bytes or hold a
+passage (a bitmap of their keys tells them, false positives included) are shuffled to meet their spans. Fragments that
+very many texts share, windows that very many fragments share and texts with very many copies are dealt over several
+tasks there (:func:`tidemark.llm.common.salted_join`).
 
 Fragments are told apart by a 64-bit digest within an anchor's 64-bit hash.
 
@@ -47,8 +48,6 @@ LENGTH = 400
 PASSAGE, WORDS, ANCHOR = 288, 50, 40
 #: Distinct fragments of an anchor that are compared in one task, and bytes put into one transform.
 MOST_FRAGMENTS, BATCH_BYTES = 4000, 3 << 19
-#: A fragment that occurs this often, and in more than one of MOST_HOT rows, is joined in SALTS parts.
-HOT, MOST_HOT, SALTS = 5000, 100_000, 64
 #: Bytes hashed at once (places must fit beside 43 bits of hash).
 BLOCK = 1 << 19
 #: Texts and fragments a task remembers in order to leave out repeated ones.
@@ -278,7 +277,10 @@ def _by_counting(parts: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     listed = common.arrow_map(parts.where("hot").select("anchor", "frag", "n", "full", "part"), make, "anchor long, frag long, windows array<struct<removed:boolean,start:int,w:binary>>").dropDuplicates(["anchor", "frag"])
     windows = listed.select("anchor", "frag", F.explode("windows").alias("x")).select("anchor", "frag", "x.removed", "x.start", "x.w")
     twice = windows.groupBy("anchor", "removed", "w").agg(F.count("*").alias("n")).where("n > 1")
-    return windows.join(twice, ["anchor", "removed", "w"]).select("anchor", "frag", "removed", "start", (F.col("start") + 1).alias("stop"))
+    key = ["anchor", "removed", "w"]
+    total = parts.where("hot").agg(F.sum(F.col("n").cast("long") + F.col("full"))).first()[0] or 0
+    again = common.salted_join(windows, twice.select(*key), key, common.hot_keys(twice, total), F.xxhash64("frag", "start"))
+    return again.select("anchor", "frag", "removed", "start", (F.col("start") + 1).alias("stop"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor: int = ANCHOR, most: int = MOST_FRAGMENTS) -> DataFrame:
@@ -302,19 +304,21 @@ def spans(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor:
         found = found.unionByName(_by_transform(parts, lengths))
     ranges = found.groupBy("anchor", "frag").agg(F.collect_list(F.struct("removed", "start", "stop")).alias("ranges"))
     moved = F.transform("ranges", lambda r: F.struct(r["removed"].alias("removed"), (F.col("first") + r["start"]).alias("start"), (F.col("first") + r["stop"]).alias("stop")))
-    # MOST_HOT rows at most, which every executor gets.
     total = counted.agg(F.sum("c").alias("n")).first()["n"] or 0
-    hot_frags = F.broadcast(counted.where(F.col("c") > max(HOT, total // MOST_HOT)).select("anchor", "frag", F.lit(True).alias("is_hot")))
     key = ["anchor", "frag"]
-    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("tkey", "first"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = each.select("tkey", "first", *key).join(hot_frags, key, "left").select("tkey", "first", *key, salt.alias("salt"))
-    ranges = ranges.join(hot_frags, key, "left").select(*key, "ranges", F.explode(salts).alias("salt"))
-    hits = dealt.join(ranges, [*key, "salt"]).select("tkey", "first", moved.alias("r"))
+    hits = common.salted_join(each.select("tkey", "first", *key), ranges, key, common.hot_keys(counted, total, "c"), F.xxhash64("tkey", "first"))
+    hits = hits.select("tkey", "first", moved.alias("r"))
     # Copies of a text come from many tasks: one of each fragment is kept before a text's fragments are put together.
     return hits.groupBy("tkey", "first").agg(F.first("r").alias("r")).groupBy("tkey").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
 
+def _copied(docs: DataFrame, passage: int) -> DataFrame:
+    """tkey of the texts with so many copies that they are dealt over several tasks, found by digests alone."""
+    raw = F.col("text").cast("binary")
+    counts = docs.where(F.octet_length(raw) >= passage).groupBy(F.unhex(F.md5(raw)).alias("tkey")).agg(F.count("*").alias("n"))
+    return common.materialize(common.hot_keys(counts, docs.count()).select("tkey"), "copied")
+
+
 def removed(starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal byte runs covered by windows whose starts lie in the given ranges."""
     out: list[list[int]] = []
@@ -376,7 +380,9 @@ def remove(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor
     zero = F.lit(0).cast("long")
     kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     whole = both.mapInArrow(untouched, both.schema).select("doc_id", F.octet_length(kept).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), kept.alias("kept"), zero.alias("n_passages"))
-    held = both.mapInArrow(touched, f"doc_id {kind}, text string, tkey binary").join(found, "tkey", "left").select("doc_id", "text", "spans")
+    held = both.mapInArrow(touched, f"doc_id {kind}, text string, tkey binary")
+    # Rows are numbered as they are read, so copies with one id, or none, are spread too.
+    held = common.salted_join(held, found, ["tkey"], _copied(docs, passage), F.monotonically_increasing_id(), "left").select("doc_id", "text", "spans")
     return whole.unionByName(common.arrow_map(held, cut, schema))
 
 
