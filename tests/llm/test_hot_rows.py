@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, media, repeats
+from tidemark.llm import common, media, repeats, simhash
+from tidemark.llm.components import components
 
 
 @pytest.fixture
@@ -82,3 +84,20 @@ def brute_kept(texts, size):
             if seen[raw[at : at + size]] > 1:
                 gone.update(range(at, at + size))
         yield bytes(b for k, b in enumerate(raw) if k not in gone)
+
+
+def test_components_of_large_stars(spark, low):
+    r = random.Random(3)
+    edges = [(0, k) for k in range(10, 60)] + [(k, 100) for k in range(40, 70)] + [(200, k) for k in range(201, 240)] + [(300, 301)]
+    edges = [(a, b) if r.random() < 0.5 else (b, a) for a, b in edges]
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 0 if n <= 100 else 200 if n < 300 else 300 for edge in edges for n in edge}
+
+
+def test_near_duplicates_of_many_copies(spark, low):
+    texts = ["one two three four five six"] * 30 + [""] * 20 + [None] * 5 + ["quite another text of some words here"]
+    docs = spark.createDataFrame([(None if k == 40 else k % 50, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    # Rows 50 to 55 have the ids 0 to 5 again: nulls are like empty texts, so both are named 0.
+    same = simhash.near_duplicates(docs).groupBy("fp").agg(F.count("*").alias("n"), F.countDistinct("component_id").alias("c"), F.min("component_id").alias("least"))
+    assert sorted(tuple(x)[1:] for x in same.collect()) == [(1, 1, 5), (25, 1, 0), (30, 1, 0)]
+    assert Counter(x["component_id"] for x in simhash.similar(docs).collect()) == {0: 55, 5: 1}

@@ -1,4 +1,7 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components by alternating large-star and small-star rounds.
+
+The centre of a star meets its neighbours in several tasks where it has very many (:func:`tidemark.llm.common.salted_join`).
+"""
 
 from __future__ import annotations
 
@@ -12,18 +15,23 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _meet(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """a, b, m: each edge with the m of its a; ``least`` has a, m and n, the number of edges."""
+    return common.salted_join(edges, least.select("a", "m"), ["a"], common.hot_keys(least, total), F.xxhash64("b"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours go to the least of it and its neighbours."""
     both = _both_ways(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return _meet(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours go to the least of those."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _meet(down, least, total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -38,7 +46,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not seen["n"]:
             break
-        edges = common.materialize(_small_star(_large_star(edges)), "edges")
+        total = 2 * seen["n"]  # a star step has at most an edge for each direction
+        edges = common.materialize(_small_star(_large_star(edges, total), total), "edges")
         now = mark(edges)
         if (now["n"], now["x"]) == (seen["n"], seen["x"]):
             break

@@ -316,12 +316,16 @@ def _views(docs: DataFrame) -> DataFrame:
     return common.arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, digest binary, fps array<bigint>, sketch binary")
 
 
-def _same_fingerprint(rows: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of members to the least member of their fingerprint, if they may be like it, and the members that surely are."""
-    first = rows.groupBy("fp").agg(F.min("member").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
-    pairs = rows.join(first, "fp").where("member <> first").select("first", "member")
+def _same_fingerprint(rows: DataFrame, sketches: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Links of members to the least member of their fingerprint, if they may be like it, and the members that surely are.
+
+    A fingerprint's sketch goes to its members with it, in several tasks where very many of ``total`` have it.
+    """
     mark = lambda name: sketches.select(F.col("member").alias(name), F.col("sketch").alias(f"{name}_sketch"))
-    both = pairs.join(mark("first"), "first").join(mark("member"), "member")
+    first = rows.groupBy("fp").agg(F.min("member").alias("first"), F.count("*").alias("n")).where("n > 1")
+    given = first.select("fp", "first").join(mark("first"), "first")
+    pairs = common.salted_join(rows, given, ["fp"], common.hot_keys(first, total), F.xxhash64("member"))
+    both = pairs.where("member <> first").join(mark("member"), "member")
 
     def make():
         def f(a, b, x, y):
@@ -359,13 +363,13 @@ def similar(docs: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
     """doc_id, component_id (least doc_id reachable over links) of every row of ``docs``: links join equal texts and
     texts that share SIMILAR of their five-word shingles, as far as a view brings them within DISTANCE."""
     seen = common.materialize(_views(docs), "simhash-views")
-    texts = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
+    texts = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
     texts = common.materialize(texts.withColumn("member", F.monotonically_increasing_id()), "simhash-texts")
     sketches = texts.select("member", "sketch")
-    edges = None
+    edges, total = None, texts.count()
     for view in range(VIEWS):
         rows = texts.select(F.col("fps")[view].alias("fp"), "member")
-        same, represented = _same_fingerprint(rows, sketches)
+        same, represented = _same_fingerprint(rows, sketches, total)
         rows = rows.join(represented, "member", "left_anti")
         near = _search(rows, lambda found: _compare(found.join(sketches, "member")), most, lambda found: _compare(_banded(found.join(sketches, "member"))))
         for part in (same, near):
@@ -375,17 +379,21 @@ def similar(docs: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
     member = components(edges.where("sure").select("a", "b").unionByName(_verified(edges.where("not sure").select("a", "b"), texts, docs)))
     named = texts.join(member, texts["member"] == member["node"], "left").select("digest", "least", F.coalesce("component", "member").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return seen.select("doc_id", "digest").join(named.join(least, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    copied = common.hot_keys(texts, seen.count())
+    # Rows are numbered as they are read, so copies with one id, or none, are spread too.
+    each = common.salted_join(seen.select("doc_id", "digest"), named.join(least, "component").select("digest", "component_id"), ["digest"], copied, F.monotonically_increasing_id())
+    return each.select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_COMPARED) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable over links) of every row of ``docs``."""
     fps = common.materialize(fingerprints(docs, shingle), "simhash")
-    classes = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     member = components(links(classes.select("fp"), most))
     named = classes.join(member, classes["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    each = common.salted_join(fps, named.join(least, "component").select("fp", "component_id"), ["fp"], common.hot_keys(classes, fps.count()), F.monotonically_increasing_id())
+    return each.select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
