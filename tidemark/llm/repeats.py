@@ -21,8 +21,8 @@ make a fragment: their starts are its own, and its bytes reach to the end of the
 Texts are keyed by their MD5, so copies share their spans. Within a task the third and later copies of a text or
 fragment add nothing to "occurs twice" and are left out before the shuffle. Only texts that lose bytes or hold a
 passage (a bitmap of their keys tells them, false positives included) are shuffled to meet their spans. Fragments that
-very many texts share, windows that very many fragments share and texts with very many copies are dealt over several
-tasks there (:func:`tidemark.llm.common.salted_join`).
+very many texts share and texts with very many copies are dealt over several tasks there
+(:func:`tidemark.llm.common.salted_join`); windows that very many fragments share are left to Spark's skewed joins.
 
 Fragments are told apart by a 64-bit digest within an anchor's 64-bit hash.
 
@@ -277,10 +277,7 @@ def _by_counting(parts: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     listed = common.arrow_map(parts.where("hot").select("anchor", "frag", "n", "full", "part"), make, "anchor long, frag long, windows array<struct<removed:boolean,start:int,w:binary>>").dropDuplicates(["anchor", "frag"])
     windows = listed.select("anchor", "frag", F.explode("windows").alias("x")).select("anchor", "frag", "x.removed", "x.start", "x.w")
     twice = windows.groupBy("anchor", "removed", "w").agg(F.count("*").alias("n")).where("n > 1")
-    key = ["anchor", "removed", "w"]
-    total = parts.where("hot").agg(F.sum(F.col("n").cast("long") + F.col("full"))).first()[0] or 0
-    again = common.salted_join(windows, twice.select(*key), key, common.hot_keys(twice, total), F.xxhash64("frag", "start"))
-    return again.select("anchor", "frag", "removed", "start", (F.col("start") + 1).alias("stop"))
+    return windows.join(twice, ["anchor", "removed", "w"]).select("anchor", "frag", "removed", "start", (F.col("start") + 1).alias("stop"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor: int = ANCHOR, most: int = MOST_FRAGMENTS) -> DataFrame:
