@@ -54,12 +54,13 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     h = PACKED
     while len(slots):
         at, high = _sorted(group * width + rank[at + h], at, n)
-        new = high[1:] != high[:-1]
-        starts = np.flatnonzero(np.concatenate([[True], new]))
-        sizes = np.diff(np.concatenate([starts, [len(at)]]))
-        group = np.repeat(slots[starts], sizes)
+        new = np.empty(len(at) + 1, bool)
+        new[0] = new[-1] = True
+        np.not_equal(high[1:], high[:-1], out=new[1:-1])
+        starts = np.flatnonzero(new)
+        group = np.repeat(slots[starts[:-1]], np.diff(starts))
         rank[at] = group
-        more = np.repeat(sizes > 1, sizes)
+        more = np.flatnonzero(~(new[1:] & new[:-1]))
         at, group, slots = at[more], group[more], slots[more]
         h *= 2
     order[rank] = np.arange(n)
@@ -91,12 +92,12 @@ def repeated_at(pieces: list[bytes], thresholds: list[int], own: list[int] | Non
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     before = order - 1  # of the first suffix: the last separator, which never extends
-    letters = symbols[before]
+    letters = symbols[before].astype(np.int16)
     back = rank[before]
     del rank, left, is_end
     # Two separators in a row don't make a run that extends, so they may count as one.
     new_run = np.concatenate([[True], letters[1:] != letters[:-1]])
-    run_of = np.cumsum(new_run) - 1
+    run_of = np.cumsum(new_run, dtype=np.int32) - np.int32(1)
     run_start = np.flatnonzero(new_run)
     run_end = np.concatenate([run_start[1:], [n]])
     unset = np.ones(n + 1, bool)

@@ -47,9 +47,9 @@ LENGTH = 400
 #: Bytes of the windows that passages are made of, and words of a passage; bytes of an anchor.
 PASSAGE, WORDS, ANCHOR = 288, 50, 40
 #: Distinct fragments of an anchor that are compared in one task, and bytes put into one transform.
-MOST_FRAGMENTS, BATCH_BYTES = 4000, 3 << 19
-#: Bytes hashed at once (places must fit beside 43 bits of hash).
-BLOCK = 1 << 19
+MOST_FRAGMENTS, BATCH_BYTES = 4000, 1 << 18
+#: Bytes hashed at once, few enough for a core's cache (places must fit beside 43 bits of hash).
+BLOCK = 1 << 16
 #: Texts and fragments a task remembers in order to leave out repeated ones.
 REMEMBER = 200_000
 
