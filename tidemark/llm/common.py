@@ -83,24 +83,29 @@ def batch_map(df: DataFrame, make: Callable[[], Callable]) -> DataFrame:
 HOT, MOST_HOT, SALTS = 5000, 100_000, 64
 
 
+def is_hot(total: int, n: str = "n") -> F.Column:
+    """Whether ``n`` is over HOT and over one of MOST_HOT of ``total``, the sum of all ``n`` or more."""
+    return F.col(n) > max(HOT, total // MOST_HOT)
+
+
 def hot_keys(counts: DataFrame, total: int, n: str = "n") -> DataFrame:
-    """The rows of ``counts`` whose ``n`` is over HOT and over one of MOST_HOT of ``total``, the sum of all ``n`` or more:
-    fewer than MOST_HOT rows, which may be broadcast."""
-    return counts.where(F.col(n) > max(HOT, total // MOST_HOT))
+    """The rows of ``counts`` with :func:`is_hot`: fewer than MOST_HOT, which may be broadcast."""
+    return counts.where(is_hot(total, n))
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread, how: str = "inner", known=None) -> DataFrame:
     """``many`` joined with ``few``, which has each key once or a few times.
 
     The rows of ``many`` with a key of ``hot`` (of :func:`hot_keys`) are dealt over SALTS tasks by the LONG ``spread``,
     and those of ``few`` go to each of these. ``spread`` must be the same when a task is run again: a hash of columns, or
     row numbers of a frame read from files. Null keys meet nothing, and neither side may have columns _hot or _salt.
+    ``known`` is a condition that holds for the rows of ``few`` with a key of ``hot``, where its columns tell.
     """
     marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(F.col("_hot") if known is None else known, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     dealt = many.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
-    given = few.join(marked, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    given = (few.join(marked, keys, "left") if known is None else few).withColumn("_salt", F.explode(salts)).drop("_hot")
     return dealt.join(given, [*keys, "_salt"], how).drop("_salt")
 
 

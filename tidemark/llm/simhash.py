@@ -323,8 +323,8 @@ def _same_fingerprint(rows: DataFrame, sketches: DataFrame, total: int) -> tuple
     """
     mark = lambda name: sketches.select(F.col("member").alias(name), F.col("sketch").alias(f"{name}_sketch"))
     first = rows.groupBy("fp").agg(F.min("member").alias("first"), F.count("*").alias("n")).where("n > 1")
-    given = first.select("fp", "first").join(mark("first"), "first")
-    pairs = common.salted_join(rows, given, ["fp"], common.hot_keys(first, total), F.xxhash64("member"))
+    given = first.join(mark("first"), "first")
+    pairs = common.salted_join(rows, given, ["fp"], common.hot_keys(first, total), F.xxhash64("member"), known=common.is_hot(total))
     both = pairs.where("member <> first").join(mark("member"), "member")
 
     def make():
