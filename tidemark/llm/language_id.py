@@ -142,8 +142,11 @@ def train(docs: DataFrame, may_train: Column, sample: int = SAMPLE) -> Model:
     once = common.arrow_map(chosen, make, "rank long, y int, x binary").groupBy("y", "rank").agg(F.min("x").alias("x"))
     place = F.row_number().over(Window.partitionBy("y").orderBy("rank"))
     got = once.withColumn("place", place).where(F.col("place") <= 2 * share).orderBy("y", "rank").select("y", "x").toArrow()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), "<f2").reshape(got.num_rows, 1 << FEATURES_LOG2).astype(np.float32)
-    return Model(languages, x, got["y"].to_numpy().astype(np.int64))
+    x, y = np.empty((got.num_rows, 1 << FEATURES_LOG2), np.float32), got["y"].to_numpy().astype(np.int64)
+    for i, v in enumerate(got["x"]):
+        x[i] = np.frombuffer(v.as_buffer(), "<f2")
+    del got
+    return Model(languages, x, y)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
