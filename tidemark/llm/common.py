@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.sources.scratch import materialize, new_folder  # noqa: F401
+from tidemark.sources.scratch import materialize, new_folder, scope  # noqa: F401
 
 #: Rows and payload bytes handed to a Python function at once.
 SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20

@@ -390,17 +390,20 @@ def _sets(members: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     return common.materialize(common.arrow_map(named, make, "member long, held array<bigint>").groupBy("member").agg(F.first("held").alias("held")), "simhash-shingles")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): the pairs whose texts share SIMILAR of their shingles, written to the shared folder."""
-    pairs = common.materialize(pairs.select("a", "b"), "simhash-pairs")
-    total = pairs.count()
-    side = lambda name: sets.select(F.col("member").alias(name), F.col("held").alias(f"{name}_held"))
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    given = counts.join(side("a"), "a")
-    both = common.salted_join(pairs.join(side("b"), "b"), given, ["a"], common.hot_keys(counts, total), F.xxhash64("b"), known=common.is_hot(total))
-    shared = F.size(F.array_intersect("a_held", "b_held"))
-    # 4/5 of those of either: the sum of sizes counts the shared ones twice.
-    return common.materialize(both.where(9 * shared >= 4 * (F.size("a_held") + F.size("b_held"))).select("a", "b"), "simhash-alike")
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): the pairs whose texts share SIMILAR of their shingles, written to the shared folder. Shingles are kept of
+    the texts of these pairs only, not of all that may be in one: there they take more than the texts themselves."""
+    with common.scope(docs.sparkSession) as keep:
+        pairs = common.materialize(pairs.select("a", "b"), "simhash-pairs")
+        sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("member")), texts, docs)
+        total = pairs.count()
+        side = lambda name: sets.select(F.col("member").alias(name), F.col("held").alias(f"{name}_held"))
+        counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        given = counts.join(side("a"), "a")
+        both = common.salted_join(pairs.join(side("b"), "b"), given, ["a"], common.hot_keys(counts, total), F.xxhash64("b"), known=common.is_hot(total))
+        shared = F.size(F.array_intersect("a_held", "b_held"))
+        # 4/5 of those of either: the sum of sizes counts the shared ones twice.
+        return keep(both.where(9 * shared >= 4 * (F.size("a_held") + F.size("b_held"))).select("a", "b"), "simhash-alike")
 
 
 def _shared_first(texts: DataFrame) -> DataFrame:
@@ -433,24 +436,29 @@ def _unjoined(shared: DataFrame, joined: DataFrame, most: int) -> DataFrame:
 def similar(docs: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
     """doc_id, component_id (least doc_id reachable over links) of every row of ``docs``: links join equal texts, texts
     without words, and all texts that share SIMILAR of their five-word shingles."""
-    seen = common.materialize(_views(docs), "simhash-views")
-    texts = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fps", "sketch", "size", "first")])
-    texts = common.materialize(texts.withColumn("member", F.monotonically_increasing_id()), "simhash-texts")
-    sketches, total = texts.select("member", "sketch"), texts.count()
-    rows = texts.select(F.col("fps")[0].alias("fp"), "member")
-    edges, represented = _same_fingerprint(rows, sketches, total)
-    near = _search(rows.join(represented, "member", "left_anti"), lambda found: _compare(found.join(sketches, "member")), most, lambda found: _compare(_banded(found.join(sketches, "member"))))
-    edges = common.materialize((edges if near is None else edges.unionByName(near)).select("a", "b").distinct(), "simhash-links")
-    shared = common.materialize(_shared_first(texts), "simhash-first")
-    sets = _sets(edges.select(F.explode(F.array("a", "b")).alias("member")).unionByName(shared.select("member")), texts, docs)
-    found = _verified(edges, sets)
+    spark = docs.sparkSession
+    # Views and sketches are as large as half the texts: they go once the tables that follow from them are there.
+    with common.scope(spark) as keep:
+        with common.scope(spark) as hold:
+            seen = common.materialize(_views(docs), "simhash-views")
+            each = keep(seen.select("doc_id", "digest"), "simhash-rows")
+            marked = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fps", "sketch", "size", "first")])
+            marked = hold(marked.withColumn("member", F.monotonically_increasing_id()), "simhash-marked")
+        texts = keep(marked.select("member", "digest", "least", "n"), "simhash-texts")
+        sketches, total = marked.select("member", "sketch"), texts.count()
+        rows = marked.select(F.col("fps")[0].alias("fp"), "member")
+        edges, represented = _same_fingerprint(rows, sketches, total)
+        near = _search(rows.join(represented, "member", "left_anti"), lambda found: _compare(found.join(sketches, "member")), most, lambda found: _compare(_banded(found.join(sketches, "member"))))
+        edges = keep((edges if near is None else edges.unionByName(near)).select("a", "b").distinct(), "simhash-links")
+        shared = keep(_shared_first(marked), "simhash-first")
+    found = _verified(edges, texts, docs)
     joined = common.materialize(components(found), "simhash-joined")
-    member = components(found.unionByName(_verified(_unjoined(shared, joined, most), sets)))
+    member = components(found.unionByName(_verified(_unjoined(shared, joined, most), texts, docs)))
     named = texts.join(member, texts["member"] == member["node"], "left").select("digest", "least", F.coalesce("component", "member").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    copied = common.hot_keys(texts, seen.count())
+    copied = common.hot_keys(texts, each.count())
     # Rows are numbered as they are read, so copies with one id, or none, are spread too.
-    each = common.salted_join(seen.select("doc_id", "digest"), named.join(least, "component").select("digest", "component_id"), ["digest"], copied, F.monotonically_increasing_id())
+    each = common.salted_join(each, named.join(least, "component").select("digest", "component_id"), ["digest"], copied, F.monotonically_increasing_id())
     return each.select("doc_id", "component_id")
 
 

@@ -40,12 +40,20 @@ def release(spark: SparkSession, since: int = 0) -> None:
 
 @contextmanager
 def scope(spark: SparkSession):
-    """Deletes the scratch tables that are written within it, and only those, when it is left."""
-    since = len(_made)
+    """Deletes the scratch tables that are written within it, and only those, when it is left. It gives a function like
+    :func:`materialize` for tables that stay; these belong to the scope around it."""
+    since, stay = len(_made), []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = materialize(df, label)
+        stay.append(_made.pop())
+        return out
+
     try:
-        yield
+        yield keep
     finally:
         release(spark, since)
+        _made.extend(stay)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
