@@ -93,14 +93,22 @@ def hot_keys(counts: DataFrame, total: int, n: str = "n") -> DataFrame:
     return counts.where(is_hot(total, n))
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread, how: str = "inner", known=None) -> DataFrame:
+def any_hot(counts: DataFrame, total: int, n: str = "n") -> DataFrame | None:
+    """:func:`hot_keys`, or None where ``total`` is too small for any: then joins are plain, which spares the driver plans."""
+    return hot_keys(counts, total, n) if total > HOT else None
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame | None, spread, how: str = "inner", known=None) -> DataFrame:
     """``many`` joined with ``few``, which has each key once or a few times.
 
     The rows of ``many`` with a key of ``hot`` (of :func:`hot_keys`) are dealt over SALTS tasks by the LONG ``spread``,
-    and those of ``few`` go to each of these. ``spread`` must be the same when a task is run again: a hash of columns, or
-    row numbers of a frame read from files. Null keys meet nothing, and neither side may have columns _hot or _salt.
+    and those of ``few`` go to each of these; without ``hot`` the join is plain. ``spread`` must be the same when a task is
+    run again: a hash of columns, or row numbers of a frame read from files. Null keys meet nothing, and neither side may
+    have columns _hot or _salt.
     ``known`` is a condition that holds for the rows of ``few`` with a key of ``hot``, where its columns tell.
     """
+    if hot is None:
+        return many.join(few, keys, how)
     marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     salts = F.when(F.col("_hot") if known is None else known, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

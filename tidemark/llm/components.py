@@ -17,7 +17,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _meet(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """a, b, m: each edge with the m of its a; ``least`` has a, m and n, the number of edges."""
-    return common.salted_join(edges, least.select("a", "m", "n"), ["a"], common.hot_keys(least, total), F.xxhash64("b"), known=common.is_hot(total))
+    hot = common.hot_keys(least, total) if total > 2 * common.HOT else None  # a node has half of these at most
+    return common.salted_join(edges, least.select("a", "m", "n"), ["a"], hot, F.xxhash64("b"), known=common.is_hot(total))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

@@ -20,10 +20,12 @@ least hash of the shingles in each of 256 ranges, by which the common share is e
 are compared with the least of them first. These links only join most copies cheaply; each is verified by the shingles
 themselves, and what this step leaves out is found by the next.
 
-That is exact: all texts' shingles are put into one order, frequent ones last. Of two texts alike by SIMILAR, the first
-``size // 5 + 1`` shingles of each have one in common, so texts that share none need no look. Pairs of texts that
-aren't joined yet are made from each shared one, in tiles of a bounded number of texts where very many share it, left
-out only if the number of shared ones rules them out, and verified.
+That is exact: all texts' shingles are put into one order, rare ones first, by the number of texts that hold each. Of two
+texts alike by SIMILAR, the first ``size // 5 + 1`` shingles of each have one in common, so texts that share none need no
+look. Texts next to each other in size that share one are verified along with the first links. Of texts that aren't joined
+then, all pairs are made from each shared one, in tiles of a bounded number of texts where very many share it, left out
+only if the places of the shared one rule them out, and verified. As what a changed copy doesn't share with others comes
+first in it, hardly any texts meet that are neither alike nor joined, however many copies a text has.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; rows may repeat and doc_id may
 be null (a null is never the least of a component unless all are); other columns are ignored; an empty table
@@ -53,8 +55,11 @@ MOST_COMPARED = 2048
 #: Ranges of a sketch that members of a crowded key must have in common in some place to be compared.
 BAND = 8
 #: Texts by which frequent shingles are known, about; the least share of all texts that is read for it, one in; how many
-#: of these texts such a shingle is in; how many are told apart at most. All this only sets an order.
+#: of these texts such a shingle is in; how many are told apart at most. These aren't counted one by one. All this only
+#: sets an order.
 ORDER_TEXTS, ORDER_SHARE, ORDER_LEAST, ORDER_MOST = 10_000, 64, 4, 100_000
+#: Bits of a shingle that order goes by: two shingles taken for one only make a place smaller, which rules out less.
+ORDER_BITS = 40
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -285,10 +290,19 @@ class Views:
         words = common.utf8(text).lower().split()
         return np.unique(_shingles(np.array(self._hashes(words), np.uint64)).view(np.int64)) if words else np.zeros(0, np.int64)
 
+    def keys(self, text: str | None) -> tuple[np.ndarray, int]:
+        """The first ORDER_BITS of the distinct shingles, each once; how many shingles there are."""
+        held = self.shingles(text)
+        return np.unique(held.view(np.uint64) >> np.uint64(64 - ORDER_BITS)).view(np.int64), len(held)
+
     def __call__(self, text: str | None) -> tuple[list[int], bytes]:
+        return self.sized(text)[:2]
+
+    def sized(self, text: str | None) -> tuple[list[int], bytes, int]:
+        """The number of distinct shingles besides."""
         words = common.utf8(text).lower().split()
         if not words:
-            return [0] * VIEWS, bytes(RANGES)
+            return [0] * VIEWS, bytes(RANGES), 0
         hashes = np.array(self._hashes(words), np.uint64)
         each, counts = np.unique(hashes, return_counts=True)
         weights = np.sqrt(counts).astype(np.float32)
@@ -303,52 +317,60 @@ class Views:
         first = np.searchsorted(shingles, np.arange(RANGES, dtype=np.uint64) << np.uint64(56))
         least = shingles[np.minimum(first, n - 1)]
         filled = (first < n) & (least >> np.uint64(56) == np.arange(RANGES, dtype=np.uint64))
-        return fps.tolist(), np.where(filled, 1 + (least & np.uint64(0xFFFFFF)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+        size = 1 + int((shingles[1:] != shingles[:-1]).sum())
+        return fps.tolist(), np.where(filled, 1 + (least & np.uint64(0xFFFFFF)) % np.uint64(255), 0).astype(np.uint8).tobytes(), size
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that very many texts hold, by a sample of the texts, ascending, and how many of the sample hold them."""
+    """Keys that very many texts hold, by a sample of the texts, ascending, and how many of the sample hold them."""
     part = max(1, min(ORDER_SHARE, docs.count() // ORDER_TEXTS))
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text")
 
     def make():
         view = Views()
-        return lambda texts: [[view.shingles(t) for t in texts]]
+        return lambda texts: [[view.keys(t)[0] for t in texts]]
+
+    held = common.arrow_map(chosen, make, "held array<bigint>").select(F.explode("held").alias("key"))
+    most = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "key").limit(ORDER_MOST).toArrow()
+    keys, n = most["key"].to_numpy(), most["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
-    held = common.arrow_map(chosen, make, "held array<bigint>").select(F.explode("held").alias("shingle"))
-    most = held.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "shingle").limit(ORDER_MOST).toArrow()
-    shingles, n = most["shingle"].to_numpy(), most["n"].to_numpy()
-    order = np.argsort(shingles)
-    return shingles[order], n[order]
 
+def _parted(keys: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that aren't frequent, and the others in their order."""
+    if not len(frequent) or not len(keys):
+        return keys, keys[:0]
+    place = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+    known = frequent[place] == keys
+    late, weight = keys[known], counts[place[known]]
+    return keys[~known], late[np.lexsort((late, weight))]
 
-def _first(held: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a text: a text alike by SIMILAR has one of its own first ones among them."""
-    weight = np.zeros(len(held), np.int64)
-    if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, held), len(frequent) - 1)
-        weight = np.where(frequent[place] == held, counts[place], 0)
-    return held[np.lexsort((held, weight))[: len(held) // 5 + 1]]
+
+def _digest(text: str | None) -> bytes:
+    """Texts without words have the empty one's."""
+    data = common.utf8(text)
+    return hashlib.md5(data if data.split() else b"").digest()
 
 
 def _views(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text; texts without words have the empty one's), fps, sketch, size (number of distinct
-    shingles), first (shingles)."""
-    frequent, counts = _frequent(docs)
+    """doc_id, digest (of the text), fps, sketch, size (number of distinct shingles)."""
 
     def make():
         view = Views()
 
         def f(ids, texts):
-            seen = [view(t) for t in texts]
-            held = [view.shingles(t) for t in texts]
-            digests = [hashlib.md5(common.utf8(t) if len(h) else b"").digest() for t, h in zip(texts, held)]
-            return [ids, digests, [fps for fps, _ in seen], [sketch for _, sketch in seen], [len(h) for h in held], [_first(h, frequent, counts) for h in held]]
+            seen = [view.sized(t) for t in texts]
+            return [ids, [_digest(t) for t in texts], [fps for fps, _, _ in seen], [sketch for _, sketch, _ in seen], [size for _, _, size in seen]]
 
         return f
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, digest binary, fps array<bigint>, sketch binary, size long, first array<bigint>")
+    return common.arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, digest binary, fps array<bigint>, sketch binary, size long")
+
+
+def _mark(digest) -> F.Column:
+    return F.xxhash64(digest)
 
 
 def _same_fingerprint(rows: DataFrame, sketches: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
@@ -359,7 +381,7 @@ def _same_fingerprint(rows: DataFrame, sketches: DataFrame, total: int) -> tuple
     mark = lambda name: sketches.select(F.col("member").alias(name), F.col("sketch").alias(f"{name}_sketch"))
     first = rows.groupBy("fp").agg(F.min("member").alias("first"), F.count("*").alias("n")).where("n > 1")
     given = first.join(mark("first"), "first")
-    pairs = common.salted_join(rows, given, ["fp"], common.hot_keys(first, total), F.xxhash64("member"), known=common.is_hot(total))
+    pairs = common.salted_join(rows, given, ["fp"], common.any_hot(first, total), F.xxhash64("member"), known=common.is_hot(total))
     both = pairs.where("member <> first").join(mark("member"), "member")
 
     def make():
@@ -400,37 +422,80 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
         side = lambda name: sets.select(F.col("member").alias(name), F.col("held").alias(f"{name}_held"))
         counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
         given = counts.join(side("a"), "a")
-        both = common.salted_join(pairs.join(side("b"), "b"), given, ["a"], common.hot_keys(counts, total), F.xxhash64("b"), known=common.is_hot(total))
+        both = common.salted_join(pairs.join(side("b"), "b"), given, ["a"], common.any_hot(counts, total), F.xxhash64("b"), known=common.is_hot(total))
         shared = F.size(F.array_intersect("a_held", "b_held"))
         # 4/5 of those of either: the sum of sizes counts the shared ones twice.
         return keep(both.where(9 * shared >= 4 * (F.size("a_held") + F.size("b_held"))).select("a", "b"), "simhash-alike")
 
 
-def _shared_first(texts: DataFrame) -> DataFrame:
-    """key, member, size: the first shingles that several texts have."""
-    each = texts.select("member", "size", F.explode("first").alias("key"))
-    return each.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
+def _shared_first(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, member, size, place: the first shingles of each text, in the order of all, that other texts have too, and how
+    many the text has before. ``texts`` are told apart by 64 bits of their digest here.
+
+    Each row of ``docs`` is a text's, copies too, which count once."""
+    frequent, counts = _frequent(docs)
+
+    def make():
+        view = Views()
+
+        def f(found):
+            digests, plain, late = [], [], []
+            for t in found:
+                keys, size = view.keys(t)
+                some, rest = _parted(keys, frequent, counts)
+                digests.append(_digest(t))
+                plain.append(some)
+                late.append(rest[: max(0, size // 5 + 1 - len(some))])
+            return [digests, plain, late]
+
+        return f
+
+    held = common.arrow_map(docs.select("text"), make, "digest binary, plain array<bigint>, late array<bigint>")
+    # ``at`` is the place of a frequent key, and tells the number of the others under 0.
+    plain = F.transform("plain", lambda k: F.struct(k.alias("key"), (-F.size("plain")).alias("at")))
+    late = F.transform("late", lambda k, i: F.struct(k.alias("key"), (F.size("plain") + i).alias("at")))
+    each = held.select(_mark("digest").alias("mark"), F.explode(F.concat(plain, late)).alias("e")).select("e.key", "e.at", "mark")
+    whole = Window.partitionBy("key")
+    before = F.lag("mark").over(whole.orderBy("mark"))
+    each = each.withColumn("new", (before.isNull() | (before != F.col("mark"))).cast("int"))
+    shared = each.withColumn("n", F.sum("new").over(whole)).where("new = 1 and n > 1")
+    text = Window.partitionBy("mark")
+    own = shared.select("key", "at", "mark", "n").join(texts.select(_mark("digest").alias("mark"), "member", "size"), "mark")
+    others = F.sum(F.when(F.col("at") < 0, 1).otherwise(0)).over(text)
+    rank = F.row_number().over(text.orderBy(F.col("at") >= 0, "n", "key", "member")) - 1
+    placed = own.withColumns({"others": others, "rank": rank}).withColumn("place", F.when(F.col("at") < 0, F.col("rank") - F.col("at") - F.col("others")).otherwise(F.col("at")))
+    return placed.where("5 * place <= size").select("key", "member", "size", F.col("place").cast("long").alias("place"))
+
+
+def _may_be_alike(a: str, b: str) -> str:
+    """Whether texts of columns size_a, place_a and so on may be alike by SIMILAR if this is the first they share: 4/9 of both
+    sizes must be shared, none of it before."""
+    return f"9 * (size_{a} - place_{a}) >= 4 * (size_{a} + size_{b}) and 9 * (size_{b} - place_{b}) >= 4 * (size_{a} + size_{b})"
+
+
+def _neighbours(shared: DataFrame) -> DataFrame:
+    """(a, b): texts next to each other in size among those that share one of their first shingles, if they may be alike."""
+    row = F.struct("member", "size", "place")
+    pairs = shared.select(row.alias("a"), F.lead(row).over(Window.partitionBy("key").orderBy("size", "member")).alias("b")).where("b is not null")
+    flat = pairs.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("member", "size", "place")])
+    return flat.where(_may_be_alike("a", "b")).select(F.col("member_a").alias("a"), F.col("member_b").alias("b"))
 
 
 def _unjoined(shared: DataFrame, joined: DataFrame, most: int) -> DataFrame:
     """(a, b): all pairs of texts in different components of ``joined`` (node, component) that share first shingles, but
-    for those that can't be alike by SIMILAR, given their sizes and the number of these.
+    for those that can't be alike by SIMILAR, given their sizes and the places of these.
 
     The texts of a key are dealt to tiles of about ``most`` by ``most``.
     """
     named = shared.join(joined.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     whole = Window.partitionBy("key")
-    open_ = named.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole), "n": F.count("*").over(whole)}).where("low <> high").select("key", "member", "size", "component", "n")
+    open_ = named.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole), "n": F.count("*").over(whole)}).where("low <> high").select("key", "member", "size", "place", "component", "n")
     open_ = common.materialize(open_, "simhash-open")
     tiles = F.ceil(F.col("n") / F.lit(most)).cast("int")
     own, every = F.pmod(F.xxhash64("member"), tiles).cast("int"), F.explode(F.sequence(F.lit(0), tiles - 1))
-    a = open_.select("key", own.alias("i"), every.alias("j"), F.col("member").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-    b = open_.select("key", own.alias("j"), every.alias("i"), F.col("member").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    met = a.join(b, ["key", "i", "j"]).where("a < b and component_a <> component_b and 5 * size_a >= 4 * size_b and 5 * size_b >= 4 * size_a")
-    pairs = met.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
-    # Up to where the first of one text end, n are shared; of the others no more than that text's rest.
-    rest = lambda size: F.col(size) - F.floor(F.col(size) / 5) - 1
-    return pairs.where(9 * (F.col("n") + F.greatest(rest("size_a"), rest("size_b"))) >= 4 * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    side = lambda x, i, j: open_.select("key", own.alias(i), every.alias(j), F.col("member").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "place", "component")])
+    met = side("a", "i", "j").join(side("b", "j", "i"), ["key", "i", "j"]).where(f"a < b and component_a <> component_b and {_may_be_alike('a', 'b')}")
+    return met.select("a", "b").distinct()
 
 
 def similar(docs: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
@@ -442,21 +507,21 @@ def similar(docs: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
         with common.scope(spark) as hold:
             seen = common.materialize(_views(docs), "simhash-views")
             each = keep(seen.select("doc_id", "digest"), "simhash-rows")
-            marked = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fps", "sketch", "size", "first")])
+            marked = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fps", "sketch", "size")])
             marked = hold(marked.withColumn("member", F.monotonically_increasing_id()), "simhash-marked")
-        texts = keep(marked.select("member", "digest", "least", "n"), "simhash-texts")
+        texts = keep(marked.select("member", "digest", "least", "n", "size"), "simhash-texts")
         sketches, total = marked.select("member", "sketch"), texts.count()
         rows = marked.select(F.col("fps")[0].alias("fp"), "member")
         edges, represented = _same_fingerprint(rows, sketches, total)
         near = _search(rows.join(represented, "member", "left_anti"), lambda found: _compare(found.join(sketches, "member")), most, lambda found: _compare(_banded(found.join(sketches, "member"))))
         edges = keep((edges if near is None else edges.unionByName(near)).select("a", "b").distinct(), "simhash-links")
-        shared = keep(_shared_first(marked), "simhash-first")
-    found = _verified(edges, texts, docs)
+    shared = common.materialize(_shared_first(texts, docs), "simhash-first")
+    found = _verified(edges.unionByName(_neighbours(shared)).distinct(), texts, docs)
     joined = common.materialize(components(found), "simhash-joined")
     member = components(found.unionByName(_verified(_unjoined(shared, joined, most), texts, docs)))
     named = texts.join(member, texts["member"] == member["node"], "left").select("digest", "least", F.coalesce("component", "member").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    copied = common.hot_keys(texts, each.count())
+    copied = common.any_hot(texts, each.count())
     # Rows are numbered as they are read, so copies with one id, or none, are spread too.
     each = common.salted_join(each, named.join(least, "component").select("digest", "component_id"), ["digest"], copied, F.monotonically_increasing_id())
     return each.select("doc_id", "component_id")
@@ -469,7 +534,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_CO
     member = components(links(classes.select("fp"), most))
     named = classes.join(member, classes["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    each = common.salted_join(fps, named.join(least, "component").select("fp", "component_id"), ["fp"], common.hot_keys(classes, fps.count()), F.monotonically_increasing_id())
+    each = common.salted_join(fps, named.join(least, "component").select("fp", "component_id"), ["fp"], common.any_hot(classes, fps.count()), F.monotonically_increasing_id())
     return each.select("doc_id", "fp", "component_id")
 
 
