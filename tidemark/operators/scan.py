@@ -24,6 +24,8 @@ from tidemark.sources.scratch import materialize
 DAY_US = 86_400_000_000
 #: Blocks (groups of blocks, ...) that one window of a carry holds.
 FAN = 256
+#: Rows of a block of time whose span goes by the rows.
+SPAN_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,13 @@ def blocks_of(df: DataFrame, keys: list[str], order: list[str], blocks: int | Ev
     return dealt, max(1, ceil(log(n + 1, FAN)))
 
 
+def span_for(df: DataFrame, keys: list[str], most: int, rows: int = SPAN_ROWS, time: str = "ts_us") -> int:
+    """The span of a block of time, ``most`` at most, with which a key's blocks have about ``rows`` rows on average."""
+    of = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(time) - F.min(time)).alias("span"))
+    found = of.agg(F.min(F.col("span") * F.lit(float(rows)) / F.col("n")).alias("x")).first()["x"]
+    return most if found is None else max(1, min(most, int(found)))
+
+
 #: How a running value of a block's rows (or of blocks) is computed, and what it is of a whole block.
 _RUNNING = {
     "sum": F.sum,

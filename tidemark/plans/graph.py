@@ -45,7 +45,8 @@ class Definition:
     """An operator: inputs (names; those in ``arrays`` take lists), outputs, callsets and its column form.
 
     A stateful one has a ``stage`` instead, which adds its outputs to the event log (see ``plans.stateful``); one with a
-    timer has ``timer_rows``, which make the log's rows for its fires.
+    timer has ``timer_rows``, which make the log's rows for its fires. A ``costly`` column form is worked out in the rows
+    that read it only; an invalid input, or an invalid one in an array, makes all outputs of a ``strict`` one invalid.
     """
 
     name: str
@@ -62,6 +63,8 @@ class Definition:
     differentiable: bool = True
     stage: Callable | None = None
     timer_rows: Callable | None = None
+    costly: bool = False
+    strict: bool = False
 
     def validate(self) -> None:
         known = set(self.inputs)

@@ -8,7 +8,10 @@ trigger alone, so that is worked out on the graph:
 * an output that some trigger reads without writing it is latched: the last written value, where a write may be of an
   invalid value. All outputs that wait for it are latched by one scan;
 * a stateful operator ends a stage. The log so far is written to the shared folder, and the operator's ``stage`` takes
-  the rows whose triggers call it and adds its outputs.
+  the rows whose triggers call it and adds its outputs. Columns that nothing reads any more are left out;
+* a costly column operator is worked out where it is read: in the rows that a stage is called by, that write what it
+  goes into, or that are asked for. Where those read its last valid value, it is worked out in the rows that hold one of
+  these, and in all rows that write it only if one of them is invalid.
 
 An ephemeral output is valid only in rows that write it, or has its default.
 """
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
 from tidemark.operators import book, decay, models, trades
-from tidemark.operators.scan import DAY_US, Even, scan
-from tidemark.plans.graph import Callset, Definition, Output, OutputSpec, SignalGraph
+from tidemark.operators.scan import DAY_US, Even, _equal, scan
+from tidemark.plans.graph import Callset, Component, Definition, Output, OutputSpec, SignalGraph, _outputs
 from tidemark.sources.scratch import materialize
 
 #: The order of the log's rows within the keys: time, then timers before call groups, then their number.
@@ -167,25 +170,40 @@ def stateful_definitions() -> dict[str, Definition]:
 class _Run:
     """The evaluation of one graph over one log."""
 
-    def __init__(self, graph: SignalGraph, log: DataFrame, keys: list[str], outputs: Sequence[Output], at: Sequence[str], params: dict[str, float], block_us: int | Even):
-        self.graph, self.keys, self.params, self.block_us = graph, keys, params, block_us
-        self.needed = graph._needed(list(outputs))
-        self.nodes = [n for n in graph.order() if any(k.startswith(f"{n}::") for k in self.needed)]
+    def __init__(self, graph: SignalGraph, log: DataFrame, keys: list[str], outputs: Sequence[Output], at: Sequence[str], params: dict[str, float], block_us: int | Even, only: Output | None = None):
+        self.graph, self.keys, self.params, self.block_us, self.at, self.only = graph, keys, params, block_us, at, only
+        asked = [*outputs, *([] if only is None else [only])]
+        self.asked = {o.key for o in asked}
+        self.early = set() if only is None else {k.split("::")[0] for k in graph._needed([only])}
+        self.needed = graph._needed(asked)
+        self.nodes = sorted((n for n in graph.order() if any(k.startswith(f"{n}::") for k in self.needed)), key=lambda n: n not in self.early)
+        self.readers: dict[str, list[str]] = {}
+        for n in self.nodes:
+            for o in _outputs(graph.components[n]):
+                self.readers.setdefault(o.key, []).append(n)
         triggers = [t for t in graph.triggers() if t in graph.call_groups or t in self.nodes]
         self.writers: dict[str, list[str]] = {}
         for t in triggers:
             for k in graph.writes(t):
                 self.writers.setdefault(k, []).append(t)
-        self.stored = graph.stored() | {o.key for o in outputs if not graph._spec(o).ephemeral and set(at) - set(self.writers.get(o.key, []))}
+        self.stored = graph.stored() | {o.key for o in asked if not graph._spec(o).ephemeral and set(at) - set(self.writers.get(o.key, []))}
         self.names: dict[str, str] = {}
         self.columns: dict[str, Column] = {}
+        self.literals: dict[str, Column] = {}
         self.waiting: dict[str, Column] = {}
         self.kept: set[str] = set()  # keys whose columns hold the value at every row
-        self.stages = models._Stages(self._log(log))
+        self.done: set[str] = set()
+        self.lazy: dict[str, bool] = {}  # column operators that aren't worked out yet: whether they follow kept inputs
+        self.late: dict[str, DataFrame] = {}  # keys whose columns hold a number, and their values by it
+        self._restart(self._log(log))
 
     def name(self, key: str) -> str:
         return self.names.setdefault(key, f"_v{len(self.names)}")
 
+    def _part(self, n: str) -> tuple[Component, Definition]:
+        c = self.graph.components[n]
+        return c, self.graph.definitions[c.definition]
+
     def _log(self, log: DataFrame) -> DataFrame:
         used = [k for k in sorted(self.needed) if k.startswith("external::")]
         groups = {n: i + 1 for i, n in enumerate(self.graph.call_groups)}
@@ -194,8 +212,7 @@ class _Run:
         for k in used:
             self._place(k, F.col(self.name(k)), self.graph._spec(Output(self.graph, *k.split("::"))))
         for n in self.nodes:
-            c = self.graph.components[n]
-            d = self.graph.definitions[c.definition]
+            c, d = self._part(n)
             if d.timer_rows is None:
                 continue
             names = {o: self.name(f"{n}::{o}") for o in d.outputs}
@@ -209,9 +226,12 @@ class _Run:
     def wrote(self, key: str) -> Column:
         return F.col("trigger").isin(self.writers.get(key, []))
 
+    def _latched(self, key: str, spec: OutputSpec) -> bool:
+        return key in self.stored and not spec.ephemeral and not spec.assume_invalid
+
     def _place(self, key: str, value: Column | None, spec: OutputSpec, held: Column | None = None) -> None:
         """Note how an output is read: a value, or a struct ``held`` that is NULL where nothing is written."""
-        if key in self.stored and not spec.ephemeral and not spec.assume_invalid:
+        if self._latched(key, spec):
             self.waiting[key] = _written(value, self.wrote(key)) if held is None else held
             return
         value = held["v"] if held is not None else value
@@ -219,95 +239,266 @@ class _Run:
             value = F.coalesce(value, F.lit(spec.default))
         self.columns[key] = value
 
-    def _restart(self, df: DataFrame) -> None:
-        """Go on with a frame whose columns are named; intermediate ones are left behind."""
-        self.stages = models._Stages(df)
+    def _restart(self, df: DataFrame, table: bool = False) -> None:
+        """Go on with a frame whose columns are named, perhaps a table; intermediate ones are left behind."""
+        self.stages, self.table = models._Stages(df), table
+
+    def _live(self) -> set[str]:
+        """Keys that are still to be read."""
+        live = set(self.asked)
+        for n in reversed(self.nodes):
+            if n not in self.done or (n in self.lazy and any(f"{n}::{o}" in live for o in self._part(n)[1].outputs)):
+                live |= {o.key for o in _outputs(self.graph.components[n])}
+        return live
+
+    def _frame(self) -> DataFrame:
+        """The log so far: base columns and what is still to be read."""
+        live = self._live()
+        for held in (self.columns, self.waiting):
+            for k in held.keys() - live:
+                del held[k]
+        made = {self.name(k): c for k, c in [*self.columns.items(), *self.waiting.items()]}
+        df = self.stages.df.select(*self.keys, *ORDER, "trigger", *[c.alias(n) for n, c in made.items()])
+        for held in (self.columns, self.waiting):
+            held.update({k: F.col(self.name(k)) for k in held})
+        return df
 
     def _cut(self) -> DataFrame:
-        """The log so far as a table: base columns and what is still to be read."""
-        made = {self.name(k): c for k, c in self.columns.items()} | {self.name(k): c for k, c in self.waiting.items()}
-        df = self.stages.df.select(*self.keys, *ORDER, "trigger", *[c.alias(n) for n, c in made.items()])
-        for k in self.columns:
-            self.columns[k] = F.col(self.name(k))
-        for k in self.waiting:
-            self.waiting[k] = F.col(self.name(k))
-        return materialize(df, "graph-log")
+        """The same as a table, or as little more than one."""
+        cheap = self.table and not self.stages.made
+        df = self._frame()
+        return df if cheap else materialize(df, "graph-log")
+
+    def _is_lazy(self, o: Output) -> bool:
+        return o.parent in self.lazy and o.key not in self.columns
 
     def read(self, o: Output) -> Column:
         if o.key in self.waiting:
-            df, specs = self._cut(), {self.name(k): ("last", F.col(self.name(k))) for k in self.waiting}
+            df = self._cut()
+            specs = {self.name(k): ("last", F.col(self.name(k))) for k in self.waiting}
             self._restart(scan(df, self.keys, ORDER, specs, block_us=self.block_us))
             for k in list(self.waiting):
                 del self.waiting[k]
                 self.kept.add(k)
                 spec, value = self.graph._spec(Output(self.graph, *k.split("::"))), F.col(self.name(k))["v"]
                 self.columns[k] = F.coalesce(value, F.lit(spec.default)) if spec.default is not None else value
-        return self.columns[o.key]
+        if self._is_lazy(o):
+            del self.lazy[o.parent]
+            self._column(o.parent)
+        return self.literals[o.key] if o.key in self.literals else self.columns[o.key]
+
+    def _ready(self, o: Output) -> None:
+        """Do the scans that a value, or what a lazy one is worked out from, waits for."""
+        if self._is_lazy(o):
+            for x in _outputs(self.graph.components[o.parent]):
+                self._ready(x)
+        else:
+            self.read(o)
+
+    def _each(self, c: Component, of) -> dict:
+        return {k: [of(o) for o in v] if isinstance(v, (list, tuple)) else of(v) for k, v in c.inputs.items()}
+
+    def _lowered(self, n: str, inputs: dict, stages: models._Stages) -> dict[str, Column]:
+        c, d = self._part(n)
+        models._open.append(stages)
+        try:
+            made = d.lower(inputs, c.generics, c.params)
+            made = made if isinstance(made, dict) else {next(iter(d.outputs)): made}
+            return dict(zip(made, stages.let(list(made.values()))))
+        finally:
+            models._open.pop()
 
-    def _inputs(self, c) -> dict:
-        for v in c.inputs.values():  # all scans first: they give the columns new homes
-            for o in v if isinstance(v, (list, tuple)) else [v]:
-                self.read(o)
-        return {k: [self.read(o) for o in v] if isinstance(v, (list, tuple)) else self.read(v) for k, v in c.inputs.items()}
+    def _follows(self, n: str) -> bool:
+        """Whether an operator's inputs keep their values, so that its outputs are known at every row."""
+        c, d = self._part(n)
+        return d.generic is not None and all(o.key in self.kept or o.key in self.waiting for o in _outputs(c))
+
+    def _work_out(self, rows: DataFrame, outputs: Sequence[Output]) -> DataFrame:
+        """Rows of the log as :meth:`_cut` has it, with the values of lazy outputs as columns of their names."""
+        stages, made = models._Stages(rows), {}
+
+        def value(o: Output) -> Column:
+            if not self._is_lazy(o):
+                return self.read(o)
+            if o.key not in made:
+                for name, x in self._lowered(o.parent, self._each(self.graph.components[o.parent], value), stages).items():
+                    key, spec = f"{o.parent}::{name}", self._part(o.parent)[1].outputs[name]
+                    x = x if self.lazy[o.parent] and not spec.ephemeral else F.when(self.wrote(key), x)
+                    some = spec.assume_default or (spec.always_valid and spec.default is not None)
+                    made[key] = F.coalesce(x, F.lit(spec.default)) if some else x
+            return made[o.key]
+
+        found = {self.name(o.key): value(o) for o in outputs}
+        return stages.df.select(*[c for c in rows.columns if c not in found], *[v.alias(n) for n, v in found.items()])
+
+    def _work_out_at(self, outputs: Sequence[Output], triggers: Sequence[str]) -> None:
+        """Columns of lazy outputs, NULL in the rows of other triggers."""
+        for o in outputs:
+            self._ready(o)
+        df, called = self._cut(), F.col("trigger").isin(sorted(triggers))
+        made = self._work_out(df.where(called), outputs)
+        rest = df.where(~called).withColumns({n: F.lit(None).cast(made.schema[n].dataType) for n in map(self.name, dict.fromkeys(o.key for o in outputs))})
+        self._restart(made.unionByName(rest))
+        self.columns |= {o.key: F.col(self.name(o.key)) for o in outputs}
 
     def node(self, n: str) -> None:
-        graph, c = self.graph, self.graph.components[n]
-        d = graph.definitions[c.definition]
-        if d.timer_rows is not None:
+        if n in self.done:
             return
-        if c.definition == "parameter":
+        c, d = self._part(n)
+        if d.timer_rows is not None:
+            pass
+        elif c.definition == "parameter":
             if n not in self.params and c.params.get("required"):
                 raise ValueError(f"parameter {n} has no value")
-            self.columns[f"{n}::out"] = F.lit(float(self.params.get(n, 0.0)))
-            self.kept.add(f"{n}::out")
-            return
-        if c.definition == "constant":
-            self.columns[f"{n}::out"] = F.lit(c.params["value"])
-            self.kept.add(f"{n}::out")
-            return
-        if c.definition in ("mean", "std"):
-            self.read(c.inputs["a"])
-            self._restart(self._cut())
-            x = F.when(self.wrote(c.inputs["a"].key), self.read(c.inputs["a"]))
-            self.columns[f"{n}::out"] = F.lit(self.stages.df.agg(graph._summary(n, x).alias("x")).first()["x"])
-            self.kept.add(f"{n}::out")
+            self._fixed(n, float(self.params.get(n, 0.0)))
+        elif c.definition == "constant":
+            self._fixed(n, c.params["value"])
+        elif c.definition in ("mean", "std"):
+            self._summaries(c.inputs["a"])
+        elif d.stage is None:
+            self._column(n)
+        elif not (c.definition == "valid" and self._latest(n)):
+            lazy = [o for o in _outputs(c) if self._is_lazy(o)]
+            if lazy:
+                self._work_out_at(lazy, self._callers(n))
+            self._stage(n)
+            for o in lazy:  # known in these rows only
+                self.columns.pop(o.key, None)
+        self.done.add(n)
+
+    def _fixed(self, n: str, value) -> None:
+        self.literals[f"{n}::out"] = F.lit(value)
+        self.kept.add(f"{n}::out")
+
+    def _callers(self, n: str) -> list[str]:
+        return sorted({t for o in self._part(n)[1].outputs for t in self.writers.get(f"{n}::{o}", [])})
+
+    def _summaries(self, a: Output) -> None:
+        """All summaries of one output, by one aggregate."""
+        some = self._is_lazy(a)
+        if some:
+            self._work_out_at([a], self.writers.get(a.key, []))
+        else:
+            self.read(a)
+        self._restart(self._cut(), table=True)
+        x = F.when(self.wrote(a.key), self.read(a))
+        own = [n for n in self.nodes if self.graph.components[n].definition in ("mean", "std") and self.graph.components[n].inputs["a"] == a]
+        found = self.stages.df.agg(*[self.graph._summary(n, x).alias(f"x{i}") for i, n in enumerate(own)]).first()
+        for i, n in enumerate(own):
+            self._fixed(n, found[i])
+            self.done.add(n)
+        if some and a.key in self.kept:  # known in the rows that write it only
+            del self.columns[a.key]
+
+    def _column(self, n: str) -> None:
+        c, d = self._part(n)
+        follows, outputs = self._follows(n), _outputs(c)
+        lazy = [o for o in outputs if self._is_lazy(o)]
+        latched = not follows and any(self._latched(f"{n}::{o}", s) for o, s in d.outputs.items())
+        if n not in self.done and not latched and (d.costly or lazy or any(o.key in self.late for o in outputs)):
+            self.lazy[n] = follows
+            self.kept |= {f"{n}::{o}" for o, s in d.outputs.items() if follows and not s.ephemeral}
             return
-        inputs = self._inputs(c)
-        if d.stage is not None:
-            self._stage(n, c, d)
-            return
-        models._open.append(self.stages)
-        try:
-            made = d.lower(inputs, c.generics, c.params)
-            made = made if isinstance(made, dict) else {next(iter(d.outputs)): made}
-            values = dict(zip(made, self.stages.let(list(made.values()))))
-        finally:
-            models._open.pop()
-        keeps = d.generic is not None and {o.key for v in c.inputs.values() for o in (v if isinstance(v, (list, tuple)) else [v])} <= self.kept
-        for o, value in values.items():
+        if lazy and not follows:
+            self._work_out_at(lazy, self._callers(n))
+        for o in outputs:  # all scans first: they give the columns new homes
+            self.read(o)
+        for o, value in self._lowered(n, self._each(c, self.read), self.stages).items():
             key, spec = f"{n}::{o}", d.outputs[o]
-            if keeps and not spec.ephemeral:  # follows its inputs, which keep their values
+            if follows and not spec.ephemeral:  # follows its inputs, which keep their values
                 self.columns[key] = value if not spec.assume_default else F.coalesce(value, F.lit(spec.default))
                 self.kept.add(key)
             else:
                 self._place(key, F.when(self.wrote(key), value), spec)
-
-    def _stage(self, n: str, c, d: Definition) -> None:
+        if not follows:
+            for o in lazy:  # known in these rows only
+                self.columns.pop(o.key, None)
+
+    def _stage(self, n: str) -> None:
+        c, d = self._part(n)
+        for o in _outputs(c):
+            self.read(o)
         df = self._cut()
         names = {o: self.name(f"{n}::{o}") for o in d.outputs}
-        inputs = {k: [self.columns[o.key] for o in v] if isinstance(v, (list, tuple)) else self.name(v.key) for k, v in c.inputs.items()}
-        for v in c.inputs.values():
-            if isinstance(v, Output) and self.name(v.key) not in df.columns:
+        inputs = {k: [self.read(o) for o in v] if isinstance(v, (list, tuple)) else self.name(v.key) for k, v in c.inputs.items()}
+        single = [v for v in c.inputs.values() if isinstance(v, Output)]
+        df = df.withColumns({self.name(v.key): self.literals[v.key] for v in single if v.key in self.literals})
+        for v in single:
+            if self.name(v.key) not in df.columns:
                 raise ValueError(f"{n}: {v.key} has no column")
         site = Site(self.keys, inputs, names, c.params, self.block_us)
-        called = F.col("trigger").isin(sorted({t for o in names for t in self.writers.get(f"{n}::{o}", [])}))
-        self._restart(materialize(_only(df, called, lambda rows: d.stage(rows, site), site), "graph-log"))
+        called = F.col("trigger").isin(self._callers(n))
+        self._restart(materialize(_only(df, called, lambda rows: d.stage(rows, site), site), "graph-log"), table=True)
         for o, spec in d.outputs.items():
             self._place(f"{n}::{o}", None, spec, F.col(names[o]))
 
-
-def run(graph: SignalGraph, log: DataFrame, keys: list[str], outputs: dict[str, Output], at: Sequence[str], params: dict[str, float] | None = None, block_us: int | Even = DAY_US) -> DataFrame:
-    """keys, ts_us, seq, trigger and the outputs, as they are after each row whose trigger is one of ``at``.
+    def _asked_rows(self) -> Column:
+        at = F.col("trigger").isin(list(self.at))
+        return at if self.only is None else at & F.coalesce(self.read(self.only), F.lit(False))
+
+    def _at_the_end(self, key: str) -> bool:
+        """Whether an output is read by column operators that lead to what is asked for, and by nothing else."""
+        for r in self.readers.get(key, []):
+            d = self._part(r)[1]
+            if d.lower is None or d.generic is None or any(f"{r}::{o}" in self.stored or not self._at_the_end(f"{r}::{o}") for o in d.outputs):
+                return False
+        return True
+
+    def _latest(self, n: str) -> bool:
+        """The last valid value of a lazy input that only the rows that are asked for read: rows that may write one are
+        numbered, and it is worked out in those whose number one of them has. False if that doesn't do."""
+        x, key = self.graph.components[n].inputs["value"], f"{n}::out"
+        if not self._is_lazy(x) or n in self.early or not self._at_the_end(key):
+            return False
+        self._ready(x)
+        if self.only is not None:
+            self.read(self.only)
+        df = self._cut()
+        made, d = self._part(x.parent)
+        known = [self.columns[o.key] for o in _outputs(made) if o.key in self.columns] if d.strict else []
+        may = reduce(lambda a, b: a & b, [k.isNotNull() for k in known], F.col("trigger").isin(self._callers(n)))
+        number = self.name(key)
+        self.done.add(n)  # what only its input is worked out from isn't carried on
+        narrow = [self.name(k) for k in [*self.columns, *self.waiting] if k in self._live()]
+        self.done.discard(n)
+        numbered = df.withColumn("_may", may).select(*self.keys, *ORDER, "trigger", "_may", *narrow)
+        numbered = materialize(scan(numbered, self.keys, ORDER, {number: ("sum", F.col("_may").cast("long"))}, block_us=self.block_us), "graph-log")
+        asked = numbered.where(self._asked_rows()).select(*self.keys, number).distinct()
+        own = numbered.where("_may").select(*self.keys, *ORDER, number).alias("a").join(asked.alias("b"), _equal("a", "b", [*self.keys, number]), "left_semi")
+        found = df.where(may).alias("a").join(own.alias("b"), _equal("a", "b", [*self.keys, *ORDER])).select("a.*", F.col(f"b.{number}").alias(number))
+        value = self.name(x.key)
+        found = materialize(self._work_out(found, [x]).select(*self.keys, number, value), "graph-latest")
+        if found.where(F.col(value).isNull()).limit(1).count():
+            self._restart(df, table=True)
+            return False
+        self._restart(numbered, table=True)
+        self.columns[key], self.late[key] = F.col(number), found.withColumnRenamed(value, "_value")
+        self.kept.add(key)
+        return True
+
+    def finish(self, outputs: dict[str, Output]) -> DataFrame:
+        for o in outputs.values():
+            self._ready(o)
+        asked = self._asked_rows()
+        if not self.late and not any(self._is_lazy(o) for o in outputs.values()):
+            rows, columns = self.stages.df.where(asked), {name: self.read(o) for name, o in outputs.items()}
+        else:
+            self.stages.df = self.stages.df.where(asked)
+            rows = materialize(self._frame(), "graph-asked")
+            for key, found in self.late.items():
+                number = self.name(key)
+                both = rows.alias("a").join(found.alias("b"), _equal("a", "b", [*self.keys, number]), "left")
+                rows = both.select(*[F.col(f"a.{c}") for c in rows.columns if c != number], F.col("b._value").alias(number))
+            if self.late:
+                rows = materialize(rows, "graph-asked")
+            rows = self._work_out(rows, [o for o in outputs.values() if self._is_lazy(o)])
+            columns = {name: F.col(self.name(o.key)) if self._is_lazy(o) else self.read(o) for name, o in outputs.items()}
+        return rows.select(*self.keys, "ts_us", "seq", "trigger", *[c.alias(name) for name, c in columns.items()])
+
+
+def run(graph: SignalGraph, log: DataFrame, keys: list[str], outputs: dict[str, Output], at: Sequence[str], params: dict[str, float] | None = None, block_us: int | Even = DAY_US, only: Output | None = None) -> DataFrame:
+    """keys, ts_us, seq, trigger and the outputs, as they are after each row whose trigger is one of ``at``, and in which
+    the output ``only`` is true if one is given.
 
     ``log`` has the keys, ts_us, seq, trigger (a call group's name) and the externals that the row writes, by name. Rows
     of one time go by timers first, then call groups in the order they were added, then seq.
@@ -316,10 +507,7 @@ def run(graph: SignalGraph, log: DataFrame, keys: list[str], outputs: dict[str,
     unknown = set(at) - set(graph.call_groups)
     if unknown:
         raise ValueError(f"no call group {', '.join(sorted(unknown))}")
-    going = _Run(graph, log, keys, list(outputs.values()), at, params or {}, block_us)
+    going = _Run(graph, log, keys, list(outputs.values()), at, params or {}, block_us, only)
     for n in going.nodes:
         going.node(n)
-    for o in outputs.values():
-        going.read(o)
-    columns = {name: going.read(o) for name, o in outputs.items()}
-    return going.stages.df.where(F.col("trigger").isin(list(at))).select(*keys, "ts_us", "seq", "trigger", *[c.alias(name) for name, c in columns.items()])
+    return going.finish(outputs)

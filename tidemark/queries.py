@@ -11,7 +11,7 @@ from tidemark.functions import market as M
 from tidemark import model_sql as S
 from tidemark.functions import numeric as N
 from tidemark.operators import book, decay, events, models, sampled, signals, trades
-from tidemark.operators.scan import DAY_US
+from tidemark.operators.scan import DAY_US, span_for
 from tidemark.plans import autodiff, stateful
 from tidemark.plans.graph import Callset, Definition, Output, OutputSpec, SignalGraph
 from tidemark.sources import derived
@@ -764,7 +764,7 @@ def _cascade_definition() -> Definition:
         return models.cascade(i["xs"], _parameter, p["prefix"], normalizer=normalizer)
 
     every = frozenset({"xs", "mean", "deviation"})
-    return Definition("cascade", ("xs", "mean", "deviation"), {"out": OutputSpec()}, lower, arrays=frozenset({"xs"}), optional=frozenset({"mean", "deviation"}), generic=Callset(frozenset(), every))
+    return Definition("cascade", ("xs", "mean", "deviation"), {"out": OutputSpec()}, lower, arrays=frozenset({"xs"}), optional=frozenset({"mean", "deviation"}), generic=Callset(frozenset(), every), costly=True, strict=True)
 
 
 def _returns_definition() -> Definition:
@@ -777,7 +777,7 @@ def _returns_definition() -> Definition:
         return dict(zip(_STATIC_NAMES, signals.static_book_returns(bids, asks, mid, RATIOS, SCALES)))
 
     gone = OutputSpec(ephemeral=True, assume_invalid=True)
-    return Definition("static_returns", ("bids", "asks"), {n: gone for n in _STATIC_NAMES}, lower, generic=Callset(frozenset(), frozenset({"bids", "asks"})))
+    return Definition("static_returns", ("bids", "asks"), {n: gone for n in _STATIC_NAMES}, lower, generic=Callset(frozenset(), frozenset({"bids", "asks"})), costly=True)
 
 
 def _move_definition() -> Definition:
@@ -788,7 +788,7 @@ def _move_definition() -> Definition:
         move = signals.decay_move([(x, e), (x + 0.25, e)], (x - h, x + h), (e - h, e + h), _parameter)
         return F.when(e.isNotNull(), move)
 
-    return Definition("decay_move", ("signal", "ewma"), {"out": OutputSpec()}, lower, generic=Callset(frozenset(), frozenset({"signal", "ewma"})))
+    return Definition("decay_move", ("signal", "ewma"), {"out": OutputSpec()}, lower, generic=Callset(frozenset(), frozenset({"signal", "ewma"})), costly=True)
 
 
 def _market_graph() -> tuple[SignalGraph, dict[str, Output]]:
@@ -827,5 +827,6 @@ def market_graph(spark, sf_dir):
     t, d = derived.trades(spark, sf_dir), derived.depth(spark, sf_dir)
     log = t.withColumn("trigger", F.lit("trade")).unionByName(d.withColumnsRenamed({"price": "level_price", "size": "level_size"}).withColumn("trigger", F.lit("depth")), allowMissingColumns=True)
     graph, outputs = _market_graph()
-    seen = materialize(stateful.run(graph, log, ["sym"], outputs, ["trade"], block_us=BLOCK).where("sampled"), "seen")
-    return events.future_value(seen, t, ["sym"], "price", HORIZON, "future", block_us=BLOCK).select("seq", "sym", "price", (r6("pred") + 0.0).alias("pred"), "future")
+    block_us = span_for(log, ["sym"], BLOCK)
+    seen = materialize(stateful.run(graph, log, ["sym"], outputs, ["trade"], block_us=block_us, only=outputs["sampled"]), "seen")
+    return events.future_value(seen, t, ["sym"], "price", HORIZON, "future", block_us=block_us).select("seq", "sym", "price", (r6("pred") + 0.0).alias("pred"), "future")
